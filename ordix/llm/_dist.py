@@ -5,7 +5,9 @@ from __future__ import annotations
 import math
 import tempfile
 import uuid
+import zipfile
 from collections.abc import Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -15,8 +17,25 @@ from pyspark.sql import DataFrame, SparkSession
 BATCH_ROWS = 1000
 
 
+_shipped: set[str] = set()
+
+
+def _ship(spark: SparkSession) -> None:
+    """Gives the executors this package, once an application: they needn't have it installed."""
+    if spark.sparkContext.applicationId in _shipped:
+        return
+    top = Path(__file__).resolve().parents[1]
+    to = Path(tempfile.mkdtemp(prefix="ordix-"), f"{top.name}.zip")  # served to executors for as long as the driver lives
+    with zipfile.ZipFile(to, "w") as z:
+        for f in sorted(top.rglob("*.py")):
+            z.write(f, f.relative_to(top.parent))
+    spark.sparkContext.addPyFile(str(to))
+    _shipped.add(spark.sparkContext.applicationId)
+
+
 def prepare(spark: SparkSession) -> None:
-    """Arrow batches small enough that very long texts don't fill a worker."""
+    """The package on the executors, and Arrow batches small enough that very long texts don't fill a worker."""
+    _ship(spark)
     if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
