@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import quality
+from . import decontaminate, license_scan, packed_ids, pii, quality, token_counts
+from ._dist import shared_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -24,8 +26,63 @@ def _query(name: str):
     return put
 
 
+def _tokenizer(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+@_query("op1_license_scan")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(_table(spark, sf_dir, "documents")).drop("blocks")
+
+
+ORACLES["op1_license_scan"] = license_scan.oracle_sql()
+
+
+@_query("op3_packed_ids")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = f"{shared_dir(spark)}/ordix-ids-{uuid.uuid4().hex}"
+    packed_ids.write(_table(spark, sf_dir, "documents"), path, _tokenizer("byte_bpe_50k.json"))
+    return packed_ids.read(spark, path)
+
+
 @_query("op4_quality_rules")
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     ratio = quality.fit(docs, quality.trusted_ids(_table(spark, sf_dir, "labels")))
     return quality.score(docs, ratio)
+
+
+@_query("op5_decontaminate")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.report(_table(spark, sf_dir, "documents"), decontaminate.blocks(_table(spark, sf_dir, "benchmark")))
+
+
+#: Fixed value: what a word is made of, once A-Z are lower-cased.
+_WORDS = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+
+ORACLES["op5_decontaminate"] = f"""
+WITH docs AS (SELECT row_number() OVER () AS r, doc_id, {_WORDS} AS w FROM documents),
+items AS (SELECT coalesce(CAST(item_id AS VARCHAR), '') AS item, {_WORDS} AS w FROM benchmark),
+sized AS (SELECT item, w, least(len(w), {decontaminate.N}) AS n FROM items WHERE len(w) > 0),
+windows AS (SELECT DISTINCT item, n, w[s : s + n - 1] AS x FROM (SELECT item, w, n, unnest(generate_series(1, len(w) - n + 1)) AS s FROM sized)),
+lengths AS (SELECT DISTINCT n FROM sized),
+places AS (SELECT r, n, s, w[s : s + n - 1] AS x FROM (SELECT r, w, n, unnest(generate_series(1, len(w) - n + 1)) AS s FROM docs, lengths WHERE len(w) >= n)),
+hits AS (SELECT r, s, n, item FROM places JOIN windows USING (n, x)),
+words AS (SELECT r, count(DISTINCT k) AS n FROM (SELECT r, unnest(generate_series(s, s + n - 1)) AS k FROM hits) GROUP BY r),
+found AS (SELECT r, count(*) AS n, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT r, item FROM hits) GROUP BY r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(words.n, 0) AS BIGINT) AS n_hit, CAST(coalesce(found.n, 0) AS BIGINT) AS n_items,
+       sha256(coalesce(items, '')) AS items_sha256, coalesce(words.n, 0) > 0 AS contaminated
+FROM docs LEFT JOIN words USING (r) LEFT JOIN found USING (r)
+"""
+
+
+@_query("op6_pii")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.scan(_table(spark, sf_dir, "documents"))
+
+
+@_query("op10_token_counts")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.counts(_table(spark, sf_dir, "documents"), _tokenizer("piece_bpe_32k.model"))
