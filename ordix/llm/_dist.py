@@ -68,8 +68,8 @@ class Kept:
         path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def summed(vectors: DataFrame, length: int) -> np.ndarray:
-    """Adds int64 vectors (one binary column `v` of `length` numbers) in two levels.
+def summed(vectors: DataFrame, length: int, op: np.ufunc = np.add) -> np.ndarray:
+    """Adds (or joins by op, to which 0 is neutral) int64 vectors (one binary column `v` of `length` numbers) in two levels.
 
     Each task streams its vectors through one accumulator, so memory is one
     vector; the driver gets one.
@@ -79,12 +79,12 @@ def summed(vectors: DataFrame, length: int) -> np.ndarray:
         total = np.zeros(length, np.int64)
         for b in batches:
             for v in b.column(0):
-                total += np.frombuffer(v.as_buffer(), np.int64)
+                op(total, np.frombuffer(v.as_buffer(), np.int64), out=total)
         yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["v"])
 
     n = max(1, math.isqrt(vectors.sparkSession.sparkContext.defaultParallelism * 16))
     rows = vectors.repartition(n).mapInArrow(add, "v binary").repartition(1).mapInArrow(add, "v binary").collect()
     out = np.zeros(length, np.int64)
     for r in rows:
-        out += np.frombuffer(r.v, np.int64)
+        op(out, np.frombuffer(r.v, np.int64), out=out)
     return out

@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, license_scan, packed_ids, pii, quality, token_counts
+from . import decontaminate, jaccard_join, license_scan, packed_ids, pii, quality, token_counts
 from ._dist import shared_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -83,6 +83,24 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.scan(_table(spark, sf_dir, "documents"))
 
 
+@_query("op9_jaccard_join")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.components_of(_table(spark, sf_dir, "documents"), k=4, percent=85)
+
+
+ORACLES["op9_jaccard_join"] = """
+WITH RECURSIVE docs AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+shingles AS (SELECT DISTINCT r, x FROM (SELECT r, w[s : s + 3] AS x FROM (SELECT r, w, unnest(generate_series(1, greatest(len(w) - 3, 1))) AS s FROM docs WHERE len(w) > 0))),
+sizes AS (SELECT r, count(*) AS n FROM shingles GROUP BY r),
+common AS (SELECT p.r AS a, q.r AS b, count(*) AS c FROM shingles p JOIN shingles q ON p.x = q.x AND p.r < q.r GROUP BY p.r, q.r),
+links AS (SELECT a, b FROM common JOIN sizes s ON s.r = a JOIN sizes t ON t.r = b WHERE 100 * c >= 85 * (s.n + t.n - c)),
+sym AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach(r, s) AS (SELECT r, r FROM docs UNION SELECT reach.r, sym.b FROM reach JOIN sym ON sym.a = reach.s)
+SELECT docs.doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, CAST(m.id AS BIGINT) AS component_id
+FROM docs LEFT JOIN sizes USING (r) JOIN (SELECT reach.r AS r, min(d.doc_id) AS id FROM reach JOIN docs d ON d.r = reach.s GROUP BY reach.r) m USING (r)
+"""
+
+
 @_query("op10_token_counts")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.counts(_table(spark, sf_dir, "documents"), _tokenizer("piece_bpe_32k.model"))
