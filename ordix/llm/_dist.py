@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Rows of an Arrow batch; slices by bytes are cut from these.
 BATCH_ROWS = 1000
+BATCH_BYTES = 16 << 20
 
 
 _shipped: set[str] = set()
@@ -38,6 +39,8 @@ def prepare(spark: SparkSession) -> None:
     _ship(spark)
     if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    if spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == "67108864b":
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 def shared_dir(spark: SparkSession) -> str:
