@@ -105,3 +105,12 @@ def components_of(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str =
     by_set = least.join(ids, "root").select("node", "component_id")
     empty = members.df.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     return full.join(by_set, "node").select("doc_id", "n_shingles", "component_id").unionByName(empty)
+
+
+def representatives(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The documents, with all their columns, without those whose component has a smaller id.
+
+    Documents without an id stay, and so do all rows of an id that stays.
+    """
+    gone = components_of(docs, k, percent, id_col, text_col).where("doc_id != component_id").select(F.col("doc_id").alias("__gone")).distinct()
+    return docs.join(gone, docs[id_col] == gone["__gone"], "left_anti")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, jaccard_join, license_scan, packed_ids, pii, quality, token_counts
+from . import decontaminate, jaccard_join, license_scan, line_dedup, packed_ids, packing, pii, quality, substring_dedup, token_counts
 from ._dist import shared_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -26,6 +26,11 @@ def _query(name: str):
     return put
 
 
+@_query("op2_substring_dedup")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.repeats(_table(spark, sf_dir, "documents")).drop("spans")
+
+
 def _tokenizer(name: str) -> str:
     import public_tokenizers
 
@@ -83,6 +88,16 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.scan(_table(spark, sf_dir, "documents"))
 
 
+@_query("op7_line_dedup")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.dedup(_table(spark, sf_dir, "documents"), digest=True)
+
+
+@_query("op8_packing")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(token_counts.counts(_table(spark, sf_dir, "documents"), _tokenizer("piece_bpe_32k.model")))
+
+
 @_query("op9_jaccard_join")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.components_of(_table(spark, sf_dir, "documents"), k=4, percent=85)
