@@ -40,6 +40,8 @@ PART_BYTES = 32 << 20
 RANGES = 2000
 REMEMBERED = 200_000
 LONGEST = 64
+#: New words that are encoded as one text.
+JOINED = 4096
 
 
 # --- the format ---------------------------------------------------------------
@@ -107,8 +109,8 @@ class _Encoder:
     """Ids as uint32 bytes; words that come again are encoded once.
 
     A byte-level vocabulary whose split rule lets a space begin a word never
-    joins anything over a space that a non-space follows, so such parts are
-    encoded by themselves. Texts that hold a special string go whole.
+    joins anything over a space that a non-space follows, so new words are
+    encoded many at a time as one text and told apart by their spaces. Texts that hold a special string go whole.
     """
 
     def __init__(self, path: str):
@@ -123,6 +125,10 @@ class _Encoder:
         self.safe = spec.get("normalizer") is None and rule.get("type") == "ByteLevel" and rule.get("use_regex", True) and not rule.get("add_prefix_space")
         self.special = [x["content"] for x in spec.get("added_tokens", [])]
         self.vocabulary = max(self.model.get_vocab(with_added_tokens=True).values()) + 1
+        # In joined words, the ids that hold a space begin the words.
+        self.begins = np.zeros(self.vocabulary, bool)
+        for token, i in self.model.get_vocab(with_added_tokens=False).items():
+            self.begins[i] = "Ġ" in token
         self.seen: dict[str, bytes | None] = {}
 
     def encode(self, parts: list[str]) -> list[bytes]:
@@ -133,8 +139,16 @@ class _Encoder:
         if len(self.seen) > REMEMBERED:
             self.seen.clear()
         new = [w for w in words if w not in self.seen]
-        found = dict(zip(new, self.encode([" " + w for w in new]), strict=True))
-        found.update((w, None) for w in new if not w or w[0].isspace())
+        found: dict[str, bytes | None] = {w: None for w in new if not w or w[0].isspace()}
+        new = [w for w in new if w not in found] if found else new
+        for at in range(0, len(new), JOINED):
+            part = new[at : at + JOINED]
+            ids = np.array(self.model.encode(" " + " ".join(part), add_special_tokens=False).ids, np.uint32)
+            start = np.append(np.flatnonzero(self.begins[ids]), len(ids)) * 4
+            if len(start) != len(part) + 1:
+                raise ValueError("the vocabulary joins words over a space")
+            blob = ids.tobytes()
+            found.update(zip(part, map(blob.__getitem__, map(slice, start[:-1].tolist(), start[1:].tolist())), strict=True))
         self.seen.update((w, x) for w, x in found.items() if len(w) <= LONGEST)
         return self.seen | found if any(len(w) > LONGEST for w in found) else self.seen
 
@@ -242,7 +256,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int | None = 2, id
     (
         docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
         .mapInArrow(encode, "part int, doc_id long, n long, ids binary")
-        .repartition(len(bounds) + 1, "part")
+        .repartitionById(len(bounds) + 1, "part")
         .sortWithinPartitions(F.col("part"), F.col("doc_id").asc_nulls_first(), "n", "ids")
         .mapInArrow(shards, "part int, shard long, first long, n_ids long, doc_ids array<long>, data binary")
         .write.mode("overwrite")
