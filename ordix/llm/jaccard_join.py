@@ -1,12 +1,14 @@
 """N-gram Jaccard join of documents by signature trees.
 
 A document is the set of its distinct word shingles. Documents of equal sets are
-one item. Two sets that reach the threshold share one of their first
-size - ceil(threshold * size) + 1 shingles in any order common to all sets; the
-order here puts shingles that are frequent in the whole corpus last. Items that
-share such a shingle form clusters, and inside a cluster a dual traversal of
-signature trees prunes pairs of nodes by their maximum possible overlap and
-verifies the rest exactly (see candidates and signature_tree).
+one item. Shingles are dealt into m parts by their hash. Two sets of sizes a and
+b that reach the threshold differ in at most (1 - t) / (1 + t) * (a + b)
+shingles, so with more parts than that they agree on a whole part: that part is
+the key by which items meet. Unlike a single shingle, a whole part is rarely
+shared by documents that only have a passage in common. Items that meet form
+clusters, and inside a cluster a dual traversal of signature trees prunes pairs
+of nodes by their maximum possible overlap and verifies the rest exactly (see
+candidates and signature_tree).
 """
 
 from __future__ import annotations
@@ -19,11 +21,61 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _bytes as B
-from ._dist import Kept, prepare, summed
-from .candidates import Items, binary, clusters, links
-
-#: Buckets of the sketch of shingle counts, which orders shingles by frequency: 2 ** BITS.
-BITS = 18
+from ._dist import Kept, prepare
+from .candidates import Items, binary, clusters, codes, links
+
+#: Numbers of parts: set sizes that may link use the same one or neighbours.
+GRID = [4]
+while GRID[-1] < 1 << 40:
+    GRID.append(max(GRID[-1] + 1, GRID[-1] * 6 // 5))
+GRID = np.array(GRID, np.int64)
+#: Parts that both sets of a pair may lack altogether and still agree on another one.
+LACKING = 4 + GRID // 20
+#: Differences for which each number of parts is enough.
+ENOUGH = GRID - 1 - LACKING
+#: Ways to deal shingles into parts; a set that lacks too many parts in one uses the next as well.
+WAYS = (0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3)
+
+
+def _parts(size: np.ndarray, percent: int) -> np.ndarray:
+    """Place in GRID of the number of parts for a pair whose larger set has this size."""
+    return np.searchsorted(ENOUGH, 2 * size * (100 - percent) // (100 + percent))
+
+
+def _keys(key: np.ndarray, off: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of each set, and the set of each key.
+
+    A set takes the numbers of parts of every size up to the largest it may link
+    with. Empty parts are no keys. Two sets that both lack more than LACKING
+    parts might agree on those alone, so such sets are also dealt in the next
+    way, and after the last one their empty parts are keys. Sets too small to
+    differ from a partner have no keys: they link with nothing but equal sets.
+    """
+    size = np.diff(off)
+    most = 100 * size // percent
+    lo, hi = _parts(size, percent), _parts(most, percent)
+    many = np.where((size + most) * (100 - percent) >= 100 + percent, hi - lo + 1, 0)
+    of, grid = np.repeat(np.arange(len(size)), many), B.ranges(lo, many)
+    found, sets = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+    for way, salt in enumerate(WAYS):
+        m = GRID[grid]
+        base = np.cumsum(m) - m
+        n = size[of]
+        tokens = B.mix(key[B.ranges(off[of], n)] ^ np.uint64(salt))
+        entry = np.repeat(np.arange(len(of)), n)
+        slot = base[entry] + (tokens % m[entry].astype(np.uint64)).astype(np.int64)
+        total = int(m.sum())
+        held = np.bincount(slot, minlength=total)
+        sums = np.zeros(total, np.uint64)
+        np.add.at(sums, slot, B.mix(tokens))
+        entry = np.repeat(np.arange(len(of)), m)
+        lacks = np.bincount(entry[held == 0], minlength=len(of)) > LACKING[grid]
+        part = B.mix((np.arange(total) - base[entry]).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + m[entry].astype(np.uint64) + np.uint64(way << 48))
+        keep = (held > 0) | lacks[entry] if way == len(WAYS) - 1 else held > 0
+        found.append(B.mix(sums + part)[keep])
+        sets.append(of[entry][keep])
+        of, grid = of[lacks], grid[lacks]
+    return np.concatenate(found), np.concatenate(sets)
 
 
 def _name(key: np.ndarray, off: np.ndarray) -> np.ndarray:
@@ -36,12 +88,6 @@ def _name(key: np.ndarray, off: np.ndarray) -> np.ndarray:
     return np.stack(parts, axis=1)
 
 
-def _first(part_name: np.ndarray) -> np.ndarray:
-    from .candidates import codes
-
-    return codes(part_name)[0]
-
-
 def components_of(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id.
 
@@ -66,36 +112,21 @@ def components_of(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str =
     full = members.df.where("n_shingles > 0")
     sizes = full.groupBy("node").agg(F.max("n_shingles").alias("size"))
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(1 << BITS, np.int64)
-        for _, t in B.slices(batches, "text"):
-            total += np.bincount((B.shingles(B.lowered(t), k)[0] >> np.uint64(64 - BITS)).astype(np.int64), minlength=1 << BITS)
-        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["v"])
-
-    seen = summed(texts.mapInArrow(count, "v binary"), 1 << BITS)
-    usual = max(1, 2 * int(seen.sum() >> BITS))
-    level = np.array([(int(x) // usual).bit_length() for x in seen], np.uint64)
-    levels = spark.sparkContext.broadcast(level)
-
     def keys(part: pa.RecordBatch, t: B.Texts) -> Items:
         key, off = B.shingles(B.lowered(t), k)
         name = _name(key, off)
         size = np.diff(off)
-        first = _first(name)
+        first, _ = codes(name)
         first = first[size[first] > 0]
         n = size[first]
-        doc = np.repeat(np.arange(len(first)), n)
-        key = key[B.ranges(off[first], n)]
-        order = np.lexsort((key, levels.value[(key >> np.uint64(64 - BITS)).astype(np.int64)], doc))
-        ends = np.cumsum(n) - n
-        many = n - (percent * n + 99) // 100 + 1
-        return Items(name[first], n, B.mix(key[order][B.ranges(ends, many)]), np.repeat(np.arange(len(first)), many))
+        found, of = _keys(key[B.ranges(off[first], n)], np.concatenate(([0], np.cumsum(n))), percent)
+        return Items(name[first], n, found, of)
 
     def sets(part: pa.RecordBatch, t: B.Texts) -> Items:
         key, off = B.shingles(B.lowered(t), k)
         return Items(_name(key, off), np.diff(off), tokens=key, off=off)
 
-    rows = full.agg(F.sum(F.col("n_shingles") * (100 - percent) / 100 + 1)).first()[0] or 0
+    rows = (full.agg(F.sum("n_shingles")).first()[0] or 0) * 4 * (100 - percent) // (100 + percent)
     found = Kept(clusters(texts, keys, int(rows), percent))
     roots = Kept(links(texts, sets, found.df, sizes, percent))
     found.drop()
