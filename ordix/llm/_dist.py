@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import math
 import tempfile
 import uuid
@@ -71,6 +72,12 @@ class Kept:
         path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def release(spark: SparkSession) -> None:
+    """Lets Spark clean the shuffles of what is written already; it does so when the driver collects garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def summed(vectors: DataFrame, length: int, op: np.ufunc = np.add) -> np.ndarray:
     """Adds (or joins by op, to which 0 is neutral) int64 vectors (one binary column `v` of `length` numbers) in two levels.
 

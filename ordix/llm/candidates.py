@@ -20,12 +20,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _bytes as B
-from ._dist import Kept, prepare, summed
+from ._dist import Kept, prepare, release, summed
 from .components import components, local
 from .signature_tree import link
 
 #: Rows of keys that a task gathers before it joins and sends them.
-CHUNK = 600_000
+CHUNK = 300_000
 #: Rows of keys in a bucket of the exchange, about.
 BUCKET_ROWS = 400_000
 #: Tokens of a cluster that one task links; larger clusters are dealt in tiles of half as many.
@@ -38,14 +38,13 @@ FILTER_WORDS = 1 << 17
 
 @dataclass
 class Items:
-    """Items of a slice; keys of item `of`, tokens from off[i] to off[i + 1]."""
+    """Items of a slice; keys of item `of`, or a way to the tokens of chosen items and their offsets."""
 
     name: np.ndarray  # (n, 2) uint64
     size: np.ndarray
     key: np.ndarray | None = None
     of: np.ndarray | None = None
-    tokens: np.ndarray | None = None
-    off: np.ndarray | None = None
+    tokens: Callable[[np.ndarray], tuple[np.ndarray, np.ndarray]] | None = None
 
 
 def codes(name: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -66,6 +65,11 @@ def binary(name: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(np.arange(0, 16 * n + 1, 16, dtype=np.int32)), pa.py_buffer(np.ascontiguousarray(name, ">u8").tobytes())])
 
 
+def short(name: np.ndarray) -> np.ndarray:
+    """The 64 bits of names that travel with keys: equal ones at worst put two items in one cluster."""
+    return (name[:, 0] ^ B.mix(name[:, 1])).view(np.int64)
+
+
 def names(arr: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(arr.to_pylist()), ">u8").astype(np.uint64).reshape(-1, 2)
 
@@ -83,41 +87,37 @@ def _chain(key: np.ndarray, lo: np.ndarray, hi: np.ndarray, percent: int) -> tup
     return order, on
 
 
-_EXCHANGE = "bucket long, key binary, item binary, lo binary, hi binary, names binary, a binary, b binary"
+_EXCHANGE = "bucket long, key binary, node binary, lo binary, hi binary, a binary, b binary"
 
 
 def _rows(held: list[Items], buckets: int, percent: int) -> Iterator[tuple]:
-    name = np.concatenate([x.name for x in held])
-    first, which = codes(name)
+    node = np.concatenate([short(x.name) for x in held])
+    node, first, which = np.unique(node, return_index=True, return_inverse=True)
     base = np.cumsum([0, *(len(x.name) for x in held)])
     key = np.concatenate([x.key for x in held])
     item = which[np.concatenate([x.of + b for x, b in zip(held, base, strict=False)])]
     size = np.concatenate([x.size for x in held])[first].astype(np.int64)
-    name = name[first]
     order, on = _chain(key, size[item], size[item], percent)
     key, item = key[order], item[order]
-    p = local(len(name), item[np.flatnonzero(on)], item[np.flatnonzero(on) - 1])
+    p = local(len(node), item[np.flatnonzero(on)], item[np.flatnonzero(on) - 1])
     start = np.flatnonzero(~on)
-    lo = size[item[start]]
-    hi = size[item[np.append(start[1:], len(on)) - 1]]
+    lo, hi = size[item[start]], size[item[np.append(start[1:], len(on)) - 1]]
     key, item = key[start], item[start]
-    bucket = ((key >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
-    order = np.argsort(bucket, kind="stable")
-    ends = np.searchsorted(bucket[order], np.arange(buckets + 1))
+    # Keys are ascending, so a bucket is a run of them; inside it their low bits do.
+    ends = np.searchsorted(key, np.array([(k << 64) // buckets for k in range(1, buckets)], np.uint64))
+    ends = np.concatenate(([0], ends, [len(key)]))
     child = np.flatnonzero(p != np.arange(len(p)))
-    home = int(name[0, 0] % np.uint64(buckets)) if len(name) else 0
+    home = int(node[0]) % buckets if len(node) else 0
     for k in range(buckets):
-        at = order[ends[k] : ends[k + 1]]
-        a, b = (child, p[child]) if k == home else (child[:0], child[:0])
-        if not len(at) and not len(a):
-            continue
-        used, local_ = np.unique(np.concatenate([item[at], a, b]), return_inverse=True)
-        n, m = len(at), len(a)
-        yield (k, key[at].tobytes(), local_[:n].astype(np.uint32).tobytes(), lo[at].astype(np.uint32).tobytes(), hi[at].astype(np.uint32).tobytes(), name[used].tobytes(), local_[n : n + m].astype(np.uint32).tobytes(), local_[n + m :].astype(np.uint32).tobytes())
+        a, z = ends[k], ends[k + 1]
+        c = child if k == home else child[:0]
+        if z > a or len(c):
+            own = item[a:z]
+            yield (k, key[a:z].astype(np.uint32).tobytes(), node[own].tobytes(), lo[a:z].astype(np.uint32).tobytes(), hi[a:z].astype(np.uint32).tobytes(), node[c].tobytes(), node[p[c]].tobytes())
 
 
-def clusters(docs: DataFrame, emit: Callable[[pa.RecordBatch, B.Texts], Items], rows: int, percent: int) -> DataFrame:
-    """node, root for every item that shares a key with another one of a size that may link.
+def clusters(docs: DataFrame, emit: Callable[[pa.RecordBatch, B.Texts], Items], rows: int, percent: int, slice_bytes: int = B.SLICE_BYTES) -> DataFrame:
+    """node, root (short names) for every item that shares a key with another one of a size that may link.
 
     docs: one column is `text`. rows: about how many keys there are.
     """
@@ -133,7 +133,7 @@ def clusters(docs: DataFrame, emit: Callable[[pa.RecordBatch, B.Texts], Items],
                 cols = list(zip(*out, strict=True))
                 yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), *(pa.array(c, pa.binary()) for c in cols[1:])], [x.split()[0] for x in _EXCHANGE.split(", ")])
 
-        for part, t in B.slices(batches, "text"):
+        for part, t in B.slices(batches, "text", slice_bytes):
             x = emit(part, t)
             if len(x.key):
                 held.append(x)
@@ -144,27 +144,17 @@ def clusters(docs: DataFrame, emit: Callable[[pa.RecordBatch, B.Texts], Items],
         yield from flush()
 
     def join(t: pa.Table) -> pa.Table:
-        def column(i: int, kind) -> list[np.ndarray]:
-            return [np.frombuffer(v, kind) for v in t.column(i).to_pylist()]
-
-        name = [x.reshape(-1, 2) for x in column(5, np.uint64)]
-        base = np.cumsum([0, *(len(x) for x in name)])
-        first, which = codes(np.concatenate(name))
-        name = np.concatenate(name)[first]
-
-        def items(i: int) -> np.ndarray:
-            return which[np.concatenate([x.astype(np.int64) + b for x, b in zip(column(i, np.uint32), base, strict=False)])]
-
-        key, item = np.concatenate(column(1, np.uint64)), items(2)
-        lo, hi = (np.concatenate(column(i, np.uint32)).astype(np.int64) for i in (3, 4))
-        order, on = _chain(key, lo, hi, percent)
-        item = item[order]
+        key, node, lo, hi, a, b = (np.frombuffer(b"".join(t.column(i + 1).to_pylist()), kind) for i, kind in enumerate((np.uint32, np.int64, np.uint32, np.uint32, np.int64, np.int64)))
+        order, on = _chain(key, lo.astype(np.int64), hi.astype(np.int64), percent)
+        node = node[order]
         at = np.flatnonzero(on)
-        p = local(len(name), np.concatenate([item[at], items(6)]), np.concatenate([item[at - 1], items(7)]))
+        name, code = np.unique(np.concatenate([node[at], node[at - 1], a, b]), return_inverse=True)
+        ends = np.cumsum([len(at), len(at), len(a)])
+        p = local(len(name), np.concatenate([code[: ends[0]], code[ends[1] : ends[2]]]), np.concatenate([code[ends[0] : ends[1]], code[ends[2] :]]))
         child = np.flatnonzero(p != np.arange(len(p)))
-        return pa.table({"a": binary(name[child]), "b": binary(name[p[child]])})
+        return pa.table({"a": name[child], "b": name[p[child]]})
 
-    edges = docs.mapInArrow(send, _EXCHANGE).groupBy("bucket").applyInArrow(join, "a binary, b binary")
+    edges = docs.mapInArrow(send, _EXCHANGE).groupBy("bucket").applyInArrow(join, "a long, b long")
     return components(edges)
 
 
@@ -186,14 +176,15 @@ def _filter(nodes: DataFrame) -> np.ndarray:
     return summed(nodes.mapInArrow(fill, "v binary"), FILTER_WORDS, np.bitwise_or).view(np.uint64)
 
 
-def links(docs: DataFrame, emit: Callable[[pa.RecordBatch, B.Texts], Items], found: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
+def links(docs: DataFrame, emit: Callable[[pa.RecordBatch, B.Texts], Items], found: DataFrame, sizes: DataFrame, percent: int, slice_bytes: int = B.SLICE_BYTES) -> DataFrame:
     """node, root by verified links 100 * common >= percent * union among the items of each cluster.
 
-    found: node, root of clusters(). sizes: node, size of each distinct item.
-    emit gives items with tokens. Items without a link are left out.
+    found: node, root of clusters(). sizes: node, short and size of each distinct
+    item. emit gives items with tokens. Items without a link are left out.
     """
     spark = docs.sparkSession
-    found = Kept(found.join(sizes, "node"))
+    found = Kept(found.withColumnRenamed("node", "short").join(sizes, "short").drop("short"))
+    release(spark)
     weight = found.df.groupBy("root").agg(F.sum("size").alias("weight"))
     weighed = Kept(found.df.join(weight, "root"))
     total = weighed.df.agg(F.sum("size")).first()[0] or 0
@@ -201,7 +192,7 @@ def links(docs: DataFrame, emit: Callable[[pa.RecordBatch, B.Texts], Items], fou
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = bits.value
-        for part, t in B.slices(batches, "text"):
+        for part, t in B.slices(batches, "text", slice_bytes):
             x = emit(part, t)
             first, _ = codes(x.name)
             held = np.ones(len(first), bool)
@@ -209,12 +200,13 @@ def links(docs: DataFrame, emit: Callable[[pa.RecordBatch, B.Texts], Items], fou
                 held &= (own[(p >> np.uint64(6)).astype(np.int64)] >> (p & np.uint64(63))) & np.uint64(1) == 1
             first = first[held]
             if len(first):
-                blobs = [x.tokens[x.off[i] : x.off[i + 1]].tobytes() for i in first]
+                tokens, off = x.tokens(first)
+                blobs = [tokens[a:z].tobytes() for a, z in zip(off[:-1], off[1:], strict=True)]
                 yield pa.RecordBatch.from_arrays([binary(x.name[first]), pa.array(blobs, pa.binary())], ["node", "tokens"])
 
     sets = docs.mapInArrow(send, "node binary, tokens binary").join(weighed.df, "node").dropDuplicates(["node"])
     tiles = F.when(F.col("weight") <= TILE_TOKENS, 0).otherwise(F.ceil(F.col("weight") / (TILE_TOKENS / 2)).cast("int"))
-    band = F.floor(F.log(F.greatest(F.col("size"), F.lit(1))) / math.log(100 / percent)).cast("int")
+    band = F.floor(F.log(F.greatest(F.octet_length("tokens") / 8, F.lit(1))) / math.log(100 / percent)).cast("int")
     own = F.struct(F.col("band").alias("band"), F.col("tile").alias("tile"))
     # A tile meets the tiles of its own band of sizes and of the next ones; further sizes can't link.
     groups = F.flatten(F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda d: F.transform(F.sequence(F.lit(0), F.col("tiles") - 1), lambda k: F.struct((F.col("band") + d).alias("band"), k.cast("int").alias("tile")))))
@@ -262,4 +254,6 @@ def links(docs: DataFrame, emit: Callable[[pa.RecordBatch, B.Texts], Items], fou
     edges = dealt.repartition(parts, "root", "group").sortWithinPartitions("root", "group", "node").mapInArrow(join, "a binary, b binary")
     out = components(edges)
     found.drop()
+    weighed.drop()
+    release(spark)
     return out

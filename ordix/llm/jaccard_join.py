@@ -21,8 +21,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _bytes as B
-from ._dist import Kept, prepare
-from .candidates import Items, binary, clusters, codes, links
+from ._dist import Kept, prepare, release
+from .candidates import Items, binary, clusters, codes, links, short
 
 #: Numbers of parts: set sizes that may link use the same one or neighbours.
 GRID = [4]
@@ -106,11 +106,12 @@ def components_of(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str =
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, t in B.slices(batches, "text"):
             key, off = B.shingles(B.lowered(t), k)
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.diff(off)), binary(_name(key, off))], ["doc_id", "n_shingles", "node"])
+            name = _name(key, off)
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.diff(off)), binary(name), pa.array(short(name))], ["doc_id", "n_shingles", "node", "short"])
 
-    members = Kept(texts.mapInArrow(describe, f"doc_id {kind}, n_shingles long, node binary"))
+    members = Kept(texts.mapInArrow(describe, f"doc_id {kind}, n_shingles long, node binary, short long"))
     full = members.df.where("n_shingles > 0")
-    sizes = full.groupBy("node").agg(F.max("n_shingles").alias("size"))
+    sizes = full.groupBy("node", "short").agg(F.max("n_shingles").alias("size"))
 
     def keys(part: pa.RecordBatch, t: B.Texts) -> Items:
         key, off = B.shingles(B.lowered(t), k)
@@ -124,12 +125,15 @@ def components_of(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str =
 
     def sets(part: pa.RecordBatch, t: B.Texts) -> Items:
         key, off = B.shingles(B.lowered(t), k)
-        return Items(_name(key, off), np.diff(off), tokens=key, off=off)
+        size = np.diff(off)
+        return Items(_name(key, off), size, tokens=lambda at: (key[B.ranges(off[at], size[at])], np.concatenate(([0], np.cumsum(size[at])))))
 
     rows = (full.agg(F.sum("n_shingles")).first()[0] or 0) * 4 * (100 - percent) // (100 + percent)
     found = Kept(clusters(texts, keys, int(rows), percent))
+    release(spark)
     roots = Kept(links(texts, sets, found.df, sizes, percent))
     found.drop()
+    release(spark)
     # The smallest id of each set, then of each component: one row per distinct set.
     least = full.groupBy("node").agg(F.min("doc_id").alias("least")).join(roots.df, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "least")
     ids = least.groupBy("root").agg(F.min("least").alias("component_id"))

@@ -18,8 +18,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _bytes as B
-from ._dist import Kept, prepare
-from .candidates import Items, binary, clusters, codes, links
+from ._dist import Kept, prepare, release
+from .candidates import Items, binary, clusters, codes, links, short
 
 #: Characters in a shingle; a shorter line is one shingle.
 K = 8
@@ -27,53 +27,52 @@ K = 8
 PERCENT = 80
 #: Bands and rows: a pair of similarity 0.8 is found with probability 1 - (1 - 0.8^6)^24 = 0.9993.
 BANDS, ROWS = 24, 6
-#: Bytes of text whose shingles are hashed together, few enough for a core's cache.
+#: Bytes of text whose lines are worked on together, few enough for a core's cache.
 CACHE_BYTES = 128 << 10
 
 _rng = np.random.Generator(np.random.PCG64(77))
-_A = _rng.integers(0, 2**31, BANDS * ROWS, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
-_C = _rng.integers(0, 2**32, BANDS * ROWS, dtype=np.uint32)
-#: Characters that alone don't make a line.
-_BLANK = np.array([9, 10, 11, 12, 13, 32], np.uint32)
+_A = _rng.integers(0, 2**15, BANDS * ROWS, dtype=np.uint16) * np.uint16(2) + np.uint16(1)
+_C = _rng.integers(0, 2**16, BANDS * ROWS, dtype=np.uint16)
+#: A second random value for each byte, for the other half of the names.
+_T2 = _rng.integers(0, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+#: Bytes that alone don't make a line.
+_SOLID = B.table(lambda b: not (9 <= b <= 13 or b == 32))
 
 
 class Lines:
-    """The lines of a slice that hold more than white space."""
+    """The lines of a slice that hold more than white space. Offsets are in bytes, shingles in characters."""
 
     def __init__(self, t: B.Texts):
-        starts = np.zeros(len(t.data) + 1, np.int64)
-        np.cumsum((t.data & 0xC0) != 0x80, out=starts[1:])
-        self.chars = chars = np.frombuffer(t.data.tobytes().decode("utf-8", "replace").encode("utf-32-le"), np.uint32)
-        off = starts[t.off]
-        s, e, loff = B.runs(chars != 10, off)
-        solid = np.zeros(len(chars) + 1, np.int64)
-        np.cumsum(~np.isin(chars, _BLANK), out=solid[1:])
+        data = t.data
+        breaks = np.flatnonzero(data == 10)
+        s, e, loff = B.runs(data != 10, t.off)
+        solid = np.zeros(len(data) + 1, np.int32)
+        np.cumsum(_SOLID[data], out=solid[1:])
         has = solid[e] > solid[s]
-        doc = B.ids(np.diff(loff))
-        breaks = np.zeros(len(chars) + 1, np.int64)
-        np.cumsum(chars == 10, out=breaks[1:])
-        self.start, self.end, self.doc = s[has], e[has], doc[has]
-        self.number = breaks[self.start] - breaks[off[self.doc]]
-        wide = chars.astype(np.uint64)
-        self.gram = B.grams(wide, K)
-        # 128-bit names of the lines.
-        p = np.zeros((2, len(chars) + 1), np.uint64)
-        pw, ip = B._powers(len(chars) + 1)
-        for i, salt in enumerate((0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)):
-            np.cumsum(B.mix(wide ^ np.uint64(salt)) * pw[: len(chars)], out=p[i, 1:])
-        size = (self.end - self.start).astype(np.uint64)
-        self.name = np.stack([B.mix((x[self.end] - x[self.start]) * ip[self.start] + size) for x in p], axis=1)
-        self.size = np.maximum(self.end - self.start - K + 1, 1)
+        self.start, self.end, self.doc = s[has], e[has], B.ids(np.diff(loff))[has]
+        self.number = np.searchsorted(breaks, self.start) - np.searchsorted(breaks, t.off[self.doc])
+        self.prefix = t.prefix()
+        pw, self.ip = B._powers(len(data) + 1)
+        other = np.zeros(len(data) + 1, np.uint64)
+        np.cumsum(_T2[data] * pw[: len(data)], out=other[1:])
+        long = (self.end - self.start).astype(np.uint64)
+        self.name = np.stack([B.mix((x[self.end] - x[self.start]) * self.ip[self.start] + long) for x in (self.prefix, other)], axis=1)
+        self.data = data
+        self.size = np.maximum(self.end - self.start - K + 1, 1)  # at most, in bytes
 
     def shingles(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Shingles of the given lines, with repeats, and their offsets."""
-        n = self.size[which]
-        at = B.ranges(self.start[which], n)
-        out = self.gram[np.minimum(at, len(self.gram) - 1)] if len(self.gram) else np.zeros(len(at), np.uint64)
+        starts = np.flatnonzero((self.data & 0xC0) != 0x80)  # of characters
+        a, z = np.searchsorted(starts, self.start[which]), np.searchsorted(starts, self.end[which])
+        starts = np.append(starts, len(self.data))
+        n = np.maximum(z - a - K + 1, 1)
+        first = B.ranges(a, n)
+        lo = starts[first]
+        hi = starts[np.minimum(first + K, len(starts) - 1)]
         off = np.concatenate(([0], np.cumsum(n)))
-        short = np.flatnonzero(self.end[which] - self.start[which] < K)
-        out[off[short]] = self.name[which[short], 0]
-        return out, off
+        short_ = np.flatnonzero(z - a < K)
+        hi[off[short_]] = self.end[which[short_]]
+        return B.mix((self.prefix[hi] - self.prefix[lo]) * self.ip[lo]), off
 
     def sets(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Sorted distinct shingles of the given lines and their offsets."""
@@ -90,8 +89,8 @@ class Lines:
         if not len(which):
             return np.zeros((0, BANDS), np.uint64)
         key, off = self.shingles(which)
-        low = (key >> np.uint64(32)).astype(np.uint32)
-        sig = np.empty((BANDS * ROWS, len(which)), np.uint32)
+        low = (key >> np.uint64(48)).astype(np.uint16)
+        sig = np.empty((BANDS * ROWS, len(which)), np.uint16)
         for j in range(BANDS * ROWS):
             sig[j] = np.minimum.reduceat((low ^ _C[j]) * _A[j], off[:-1])
         sig = sig.astype(np.uint64).reshape(BANDS, ROWS, -1)
@@ -103,41 +102,34 @@ class Lines:
 
 def drops(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, doc_key (hash of id and text) and the numbers of the lines that go, of documents that lose any."""
-    prepare(docs.sparkSession)
+    spark = docs.sparkSession
+    prepare(spark)
     kind = docs.select(id_col).schema[0].dataType.simpleString()
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(id_col, text_col).alias("doc_key"))
 
     def keys(part: pa.RecordBatch, t: B.Texts) -> Items:
-        found = []
-        at = 0
-        while at < t.n:
-            to = max(at + 1, int(np.searchsorted(t.off, t.off[at] + CACHE_BYTES, "right")) - 1)
-            x = Lines(B.Texts(t.data[t.off[at] : t.off[to]], t.off[at : to + 1] - t.off[at]))
-            first, _ = codes(x.name)
-            found.append((x.name[first], x.bands(first)))
-            at = to
-        name, band = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros((0, 2), np.uint64), np.zeros((0, BANDS), np.uint64))
-        first, _ = codes(name)
-        return Items(name[first], np.ones(len(first), np.int64), band[first].ravel(), np.repeat(np.arange(len(first)), BANDS))
+        x = Lines(t)
+        first, _ = codes(x.name)
+        return Items(x.name[first], np.ones(len(first), np.int64), x.bands(first).ravel(), np.repeat(np.arange(len(first)), BANDS))
 
     def sets(part: pa.RecordBatch, t: B.Texts) -> Items:
         x = Lines(t)
-        first, _ = codes(x.name)
-        key, off = x.sets(first)
-        return Items(x.name[first], np.diff(off), tokens=key, off=off)
+        return Items(x.name, x.size, tokens=x.sets)
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, t in B.slices(batches, "text"):
+        for part, t in B.slices(batches, "text", CACHE_BYTES):
             x = Lines(t)
-            yield pa.RecordBatch.from_arrays([binary(x.name), pa.array(x.size), part.column(0).take(pa.array(x.doc)), part.column(2).take(pa.array(x.doc)), pa.array(x.number)], ["node", "size", "doc_id", "doc_key", "line"])
+            yield pa.RecordBatch.from_arrays([binary(x.name), pa.array(short(x.name)), pa.array(x.size), part.column(0).take(pa.array(x.doc)), part.column(2).take(pa.array(x.doc)), pa.array(x.number)], ["node", "short", "size", "doc_id", "doc_key", "line"])
 
-    lines = texts.mapInArrow(describe, f"node binary, size long, doc_id {kind}, doc_key long, line long")
+    lines = texts.mapInArrow(describe, f"node binary, short long, size long, doc_id {kind}, doc_key long, line long")
     place = F.struct("doc_id", "doc_key", "line")
-    classes = Kept(lines.groupBy("node").agg(F.max("size").alias("size"), F.min(place).alias("keeper"), F.count("*").alias("n")))
+    classes = Kept(lines.groupBy("node", "short").agg(F.max("size").alias("size"), F.min(place).alias("keeper"), F.count("*").alias("n")))
     rows = classes.df.count() * BANDS
-    found = Kept(clusters(texts, keys, rows, PERCENT))
-    roots = Kept(links(texts, sets, found.df, classes.df.select("node", "size"), PERCENT))
+    found = Kept(clusters(texts, keys, rows, PERCENT, CACHE_BYTES))
+    release(spark)
+    roots = Kept(links(texts, sets, found.df, classes.df.select("node", "short", "size"), PERCENT, CACHE_BYTES))
     found.drop()
+    release(spark)
     # A component's keeper is the least of its classes'.
     joined = classes.df.join(roots.df, "node")
     best = joined.groupBy("root").agg(F.min("keeper").alias("keeper"))
