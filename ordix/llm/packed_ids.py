@@ -41,7 +41,7 @@ RANGES = 2000
 REMEMBERED = 200_000
 LONGEST = 64
 #: New words that are encoded as one text.
-JOINED = 4096
+JOINED = 64
 
 
 # --- the format ---------------------------------------------------------------
@@ -129,38 +129,53 @@ class _Encoder:
         self.begins = np.zeros(self.vocabulary, bool)
         for token, i in self.model.get_vocab(with_added_tokens=False).items():
             self.begins[i] = "Ġ" in token
+        self.stops = dict(zip(".,", self.encode([".", ","]), strict=True))
         self.seen: dict[str, bytes | None] = {}
+        self.before: dict[str, bytes | None] = {}
 
     def encode(self, parts: list[str]) -> list[bytes]:
         return [np.array(x.ids, np.uint32).tobytes() for x in self.model.encode_batch(parts, add_special_tokens=False)]
 
     def learn(self, words: set[str]) -> dict[str, bytes | None]:
         """Ids of each word after a space; None where the split there isn't sure."""
-        if len(self.seen) > REMEMBERED:
-            self.seen.clear()
-        new = [w for w in words if w not in self.seen]
-        found: dict[str, bytes | None] = {w: None for w in new if not w or w[0].isspace()}
-        new = [w for w in new if w not in found] if found else new
-        for at in range(0, len(new), JOINED):
-            part = new[at : at + JOINED]
-            ids = np.array(self.model.encode(" " + " ".join(part), add_special_tokens=False).ids, np.uint32)
+        if len(self.seen) > REMEMBERED:  # words that come again outlive the others
+            self.before, self.seen = self.seen, {}
+        new = words.difference(self.seen)
+        again = new.intersection(self.before)
+        found: dict[str, bytes | None] = {w: self.before[w] for w in again}
+        new -= again
+        unsure = {w for w in new if not w or w[0].isspace()}
+        found.update(dict.fromkeys(unsure))
+        # A stop after letters is always apart: such words are those without it, and the stop.
+        stopped = {w for w in new if w[-1:] in self.stops and w[:-1].isalpha()}
+        cores = {w[:-1] for w in stopped}
+        found.update((w, self.seen[w]) for w in cores.intersection(self.seen))
+        new = list((new | cores).difference(unsure, stopped, found))
+        joined = [new[at : at + JOINED] for at in range(0, len(new), JOINED)]
+        for part, got in zip(joined, self.model.encode_batch_fast([" " + " ".join(p) for p in joined], add_special_tokens=False), strict=True):
+            ids = np.array(got.ids, np.uint32)
             start = np.append(np.flatnonzero(self.begins[ids]), len(ids)) * 4
             if len(start) != len(part) + 1:
                 raise ValueError("the vocabulary joins words over a space")
-            blob = ids.tobytes()
-            found.update(zip(part, map(blob.__getitem__, map(slice, start[:-1].tolist(), start[1:].tolist())), strict=True))
-        self.seen.update((w, x) for w, x in found.items() if len(w) <= LONGEST)
-        return self.seen | found if any(len(w) > LONGEST for w in found) else self.seen
+            blob, start = ids.tobytes(), start.tolist()
+            found.update(zip(part, map(blob.__getitem__, map(slice, start[:-1], start[1:])), strict=True))
+        found.update((w, found[w[:-1]] + self.stops[w[-1]]) for w in stopped)
+        if any(map(LONGEST.__lt__, map(len, new))):
+            known = self.seen | found
+            self.seen.update((w, x) for w, x in found.items() if len(w) <= LONGEST)
+            return known
+        self.seen.update(found)
+        return self.seen
 
     def ids(self, texts: list[str]) -> list[bytes]:
         whole = [not self.safe or any(s in t for s in self.special) for t in texts]
         split = [[t] if w else t.split(" ") for t, w in zip(texts, whole, strict=True)]
-        known = self.learn({w for s in split for w in s[1:]})
-        heads = self.encode([s[0] for s in split])
+        heads = self.encode([s.pop(0) for s in split])
+        known = self.learn(set().union(*split))
         out, slow = [], []
         for i, (s, head) in enumerate(zip(split, heads, strict=True)):
             try:
-                out.append(b"".join([head, *map(known.__getitem__, s[1:])]))
+                out.append(head + b"".join(map(known.__getitem__, s)))
             except TypeError:  # spaces in a row
                 out.append(b"")
                 slow.append(i)
