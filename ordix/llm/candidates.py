@@ -38,13 +38,13 @@ FILTER_WORDS = 1 << 17
 
 @dataclass
 class Items:
-    """Items of a slice; keys of item `of`, or a way to the tokens of chosen items and their offsets."""
+    """Items of a slice; keys of item `of`, or a way to the texts of chosen items."""
 
     name: np.ndarray  # (n, 2) uint64
     size: np.ndarray
     key: np.ndarray | None = None
     of: np.ndarray | None = None
-    tokens: Callable[[np.ndarray], tuple[np.ndarray, np.ndarray]] | None = None
+    texts: Callable[[np.ndarray], list[bytes]] | None = None
 
 
 def codes(name: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -176,11 +176,14 @@ def _filter(nodes: DataFrame) -> np.ndarray:
     return summed(nodes.mapInArrow(fill, "v binary"), FILTER_WORDS, np.bitwise_or).view(np.uint64)
 
 
-def links(docs: DataFrame, emit: Callable[[pa.RecordBatch, B.Texts], Items], found: DataFrame, sizes: DataFrame, percent: int, slice_bytes: int = B.SLICE_BYTES) -> DataFrame:
+def links(docs: DataFrame, emit: Callable[[pa.RecordBatch, B.Texts], Items], expand: Callable[[B.Texts], tuple[np.ndarray, np.ndarray]], found: DataFrame, sizes: DataFrame, percent: int, slice_bytes: int = B.SLICE_BYTES, banded: bool = True) -> DataFrame:
     """node, root by verified links 100 * common >= percent * union among the items of each cluster.
 
     found: node, root of clusters(). sizes: node, short and size of each distinct
-    item. emit gives items with tokens. Items without a link are left out.
+    item. emit gives items with texts, which are smaller than their sets and
+    travel in their place; expand makes the sets of texts. banded: sizes are
+    those of the sets, so tiles of sizes too far apart needn't meet. Items
+    without a link are left out.
     """
     spark = docs.sparkSession
     found = Kept(found.withColumnRenamed("node", "short").join(sizes, "short").drop("short"))
@@ -200,24 +203,22 @@ def links(docs: DataFrame, emit: Callable[[pa.RecordBatch, B.Texts], Items], fou
                 held &= (own[(p >> np.uint64(6)).astype(np.int64)] >> (p & np.uint64(63))) & np.uint64(1) == 1
             first = first[held]
             if len(first):
-                tokens, off = x.tokens(first)
-                blobs = [tokens[a:z].tobytes() for a, z in zip(off[:-1], off[1:], strict=True)]
-                yield pa.RecordBatch.from_arrays([binary(x.name[first]), pa.array(blobs, pa.binary())], ["node", "tokens"])
+                yield pa.RecordBatch.from_arrays([binary(x.name[first]), pa.array(x.texts(first), pa.binary())], ["node", "item"])
 
-    sets = docs.mapInArrow(send, "node binary, tokens binary").join(weighed.df, "node").dropDuplicates(["node"])
+    sets = docs.mapInArrow(send, "node binary, item binary").join(weighed.df, "node").dropDuplicates(["node"])
     tiles = F.when(F.col("weight") <= TILE_TOKENS, 0).otherwise(F.ceil(F.col("weight") / (TILE_TOKENS / 2)).cast("int"))
-    band = F.floor(F.log(F.greatest(F.octet_length("tokens") / 8, F.lit(1))) / math.log(100 / percent)).cast("int")
+    band = F.floor(F.log(F.greatest("size", F.lit(1))) / math.log(100 / percent)).cast("int") if banded else F.lit(0)
     own = F.struct(F.col("band").alias("band"), F.col("tile").alias("tile"))
     # A tile meets the tiles of its own band of sizes and of the next ones; further sizes can't link.
-    groups = F.flatten(F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda d: F.transform(F.sequence(F.lit(0), F.col("tiles") - 1), lambda k: F.struct((F.col("band") + d).alias("band"), k.cast("int").alias("tile")))))
+    groups = F.flatten(F.transform(F.array(*(F.lit(d) for d in ((-1, 0, 1) if banded else (0,)))), lambda d: F.transform(F.sequence(F.lit(0), F.col("tiles") - 1), lambda k: F.struct((F.col("band") + d).alias("band"), k.cast("int").alias("tile")))))
     one = F.array(F.struct(F.lit("").alias("group"), F.lit(0).alias("side")))
     named = F.transform(groups, lambda g: F.struct(F.concat_ws(":", F.least(g, own).cast("string"), F.greatest(g, own).cast("string")).alias("group"), (g < own).cast("int").alias("side")))
     dealt = (
         sets.withColumn("tiles", tiles)
         .withColumn("band", band)
         .withColumn("tile", F.when(F.col("tiles") > 0, F.pmod(F.xxhash64("node"), F.greatest("tiles", F.lit(1)))).otherwise(0).cast("int"))
-        .select("root", "node", "tokens", F.explode(F.when(F.col("tiles") > 0, named).otherwise(one)).alias("g"))
-        .select("root", F.col("g.group").alias("group"), F.col("g.side").alias("side"), "node", "tokens")
+        .select("root", "node", "item", F.explode(F.when(F.col("tiles") > 0, named).otherwise(one)).alias("g"))
+        .select("root", F.col("g.group").alias("group"), F.col("g.side").alias("side"), "node", "item")
     )
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -227,9 +228,9 @@ def links(docs: DataFrame, emit: Callable[[pa.RecordBatch, B.Texts], Items], fou
             t = pa.concat_tables(held)
             if t.num_rows < 2:
                 return
-            blobs = t.column(4).to_pylist()
-            off = np.concatenate(([0], np.cumsum([len(x) // 8 for x in blobs])))
-            p = link(np.frombuffer(b"".join(blobs), np.uint64), off, percent, t.column(2).to_numpy())
+            items = t.column(4).to_pylist()
+            tokens, off = expand(B.Texts(np.frombuffer(b"".join(items), np.uint8), np.concatenate(([0], np.cumsum([len(x) for x in items])))))
+            p = link(tokens, off, percent, t.column(2).to_numpy())
             child = np.flatnonzero(p != np.arange(len(p)))
             node = t.column(3).combine_chunks()
             if len(child):

@@ -125,13 +125,12 @@ def components_of(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str =
 
     def sets(part: pa.RecordBatch, t: B.Texts) -> Items:
         key, off = B.shingles(B.lowered(t), k)
-        size = np.diff(off)
-        return Items(_name(key, off), size, tokens=lambda at: (key[B.ranges(off[at], size[at])], np.concatenate(([0], np.cumsum(size[at])))))
+        return Items(_name(key, off), np.diff(off), texts=lambda at: [t.data[t.off[i] : t.off[i + 1]].tobytes() for i in at])
 
     rows = (full.agg(F.sum("n_shingles")).first()[0] or 0) * 4 * (100 - percent) // (100 + percent)
     found = Kept(clusters(texts, keys, int(rows), percent))
     release(spark)
-    roots = Kept(links(texts, sets, found.df, sizes, percent))
+    roots = Kept(links(texts, sets, lambda t: B.shingles(B.lowered(t), k), found.df, sizes, percent))
     found.drop()
     release(spark)
     # The smallest id of each set, then of each component: one row per distinct set.

@@ -114,7 +114,10 @@ def drops(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
 
     def sets(part: pa.RecordBatch, t: B.Texts) -> Items:
         x = Lines(t)
-        return Items(x.name, x.size, tokens=x.sets)
+        return Items(x.name, x.size, texts=lambda at: [t.data[x.start[i] : x.end[i]].tobytes() for i in at])
+
+    def expand(t: B.Texts) -> tuple[np.ndarray, np.ndarray]:
+        return Lines(t).sets(np.arange(t.n))
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, t in B.slices(batches, "text", CACHE_BYTES):
@@ -127,7 +130,7 @@ def drops(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     rows = classes.df.count() * BANDS
     found = Kept(clusters(texts, keys, rows, PERCENT, CACHE_BYTES))
     release(spark)
-    roots = Kept(links(texts, sets, found.df, classes.df.select("node", "short", "size"), PERCENT, CACHE_BYTES))
+    roots = Kept(links(texts, sets, expand, found.df, classes.df.select("node", "short", "size"), PERCENT, CACHE_BYTES, banded=False))
     found.drop()
     release(spark)
     # A component's keeper is the least of its classes'.
