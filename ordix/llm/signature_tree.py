@@ -15,8 +15,8 @@ from .components import local
 
 #: Sets in a leaf, nodes in a node.
 LEAF, FAN = 16, 8
-#: Pairs of sets that are looked at together.
-CHUNK = 1 << 17
+#: Pairs of sets that are looked at together, and tokens of the sets that are counted together.
+CHUNK, TOKENS = 1 << 15, 1 << 20
 #: Sets from which on a few hubs are compared with all others before the traversal.
 HUBS_FROM, HUBS = 48, 16
 
@@ -57,6 +57,7 @@ class Sets:
         i, j = i[open_], j[open_]
         step = 64
         while len(i):
+            step = max(1, min(step, int(np.searchsorted(np.cumsum(self.size[j[:step]]), TOKENS, "right"))))
             a, b, i, j = i[:step], j[:step], i[step:], j[step:]
             ok = self.verify(a, b)
             if ok.any():
@@ -115,8 +116,9 @@ def _traverse(s: Sets, x: Tree, y: Tree) -> None:
     stack = [(top, np.zeros(1, np.int64), np.zeros(1, np.int64))]
     while stack:
         level, i, j = stack.pop()
-        if len(i) > CHUNK >> 4 and level:
-            stack += [(level, i[a : a + (CHUNK >> 4)], j[a : a + (CHUNK >> 4)]) for a in range(0, len(i), CHUNK >> 4)]
+        most = CHUNK // LEAF**2 if level else CHUNK
+        if len(i) > most:
+            stack += [(level, i[a : a + most], j[a : a + most]) for a in range(0, len(i), most)]
             continue
         ux, uy = x.uniform(s.label), y.uniform(s.label)
         cx, cy = ux[min(level, len(ux) - 1)][i], uy[min(level, len(uy) - 1)][j]
