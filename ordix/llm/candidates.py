@@ -29,7 +29,9 @@ CHUNK = 300_000
 #: Rows of keys in a bucket of the exchange, about.
 BUCKET_ROWS = 400_000
 #: Tokens of a cluster that one task links; larger clusters are dealt in tiles of half as many.
-TILE_TOKENS = 3_000_000
+TILE_TOKENS = 1_500_000
+#: Bytes of a cluster's texts that are made sets at once.
+EXPAND_BYTES = 256 << 10
 #: Tokens that a partition of clusters holds, about.
 PART_TOKENS = 1_500_000
 #: Words of the filter that says which items are in clusters: its size is bound, a full one only lets more rows by.
@@ -228,9 +230,9 @@ def links(docs: DataFrame, emit: Callable[[pa.RecordBatch, B.Texts], Items], exp
             t = pa.concat_tables(held)
             if t.num_rows < 2:
                 return
-            items = t.column(4).to_pylist()
-            tokens, off = expand(B.Texts(np.frombuffer(b"".join(items), np.uint8), np.concatenate(([0], np.cumsum([len(x) for x in items])))))
-            p = link(tokens, off, percent, t.column(2).to_numpy())
+            sets = [expand(x) for _, x in B.slices(t.select([4]).cast(pa.schema([("item", pa.large_string())])).combine_chunks().to_batches(), "item", EXPAND_BYTES)]
+            off = np.concatenate(([0], np.cumsum(np.concatenate([np.diff(o) for _, o in sets]))))
+            p = link(np.concatenate([k for k, _ in sets]), off, percent, t.column(2).to_numpy())
             child = np.flatnonzero(p != np.arange(len(p)))
             node = t.column(3).combine_chunks()
             if len(child):
