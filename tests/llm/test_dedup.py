@@ -93,8 +93,8 @@ def test_lines_of_the_tables(docs, texts):
 
 
 def test_near_lines(spark):
-    base = "a line of some length that comes again with one word changed, and more"
-    rows = [(1, f"first\n{base}"), (2, base.replace("word", "term") + "\nsecond"), (3, "first\n\n \nthird"), (4, None), (5, base)]
+    base = "a line of some length that comes again with one word changed, and more " * 3
+    rows = [(1, f"first\n{base}"), (2, base.replace("word", "term", 1) + "\nsecond"), (3, "first\n\n \nthird"), (4, None), (5, base)]
     got = {r.doc_id: r.text for r in line_dedup.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == {1: f"first\n{base}", 2: "second", 3: "\n \nthird", 4: None, 5: ""}
 
