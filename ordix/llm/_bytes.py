@@ -7,6 +7,8 @@ the operators are ASCII classes plus "all non-ASCII", so byte tables are exact.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -44,6 +46,13 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def trim() -> None:
+    """Gives freed memory back to the system: a worker is kept for later tasks beside other workers."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only where the C library can
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 class Texts:
     """A run of texts: their bytes back to back and their offsets."""
 
@@ -88,6 +97,7 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = SLICE_BYT
             part = batch.slice(at, to - at)
             yield part, texts_of(part.column(i))
             at = to
+    trim()
 
 
 def runs(mask: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

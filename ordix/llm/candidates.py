@@ -235,6 +235,8 @@ def links(docs: DataFrame, emit: Callable[[pa.RecordBatch, B.Texts], Items], exp
             p = link(np.concatenate([k for k, _ in sets]), off, percent, t.column(2).to_numpy())
             child = np.flatnonzero(p != np.arange(len(p)))
             node = t.column(3).combine_chunks()
+            if t.num_rows > 1000:
+                B.trim()
             if len(child):
                 yield pa.RecordBatch.from_arrays([node.take(pa.array(child)), node.take(pa.array(p[child]))], ["a", "b"])
 
@@ -252,6 +254,7 @@ def links(docs: DataFrame, emit: Callable[[pa.RecordBatch, B.Texts], Items], exp
             held.append(pa.Table.from_batches([b.slice(at)]))
         if held:
             yield from close()
+        B.trim()
 
     parts = max(spark.sparkContext.defaultParallelism, -(-int(total) // PART_TOKENS))
     edges = dealt.repartition(parts, "root", "group").sortWithinPartitions("root", "group", "node").mapInArrow(join, "a binary, b binary")
