@@ -11,13 +11,13 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ._dist import Kept
+
 #: Buckets, tokens in a batch (padding included).
 BUCKETS = 16
 BUDGET = 65_536
 #: Documents of a bucket that one task numbers, about.
 SLAB_ROWS = 50_000
-#: Distinct lengths up to which boundaries are exact; further ones are rounded up to equal steps.
-LEVELS = 16_384
 
 
 def boundaries(lengths: np.ndarray, counts: np.ndarray, buckets: int = BUCKETS) -> np.ndarray:
@@ -62,12 +62,14 @@ def boundaries(lengths: np.ndarray, counts: np.ndarray, buckets: int = BUCKETS)
     return np.array(sorted(out), np.int64)
 
 
-def histogram(lengths: DataFrame, column: str = "n_tokens", levels: int = LEVELS) -> tuple[np.ndarray, np.ndarray]:
-    """Ascending lengths and how many documents have each, of all documents; at most about `levels` come to the driver."""
-    most, kinds = lengths.agg(F.max(column), F.approx_count_distinct(column)).first()
-    step = 1 if (kinds or 0) <= levels // 2 or (most or 0) <= levels else -(-int(most) // levels)
-    rows = lengths.where(F.col(column).isNotNull()).groupBy((F.ceil(F.col(column) / step) * step).cast("long").alias("n")).count().orderBy("n").collect()
-    return np.array([r.n for r in rows], np.int64), np.array([r["count"] for r in rows], np.int64)
+def histogram(lengths: DataFrame, column: str = "n_tokens") -> tuple[np.ndarray, np.ndarray]:
+    """Ascending lengths and how many documents have each, of all documents.
+
+    A row per distinct length comes to the driver: D of them hold D * (D - 1) / 2
+    tokens at least, so D is at most about the root of twice the corpus's tokens.
+    """
+    rows = lengths.where(F.col(column).isNotNull()).groupBy(F.col(column).cast("long").alias("n")).agg(F.count("*").alias("many")).toArrow().sort_by("n")
+    return rows.column("n").to_numpy(), rows.column("many").to_numpy()
 
 
 def pack(lengths: DataFrame, id_col: str = "doc_id", column: str = "n_tokens", buckets: int = BUCKETS, budget: int = BUDGET) -> DataFrame:
@@ -79,7 +81,8 @@ def pack(lengths: DataFrame, id_col: str = "doc_id", column: str = "n_tokens", b
     about SLAB_ROWS of a bucket each, and numbered by id; each slab ends with
     one batch that may not be full. Repeated rows each get a place.
     """
-    own = lengths.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(column), F.lit(0)).cast("long").alias("n_tokens"))
+    # Read twice, so that lengths are not counted again.
+    own = Kept(lengths.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(column), F.lit(0)).cast("long").alias("n_tokens"))).df
     values, counts = histogram(own)
     ends = boundaries(values, counts, buckets)
     held = {int(e): int(c) for e, c in zip(ends, np.add.reduceat(counts, np.concatenate(([0], np.searchsorted(values, ends, "right")[:-1]))), strict=True)} if len(ends) else {}

@@ -109,3 +109,13 @@ def test_batches(spark, monkeypatch):
     for b in batches.values():
         assert sorted(r.place for r in b) == list(range(len(b))) and (len(b) == 1 or sum(r.bucket_len for r in b) <= 1000)
     assert packing.pack(spark.createDataFrame([], "doc_id long, n_tokens long")).count() == 0
+
+
+def test_boundaries_are_exact_at_every_size(spark):
+    """More distinct lengths than any switch allowed, and one huge document: no length is rounded."""
+    lengths = np.append(np.arange(1, 20_001), 2_000_000)
+    ends = packing.boundaries(lengths, np.ones(len(lengths), np.int64), 4)
+    docs = spark.range(1, 20_001).selectExpr("id AS doc_id", "id AS n_tokens").union(spark.sql("SELECT 0L, 2000000L"))
+    got = packing.pack(docs, buckets=4).selectExpr("bucket_len", "bucket_len - n_tokens = padding AS right", "padding").groupBy("bucket_len", "right").agg({"padding": "sum"}).collect()
+    assert all(r.right for r in got) and sorted(r.bucket_len for r in got) == ends.tolist() and ends[-1] == 2_000_000
+    assert sum(r["sum(padding)"] for r in got) == _padding(lengths, np.ones(len(lengths)), ends.tolist())
