@@ -17,7 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import _bytes as B
@@ -142,9 +142,18 @@ def components_of(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str =
 
 
 def representatives(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents, with all their columns, without those whose component has a smaller id.
+    """The documents, with all their columns, without those whose component has a smaller id or text hash.
 
-    Documents without an id stay, and so do all rows of an id that stays.
+    Each row is judged by its id and text: rows that share an id with other texts
+    stay or go on their own, and of rows that repeat id and text one stays.
+    Documents without an id stay.
     """
-    gone = components_of(docs, k, percent, id_col, text_col).where("doc_id != component_id").select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, docs[id_col] == gone["__gone"], "left_anti")
+    key = F.xxhash64(id_col, text_col)
+    place = F.when(F.col(id_col).isNotNull(), F.struct(F.col(id_col).alias("id"), key.alias("key")))
+    found = Kept(components_of(docs.select(place.alias("place"), F.col(text_col).alias("text")), k, percent, "place", "text"))
+    gone = found.df.where("doc_id != component_id").select(F.col("doc_id.id").alias("__gone"), F.col("doc_id.key").alias("__key")).distinct()
+    rest = docs.join(gone, (docs[id_col] == gone["__gone"]) & (key == gone["__key"]), "left_anti")
+    if found.df.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").isEmpty():
+        return rest
+    nth = F.row_number().over(Window.partitionBy(id_col, key).orderBy(F.xxhash64(*docs.columns)))
+    return rest.withColumn("__nth", nth).where(F.col(id_col).isNull() | (F.col("__nth") == 1)).drop("__nth")

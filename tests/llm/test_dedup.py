@@ -174,6 +174,17 @@ def test_jaccard_messy(messy, empty):
     assert jaccard_join.components_of(empty).count() == 0
 
 
+def test_representatives_judge_rows_not_ids(spark):
+    """An unrelated text under a shared id stays; rows that repeat id and text leave one."""
+    t = {c: " ".join(f"{c}{i}" for i in range(60)) for c in "abcd"}
+    near = {c: x + " end" for c, x in t.items()}
+    rows = [(1, t["a"], "p"), (2, near["a"], "p"), (2, t["b"], "q"), (3, t["c"], "r"), (3, t["c"], "s"), (4, "", "t"), (4, "", "t"), (None, t["a"], "u"), (5, t["d"], "v"), (5, near["d"], "w"), (6, None, "x")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
+    got = collections.Counter((r.doc_id, r.text) for r in jaccard_join.representatives(df).collect())
+    assert sum(got.pop((5, t[x]), 0) + got.pop((5, near[x]), 0) for x in "d") == 1
+    assert got == {(1, t["a"]): 1, (2, t["b"]): 1, (3, t["c"]): 1, (4, ""): 1, (None, t["a"]): 1, (6, None): 1}
+
+
 def test_tree_links_like_all_pairs():
     rng = np.random.default_rng(0)
     for n in (1, 7, 60, 150):
