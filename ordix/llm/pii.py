@@ -2,7 +2,7 @@
 
 One Aho-Corasick automaton finds anchors in a whole text: at-signs, schemes,
 digits joined by a dot or a separator, a plus before a digit, and identifier
-cues. From each anchor a local parser expands to the boundaries of an email,
+cues, schemes and cues in any case. From each anchor a local parser expands to the boundaries of an email,
 address, card, phone, account or secret and validates it.
 """
 
@@ -23,7 +23,7 @@ from ._dist import prepare
 #: Base kinds in the order of their spans; the method's own come after them.
 BASE = ("email", "ip", "card", "phone")
 OWN = ("account", "secret", "url")
-#: Cues that announce an account or a secret.
+#: Cues that announce an account or a secret, in any case of A-Z.
 ACCOUNT_CUES = ("account", "acct", "iban", "passport", "ssn", "social security", "tax id", "customer id", "user id", "driver license")
 SECRET_CUES = ("token", "api_key", "apikey", "api key", "password", "passwd", "secret", "private_key", "access_key")
 SCHEMES = ("http", "https", "ftp", "ssh", "mailto", "postgres", "mysql", "redis", "mongodb")
@@ -34,7 +34,7 @@ _DOTTED = re.compile(r"[0-9]+(?:\.[0-9]+)*")
 _DIGITS = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _LINK = re.compile(r"[^\s<>\"'`|]+")
-_ACCOUNT = re.compile(r"(?:\s+(?:number|no|num|id))?\.?\s*[:=#]?\s*([A-Za-z0-9][A-Za-z0-9-]{4,33})(?![A-Za-z0-9])")
+_ACCOUNT = re.compile(r"(?:\s+(?ai:number|no|num|id))?\.?\s*[:=#]?\s*([A-Za-z0-9][A-Za-z0-9-]{4,33})(?![A-Za-z0-9])")
 _SECRET = re.compile(r"\s*[:=]\s*[\"']?([A-Za-z0-9_\-./+]{8,})")
 
 
@@ -53,8 +53,7 @@ def _automaton():
             a.add_word(f"{x}-{y}", ("d", 2))
     for kind, cues in (("a", ACCOUNT_CUES), ("s", SECRET_CUES)):
         for c in cues:
-            for form in {c, c.capitalize(), c.upper()}:
-                a.add_word(form, (kind, len(form) - 1))
+            a.add_word(c, (kind, len(c) - 1))
     for s in SCHEMES:
         a.add_word(f"{s}:", (":", len(s)))
     a.make_automaton()
@@ -71,11 +70,17 @@ def _luhn(digits: str) -> bool:
     return total % 10 == 0
 
 
+def _lowered(text: str) -> str:
+    """A-Z in lower case and nothing else changed, so that places are the same."""
+    return text.encode("utf-8", "surrogatepass").lower().decode("utf-8", "surrogatepass")
+
+
 def spans(text: str) -> dict[str, list[tuple[int, int]]]:
     """Spans by kind, in code points, end exclusive, by start."""
     out: dict[str, list[tuple[int, int]]] = {k: [] for k in BASE + OWN}
     mail_end = dots_end = card_end = link_end = account_end = secret_end = 0
-    for last, (kind, back) in _automaton().iter(text):
+    lower = _lowered(text)
+    for last, (kind, back) in _automaton().iter(lower):
         at = last - back
         if kind == "d":
             if last < card_end:
@@ -115,7 +120,7 @@ def spans(text: str) -> dict[str, list[tuple[int, int]]]:
                 continue
             m = _LINK.match(text, last + 1)
             body = m[0].rstrip(".,;:!?)]}") if m else ""
-            if (body.startswith("//") and len(body) > 4) or (text[at:last] == "mailto" and "@" in body):
+            if (body.startswith("//") and len(body) > 4) or (lower[at:last] == "mailto" and "@" in body):
                 link_end = last + 1 + len(body)
                 out["url"].append((at, link_end))
         elif kind == "a":

@@ -144,6 +144,21 @@ def test_own_spans_and_redaction():
     assert pii.redacted(t, found) == 'see [URL]. My account number: [ACCOUNT], token = "[SECRET]" mail [EMAIL]'
 
 
+def test_cues_and_schemes_in_any_case():
+    cues = ["Social Security", "SOCIAL security", "Customer ID", "User ID", "Tax ID", "Driver License", "sSn", "Account Number", "PASSPORT NO"]
+    for cue in cues:
+        t = f"é İ {cue}: 4417-7442 end"
+        assert [t[a:z] for a, z in pii.spans(t)["account"]] == ["4417-7442"], cue
+    for cue in ["API key", "Api Key", "Api_Key", "ApiKey", "PassWord", "Access_Key"]:
+        t = f"é İ {cue} = cb1a9fee807a0536"
+        assert [t[a:z] for a, z in pii.spans(t)["secret"]] == ["cb1a9fee807a0536"], cue
+    for link in ["HTTPS://x.y/Z", "Http://x.y/Z", "MailTo:Me@x.org"]:
+        t = f"é İ {link} end"
+        assert [t[a:z] for a, z in pii.spans(t)["url"]] == [link]
+    t = "Customer ID: 12345678, see HTTPS://x.y/z"
+    assert pii.redacted(t, pii.spans(t)) == "Customer ID: [ACCOUNT], see [URL]"
+
+
 def test_scan(spark, sf_dir, texts, messy, empty):
     for r in queries.QUERIES["op6_pii"](spark, sf_dir).collect():
         want = _brute(texts[r.doc_id])
