@@ -2,6 +2,7 @@
 
 A suffix counts here only by its first LENGTH bytes, so equal ranks are all that
 is needed of the suffix order, and a rank is a 64-bit fingerprint of the prefix.
+Whole strings are equal when a second, independent fingerprint agrees as well.
 
 1. Cover sample. Positions whose residue is in a difference cover modulo PERIOD
    are ranked by their first LENGTH - PERIOD + 1 bytes. For any two positions
@@ -43,6 +44,8 @@ CHUNK_BYTES = 2 << 20
 
 _EMPTY = hashlib.sha256(b"").hexdigest()
 _SAMPLED = np.isin(np.arange(PERIOD), COVER)
+#: A second random value for each byte, for the fingerprint that verifies equal ranks.
+_T2 = np.random.Generator(np.random.PCG64(91)).integers(0, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 def _release(spark: SparkSession) -> None:
@@ -63,23 +66,43 @@ def _window_keys(t: B.Texts, pos: np.ndarray, length: int) -> np.ndarray:
     return B.span_hash(p, pos, pos + length)
 
 
+def _checks(t: B.Texts, pos: np.ndarray) -> np.ndarray:
+    """The second fingerprint of the strings at these positions."""
+    p = np.zeros(len(t.data) + 1, np.uint64)
+    np.cumsum(_T2[t.data] * B._powers(len(t.data))[0], out=p[1:])
+    return B.span_hash(p, pos, pos + LENGTH)
+
+
+def _sorted(key: np.ndarray, check: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+    """Order of the keys, by their checks where keys are equal and checks are not, and which are equal to the one before."""
+    order = np.argsort(key, kind="stable")
+    k = key[order]
+    same = np.zeros(len(k), bool)
+    same[1:] = k[1:] == k[:-1]
+    if check is not None:
+        c = check[order]
+        if (same[1:] & (c[1:] != c[:-1])).any():
+            order = np.lexsort((check, key))
+            c = check[order]
+            same[1:] &= c[1:] == c[:-1]
+    return order, same
+
+
 def _split(key: np.ndarray, parts: int) -> np.ndarray:
     """Where each of `parts` equal ranges begins in ascending keys, and the end."""
     bounds = [(k << 64) // parts for k in range(1, parts)]
     return np.concatenate(([0], np.searchsorted(key, np.array(bounds, np.uint64)), [len(key)]))
 
 
-def _once(key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct keys ascending, which of them came twice, and the place of each key."""
-    order = np.argsort(key)
-    k = key[order]
-    new = np.ones(len(k), bool)
-    new[1:] = k[1:] != k[:-1]
+def _once(key: np.ndarray, check: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct keys (and checks) ascending, which of them came twice, the place of each key, and one position of each distinct key."""
+    order, same = _sorted(key, check)
+    new = ~same
     rank = np.cumsum(new) - 1
-    place = np.empty(len(k), np.int64)
+    place = np.empty(len(key), np.int64)
     place[order] = rank
-    distinct = k[new]
-    return distinct, np.bincount(rank, minlength=len(distinct)) > 1, place
+    first = order[new]
+    return key[first], np.bincount(rank, minlength=len(first)) > 1, place, first
 
 
 # --- 1. the cover sample ------------------------------------------------------
@@ -103,7 +126,7 @@ def _send_samples(buckets: int):
             pos = _samples(t)
             if not len(pos):
                 continue
-            key, twice, place = _once(_window_keys(t, pos, LENGTH - PERIOD + 1))
+            key, twice, place, _ = _once(_window_keys(t, pos, LENGTH - PERIOD + 1))
             name = _names(t)
             chunk = hashlib.sha256(name.tobytes()).digest()[:16]
             ends = _split(key, buckets)
@@ -130,17 +153,13 @@ def _places(pos: np.ndarray, rank: np.ndarray) -> bytes:
     return np.concatenate([np.array([len(pos)]), np.diff(rank[order], prepend=0), pos[order]]).astype(np.int32).tobytes()
 
 
-def _mark(keys: list[np.ndarray], twice: list[np.ndarray]) -> list[np.ndarray]:
-    """Which keys of each chunk come twice, there or in another chunk."""
+def _mark(keys: list[np.ndarray], twice: list[np.ndarray], checks: list[np.ndarray] | None = None) -> list[np.ndarray]:
+    """Which keys (with their checks) of each chunk come twice, there or in another chunk."""
     if not keys:
         return []
-    all_ = np.concatenate(keys)
-    order = np.argsort(all_, kind="stable")
-    k = all_[order]
-    same = np.zeros(len(k), bool)
-    same[1:] = k[1:] == k[:-1]
+    order, same = _sorted(np.concatenate(keys), np.concatenate(checks) if checks else None)
     same[:-1] |= same[1:].copy()
-    out = np.zeros(len(k), bool)
+    out = np.zeros(len(order), bool)
     out[order] = same
     out |= np.concatenate(twice)
     return np.split(out, np.cumsum([len(x) for x in keys])[:-1])
@@ -207,7 +226,7 @@ def _unpacked(b: pa.RecordBatch, i: int) -> tuple[B.Texts, np.ndarray]:
     return t, _suffixes(t, np.frombuffer(samples, np.int64))
 
 
-_RANKS = "bucket long, chunk long, keys binary, twice binary"
+_RANKS = "bucket long, chunk long, keys binary, checks binary, twice binary"
 
 
 def _send_ranks(round_: int, buckets: int):
@@ -217,20 +236,22 @@ def _send_ranks(round_: int, buckets: int):
                 t, pos = _unpacked(b, i)
                 if not len(pos):
                     continue
-                key, twice, _ = _once(_window_keys(t, pos, LENGTH))
+                check = _checks(t, pos)
+                key, twice, _, first = _once(_window_keys(t, pos, LENGTH), check)
+                check = check[first]
                 ends = _split(key, ROUNDS * buckets)
-                rows = [(k, b.column("chunk")[i].as_py(), key[ends[k] : ends[k + 1]].tobytes(), np.packbits(twice[ends[k] : ends[k + 1]]).tobytes()) for k in range(round_ * buckets, (round_ + 1) * buckets) if ends[k + 1] > ends[k]]
+                rows = [(k, b.column("chunk")[i].as_py(), key[ends[k] : ends[k + 1]].tobytes(), check[ends[k] : ends[k + 1]].tobytes(), np.packbits(twice[ends[k] : ends[k + 1]]).tobytes()) for k in range(round_ * buckets, (round_ + 1) * buckets) if ends[k + 1] > ends[k]]
                 if rows:
                     cols = list(zip(*rows, strict=True))
-                    yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.binary()), pa.array(cols[3], pa.binary())], ["bucket", "chunk", "keys", "twice"])
+                    yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), *(pa.array(c, pa.binary()) for c in cols[2:])], [x.split()[0] for x in _RANKS.split(", ")])
 
     return run
 
 
 def _judge_ranks(t: pa.Table) -> pa.Table:
-    keys = [np.frombuffer(x, np.uint64) for x in t.column("keys").to_pylist()]
+    keys, checks = ([np.frombuffer(x, np.uint64) for x in t.column(c).to_pylist()] for c in ("keys", "checks"))
     twice = [_bits(x, len(k)) for x, k in zip(t.column("twice").to_pylist(), keys, strict=True)]
-    return pa.table({"chunk": t.column("chunk"), "bucket": t.column("bucket"), "hit": pa.array([np.packbits(x).tobytes() for x in _mark(keys, twice)], pa.binary())})
+    return pa.table({"chunk": t.column("chunk"), "bucket": t.column("bucket"), "hit": pa.array([np.packbits(x).tobytes() for x in _mark(keys, twice, checks)], pa.binary())})
 
 
 _RESULT = "name binary, n_removed long, n_spans long, kept_sha256 string, spans array<bigint>"
@@ -245,7 +266,7 @@ def _spans(buckets: int):
                 t, pos = _unpacked(b, i)
                 covered = np.zeros(len(t.data) + 1, np.int64)
                 if len(pos):
-                    key, _, place = _once(_window_keys(t, pos, LENGTH))
+                    key, _, place, _ = _once(_window_keys(t, pos, LENGTH), _checks(t, pos))
                     ends = _split(key, ROUNDS * buckets)
                     hit = np.zeros(len(key), bool)
                     for r in b.column("hits")[i].as_py() or ():

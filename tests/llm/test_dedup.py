@@ -3,6 +3,7 @@ import hashlib
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from ordix.llm import jaccard_join, line_dedup, queries, substring_dedup
@@ -51,6 +52,22 @@ def test_substrings_of_the_tables(docs, texts):
     assert [got[i] for i in texts] == _repeats(texts.values())
 
 
+def test_equal_ranks_of_different_strings_stay(monkeypatch):
+    """Where all first fingerprints collide, only equal strings go."""
+    monkeypatch.setattr(substring_dedup, "_window_keys", lambda t, pos, length: np.zeros(len(pos), np.uint64))
+    rng, n = random.Random(7), substring_dedup.LENGTH
+    a, b, c = ("".join(rng.choice("abcdef ") for _ in range(n)) for _ in range(3))
+    names = [bytes([i]) * 16 for i in range(4)]
+    at = [np.zeros(1, np.int32).tobytes()] * 4
+    packed = list(substring_dedup._pack(iter([pa.RecordBatch.from_arrays([pa.array(names, pa.binary()), pa.array([a, c, b, c]), pa.array(at, pa.binary())], ["name", "text", "samples"])])))
+    hits = []
+    for k in range(substring_dedup.ROUNDS):
+        sent = list(substring_dedup._send_ranks(k, 1)(iter(packed)))
+        hits += substring_dedup._judge_ranks(pa.Table.from_batches(sent)).select(["bucket", "hit"]).to_pylist() if sent else []
+    whole = packed[0].append_column("hits", pa.array([hits]))
+    assert [x for out in substring_dedup._spans(1)(iter([whole])) for x in out.column("n_removed").to_pylist()] == [0, n, 0, n]
+
+
 def test_substrings_messy(messy, empty):
     rows = substring_dedup.repeats(messy).collect()
     assert len(rows) == 9 and all(r.n_removed == 0 for r in rows if r.doc_id in (1, 2, 4, 5))
