@@ -28,6 +28,12 @@ def unsigned(bits: Column) -> Column:
     return F.when(bits < 0, bits.cast("decimal(20,0)") + F.lit(str(2**64)).cast("decimal(20,0)")).otherwise(bits.cast("decimal(20,0)")).cast("decimal(20,0)")
 
 
+def signed(key: Column) -> Column:
+    """BIGINT with the bits of an unsigned key."""
+    wide_ = key.cast("decimal(20,0)")
+    return F.when(wide_ >= F.lit(str(2**63)).cast("decimal(20,0)"), wide_ - F.lit(str(2**64)).cast("decimal(20,0)")).otherwise(wide_).cast("long")
+
+
 def ordered_bits(bits: Column) -> Column:
     """A BIGINT whose signed order is the unsigned order of the bits."""
     return bits.bitwiseXOR(F.lit(-(2**63)))
@@ -47,16 +53,19 @@ def _low_times(h: Column, bits: int) -> Column:
     return F.struct(high.bitwiseAND(mask).alias("hi"), low.bitwiseAND(mask).alias("lo"))
 
 
-def fnv_hash(x: Column) -> Column:
-    """Unsigned 64-bit FNV-1a over the eight octets of a BIGINT, lowest first, as DECIMAL(20,0)."""
-
+def _fnv_halves(x: Column) -> Column:
     def step(h: Column, i: Column) -> Column:
         octet = F.call_function("shiftrightunsigned", x.cast("long"), i * 8).bitwiseAND(F.lit(255))
         return _low_times(F.struct(h["hi"].alias("hi"), h["lo"].bitwiseXOR(octet).alias("lo")), 64)
 
     start = F.struct(F.lit(FNV_BASIS >> 32).cast("long").alias("hi"), F.lit(FNV_BASIS & 0xFFFFFFFF).cast("long").alias("lo"))
-    h = F.aggregate(F.sequence(F.lit(0), F.lit(7)), start, step, lambda h: h["hi"].cast("decimal(20,0)") * F.lit(str(2**32)).cast("decimal(20,0)") + h["lo"].cast("decimal(20,0)"))
-    return F.when(x.isNotNull(), h.cast("decimal(20,0)"))
+    return F.aggregate(F.sequence(F.lit(0), F.lit(7)), start, step)
+
+
+def fnv_hash(x: Column) -> Column:
+    """Unsigned 64-bit FNV-1a over the eight octets of a BIGINT, lowest first, as DECIMAL(20,0)."""
+    halves = F.transform(F.array(_fnv_halves(x)), lambda h: h["hi"].cast("decimal(20,0)") * F.lit(str(2**32)).cast("decimal(20,0)") + h["lo"].cast("decimal(20,0)"))
+    return F.when(x.isNotNull(), F.element_at(halves, 1).cast("decimal(20,0)"))
 
 
 def scramble(x: Column, base: int, n: int) -> Column:
@@ -108,9 +117,14 @@ def printable(u: Column) -> Column:
 
 
 def unit(x: Column, seed: int = 0) -> Column:
-    """A reproducible number in (0, 1) from a BIGINT, on a grid that misses every boundary a caller tests."""
-    m = 1_000_003
-    return (F.pmod(x * F.lit(48_271) + F.lit(seed * 7_919 + 12_345), F.lit(m)).cast("double") + 0.5) / F.lit(float(m))
+    """A reproducible number in (0, 1) from a BIGINT: the upper 52 bits of its hash under the seed, in the middle of their step."""
+    top = F.transform(F.array(_fnv_halves(x.cast("long").bitwiseXOR(F.lit(seed_bits(seed))))), lambda h: F.shiftleft(h["hi"], 20) + F.shiftright(h["lo"], 12))
+    return (F.element_at(top, 1).cast("double") + 0.5) / F.lit(float(1 << 52))
+
+
+def seed_bits(seed: int) -> int:
+    """What a seed adds to the numbers that are hashed: bits above those of any count of rows."""
+    return (seed * 0x9E3779B1 & 0x7FFF) << 48
 
 
 def parse_cell(s: Column, rows: int, cols: int) -> Column:

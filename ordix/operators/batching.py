@@ -5,19 +5,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import fragments
+
 #: Requests in a batch.
 BATCH = 100_000
 
 
-def numbered(df: DataFrame, order: list[str], name: str = "seq", cells: int = 200) -> DataFrame:
-    """df with positions 0, 1, ... by `order`, whose first column is a number.
+def numbered(df: DataFrame, order: list[str], name: str = "seq", cells: int | None = None) -> DataFrame:
+    """df with positions 0, 1, ... by `order`, columns of any orderable types.
 
-    The rows are cut at quantiles of that column; positions inside a cell come
-    from a window of the cell, those before it from the cells' counts.
+    The rows are cut in as many cells as their number asks for, at sampled tuples
+    of all columns of `order`; positions inside a cell come from a window of the
+    cell, those before it from the cells' counts. Ties are numbered in any order.
     """
-    from .fragments import bounds, locate
-
-    cell = locate(F.col(order[0]), bounds(df, order[0], cells))
+    rows = df.count()
+    cells = cells or fragments.cells(rows)
+    cell = fragments.locate_rows(order, fragments.row_bounds(df, order, rows, cells))
     held = df.groupBy(cell.alias("__c")).count()
     before = held.select("__c", (F.sum("count").over(Window.orderBy("__c")) - F.col("count")).alias("__b"))
     inside = F.row_number().over(Window.partitionBy("__c").orderBy(*order))
@@ -37,15 +40,22 @@ def prefix_end_index(routed: DataFrame) -> DataFrame:
     return counts.withColumn("end_idx", end.cast("long"))
 
 
-def request_slots(routed: DataFrame, seq: str = "seq") -> DataFrame:
+def request_slots(routed: DataFrame, seq: str = "seq", cells: int | None = None) -> DataFrame:
     """Each request's slot in its part's buffer: its seat's start, then arrival order.
 
-    The window is over one seat, which splitting keeps small; starts come from
-    the counts.
+    Arrivals are cut in cells, so that a hot seat is many windows; starts come
+    from the counts of each part, seat and cell.
     """
-    starts = prefix_end_index(routed).select("part", "seat", (F.col("end_idx") - F.col("n")).alias("__s"))
-    at = F.row_number().over(Window.partitionBy("part", "seat").orderBy(seq)) - 1
-    return routed.where("frag_id IS NOT NULL").withColumn("__r", at).join(F.broadcast(starts), ["part", "seat"]).withColumn("slot", (F.col("__s") + F.col("__r")).cast("long")).drop("__s", "__r")
+    own = routed.where("frag_id IS NOT NULL")
+    if cells is None:
+        cells = fragments.cells(own.count())
+    cell = fragments.locate(F.col(seq), fragments.bounds(own, seq, cells))
+    own = own.withColumn("__c", cell)
+    counts = own.groupBy("part", "seat", "__c").agg(F.count("*").alias("n"))
+    before = F.sum("n").over(Window.partitionBy("part").orderBy("seat", "__c").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")
+    starts = counts.select("part", "seat", "__c", before.alias("__s"))
+    at = F.row_number().over(Window.partitionBy("part", "seat", "__c").orderBy(seq)) - 1
+    return own.withColumn("__r", at).join(starts, ["part", "seat", "__c"]).withColumn("slot", (F.col("__s") + F.col("__r")).cast("long")).drop("__s", "__r", "__c")
 
 
 def equal_slices(df: DataFrame, n: int, slices: int, seq: str = "seq") -> DataFrame:

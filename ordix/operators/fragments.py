@@ -16,6 +16,10 @@ from ..functions import keys as K
 
 #: Seats of a part, as bits of one number.
 SEATS = 20
+#: Rows that one window task sorts, about, and how many such tasks there are at most: their bounds are literals of a plan.
+CELL_ROWS, MOST_CELLS = 1_000_000, 10_000
+#: Rows sampled for each bound of several columns.
+SAMPLED = 20
 
 
 def equi_width(spark: SparkSession, parts: int, trees: int, key_max: int = K.KEY_MAX) -> DataFrame:
@@ -41,6 +45,35 @@ def bounds(df: DataFrame, key: str, n: int) -> list:
     return sorted(set(got or []))
 
 
+def cells(rows: int) -> int:
+    """How many cells so many rows are cut in."""
+    return min(MOST_CELLS, max(1, -(-rows // CELL_ROWS)))
+
+
+def row_bounds(df: DataFrame, order: list[str], rows: int, n: int) -> list[tuple]:
+    """Tuples of the columns `order`, of any orderable types, that cut df's rows into about n equal cells.
+
+    A sample of SAMPLED rows a cell comes to the driver. All columns are in the
+    cut, so a value of the first that is on many rows is in several cells. Rows
+    with a null in these columns sort first, as in a window.
+    """
+    if n <= 1:
+        return []
+    full = df.select(*order).dropna()
+    got = full.sample(min(1.0, SAMPLED * n / max(1, rows)), 7).distinct().orderBy(*order).collect()
+    return sorted({tuple(got[len(got) * k // n]) for k in range(1, n)}) if got else []
+
+
+def locate_rows(order: list[str], cuts: list[tuple]) -> Column:
+    """Number of cuts not above the row, by all columns of `order`; rows with a null are in the first cell."""
+    if not cuts:
+        return F.lit(0)
+    names = [f"c{i}" for i in range(len(order))]
+    key = F.struct(*(F.col(c).alias(x) for c, x in zip(order, names, strict=True)))
+    null = F.greatest(*(F.col(c).isNull().cast("int") for c in order), F.lit(0)) == 1
+    return F.when(null, 0).otherwise(locate(key, [F.struct(*(F.lit(v).alias(x) for v, x in zip(cut, names, strict=True))) for cut in cuts]))
+
+
 def locate(key: Column, cuts: list) -> Column:
     """Number of cuts not above the key, in two levels so that 1000s of cuts cost tens of comparisons."""
     if not cuts:
@@ -67,21 +100,25 @@ def _collected(fmap: DataFrame) -> list:
     return fmap.select("frag_id", "ub").orderBy("ub").collect()
 
 
-def route(probes: DataFrame, fmap: DataFrame, key: str = "key", strict: bool = False) -> DataFrame:
-    """probes with frag_id, part and seat: the first fragment with ub >= key, or > key when strict.
+def placed(probes: DataFrame, fmap: DataFrame, key: str = "key", strict: bool = False) -> DataFrame:
+    """probes with frag_id: the first fragment with ub >= key, or > key when strict; null past the last bound.
 
-    A strict probe past the last bound has no fragment and stays, with nulls.
     The bounds are metadata on the driver; a row finds its place among them by
-    two short scans, then the map is joined on frag_id.
+    two short scans, without a join.
     """
     rows = _collected(fmap)
-    ubs = [int(r.ub) for r in rows]
     # cuts are the lowest keys that belong to the next fragment: ub + 1, or ub itself when strict
-    cuts = [u if strict else u + 1 for u in ubs]
-    n = locate(F.col(key), cuts)
+    cuts = [int(r.ub) if strict else int(r.ub) + 1 for r in rows]
     ids = F.array(*(F.lit(r.frag_id) for r in rows)) if rows else F.array().cast("array<int>")
-    placed = probes.withColumn("frag_id", F.get(ids, n))
-    return placed.join(F.broadcast(fmap.select("frag_id", "part", "seat")), "frag_id", "left")
+    return probes.withColumn("frag_id", F.get(ids, locate(F.col(key), cuts)))
+
+
+def route(probes: DataFrame, fmap: DataFrame, key: str = "key", strict: bool = False) -> DataFrame:
+    """probes with frag_id, part and seat, by placed() and a join with the map by frag_id.
+
+    A strict probe past the last bound has no fragment and stays, with nulls.
+    """
+    return placed(probes, fmap, key, strict).join(F.broadcast(fmap.select("frag_id", "part", "seat")), "frag_id", "left")
 
 
 def place(ubs: list[int], key: int, strict: bool = False) -> int | None:
@@ -90,17 +127,27 @@ def place(ubs: list[int], key: int, strict: bool = False) -> int | None:
     return i if i < len(ubs) else None
 
 
-def requests_per_fragment(routed: DataFrame) -> DataFrame:
-    return routed.where("frag_id IS NOT NULL").groupBy("frag_id", "part", "seat").agg(F.count("*").alias("n"))
+def requests_per_fragment(probes: DataFrame, fmap: DataFrame | None = None, key: str = "key", strict: bool = False) -> DataFrame:
+    """Requests of each fragment that has any; counted before the map is joined. Without a map, probes are routed already."""
+    if fmap is None:
+        return probes.where("frag_id IS NOT NULL").groupBy("frag_id", "part", "seat").agg(F.count("*").alias("n"))
+    counts = placed(probes.select(key), fmap, key, strict).where("frag_id IS NOT NULL").groupBy("frag_id").agg(F.count("*").alias("n"))
+    return counts.join(F.broadcast(fmap.select("frag_id", "part", "seat")), "frag_id").select("frag_id", "part", "seat", "n")
+
+
+def requests_per_part(per_fragment: DataFrame, parts: int | None = None) -> DataFrame:
+    """Requests of each part, from those of its fragments; with `parts`, of parts 0 .. parts - 1, empty ones too."""
+    own = per_fragment.groupBy("part").agg(F.sum("n").alias("n"))
+    return own if parts is None else _every(per_fragment.sparkSession, parts).join(own, "part", "left").select("part", F.coalesce("n", F.lit(0)).alias("n"))
 
 
-def requests_per_part(routed: DataFrame) -> DataFrame:
-    return routed.where("frag_id IS NOT NULL").groupBy("part").agg(F.count("*").alias("n"))
+def _every(spark: SparkSession, parts: int) -> DataFrame:
+    return spark.range(parts).select(F.col("id").cast("int").alias("part"))
 
 
 def stats(index: DataFrame, fmap: DataFrame, key: str = "key") -> DataFrame:
     """Rows, least and largest key of every fragment; empty ones too."""
-    held = route(index.select(F.col(key).alias("key")), fmap).groupBy("frag_id").agg(F.count("*").alias("n_rows"), F.min("key").alias("min_key"), F.max("key").alias("max_key"))
+    held = placed(index.select(F.col(key).alias("key")), fmap).groupBy("frag_id").agg(F.count("*").alias("n_rows"), F.min("key").alias("min_key"), F.max("key").alias("max_key"))
     return fmap.join(held, "frag_id", "left").withColumn("n_rows", F.coalesce("n_rows", F.lit(0)).cast("long"))
 
 
@@ -115,8 +162,10 @@ def seat_bitmap(fmap: DataFrame) -> DataFrame:
     return bits.withColumn("n_used", F.bit_count("used").cast("long"))
 
 
-def first_free_seat(fmap: DataFrame, seats: int = SEATS) -> DataFrame:
-    """The lowest seat of each part that no fragment has; null when all are taken."""
+def first_free_seat(fmap: DataFrame, seats: int = SEATS, parts: int | None = None) -> DataFrame:
+    """The lowest seat of each part that no fragment has; null when all are taken. With `parts`, empty parts too."""
     used = fmap.groupBy("part").agg(F.collect_set("seat").alias("used"))
+    if parts is not None:
+        used = _every(fmap.sparkSession, parts).join(used, "part", "left").withColumn("used", F.coalesce("used", F.array().cast("array<int>")))
     free = F.filter(F.sequence(F.lit(0), F.lit(seats - 1)), lambda s: ~F.array_contains("used", s))
     return used.select("part", F.array_min(free).cast("int").alias("seat"))

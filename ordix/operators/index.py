@@ -7,10 +7,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .fragments import bounds, locate
+from .fragments import bounds, cells, locate
 
-#: Rows of index and probes that one window task sorts, about.
-FRAGMENT_ROWS = 1_000_000
 #: An index of at most so many rows may be broadcast.
 SMALL_ROWS = 100_000
 
@@ -59,7 +57,8 @@ class OrderedIndex:
         """Distinct probe keys and index rows meet in a window of each fragment.
 
         Probe keys are made distinct first, so that a key however often probed is
-        one row in its window. Fragments cut the index at quantiles; the answer of
+        one row in its window. Fragments cut index and probe keys together at
+        quantiles, as many as their rows ask for; the answer of
         a probe past the last index key of its fragment is the first of the next
         fragment that isn't empty, found over one row per fragment. Windows run
         from the current row backwards in a reversed sort, which is linear.
@@ -69,12 +68,9 @@ class OrderedIndex:
         own = [self.group] if self.group else []
         keys = probes.where(F.col(on).isNotNull()).select(*own, F.col(on).alias("k")).distinct()
         index = self.df.select(*own, F.col(self.key).alias("k"), value.alias("v"))
-        if self.group:
-            frag: Column = F.lit(0)
-        else:
-            if fragments is None:
-                fragments = max(1, -(-self.df.count() // FRAGMENT_ROWS))
-            frag = locate(F.col("k"), bounds(self.df, self.key, fragments))
+        frag: Column = F.lit(0)
+        if not self.group:
+            frag, fragments = self._cut(index, keys, fragments)
         rows = index.withColumn("p", F.lit(False)).unionByName(keys.withColumn("v", F.lit(None).cast(index.schema["v"].dataType)).withColumn("p", F.lit(True))).withColumn("f", frag)
         # Probes come before the index row of the same key, so it isn't found: strict.
         order = [F.desc("k") if up else F.asc("k"), F.desc("p")]
@@ -91,11 +87,18 @@ class OrderedIndex:
         out = probes.join(answered, same & F.col(self.group).eqNullSafe(F.col("__g")) if own else same, "left")
         return out.select(*probes.columns, F.col("a.k").alias(f"{name}_{self.key}"), *(F.col(f"a.{c}").alias(f"{name}_{c}") for c in self.payload))
 
+    def _cut(self, index: DataFrame, keys: DataFrame, fragments: int | None) -> tuple[Column, int]:
+        """The fragment of a key `k`, and how many fragments index and probe keys are cut in."""
+        both = index.select("k").unionByName(keys.select("k"))
+        if fragments is None:
+            fragments = cells(both.count())
+        return locate(F.col("k"), bounds(both, "k", fragments)), fragments
+
     def succ_small(self, probes: DataFrame, on: str) -> DataFrame:
         """succ for an index of at most SMALL_ROWS BIGINT keys: a binary search in a broadcast array."""
         rows = self.df.select(self.key).orderBy(self.key).limit(SMALL_ROWS + 1).collect()
         if len(rows) > SMALL_ROWS:
-            return self.succ(probes, on)
+            return self.succ(probes, on).select(*probes.columns, f"succ_{self.key}")
         known = self.df.sparkSession.sparkContext.broadcast(np.array([r[0] for r in rows], np.int64))
 
         @F.pandas_udf("long")
@@ -123,24 +126,23 @@ class OrderedIndex:
     def range(self, probes: DataFrame, on: str, n: int, width: int) -> DataFrame:
         """For each probe its first n index rows with probe <= key < probe + width, numbered from 1.
 
-        Keys and probes meet in cells of `width` keys, so a probe sees two cells
-        and the join is on equality.
+        Keys and distinct probe keys meet in cells of `width` keys, so a probe key
+        sees the rows of two cells, once however often it is probed, and the joins
+        are on equality. Probes without such a row, or of null, have no rows.
         """
-        cell = F.floor(F.col("__k") / width)
-        index = self._named().drop("__found").withColumn("__c", cell)
-        asked = probes.withColumn("__p", F.monotonically_increasing_id()) if "__p" not in probes.columns else probes
-        cells = asked.withColumn("__c", F.explode(F.array(F.floor(F.col(on) / width), F.floor(F.col(on) / width) + 1)))
-        met = cells.join(index, "__c").where((F.col("__k") >= F.col(on)) & (F.col("__k") < F.col(on) + width))
-        at = F.row_number().over(Window.partitionBy(*probes.columns).orderBy("__k"))
-        return met.withColumn("place", at.cast("long")).where(F.col("place") <= n).select(*probes.columns, "place", F.col("__k").alias(self.key), *(F.col(f"__{c}").alias(c) for c in self.payload))
+        asked = probes.where(F.col(on).isNotNull()).select(F.col(on).alias("__on")).distinct()
+        index = self._named().drop("__found").withColumn("__c", F.floor(F.col("__k") / width))
+        seen = asked.withColumn("__c", F.explode(F.array(F.floor(F.col("__on") / width), F.floor(F.col("__on") / width) + 1)))
+        met = seen.join(index, "__c").where((F.col("__k") >= F.col("__on")) & (F.col("__k") < F.col("__on") + width))
+        at = F.row_number().over(Window.partitionBy("__on").orderBy("__k"))
+        first = met.withColumn("place", at.cast("long")).where(F.col("place") <= n)
+        return probes.join(first, F.col(on) == F.col("__on")).select(*probes.columns, "place", F.col("__k").alias(self.key), *(F.col(f"__{c}").alias(c) for c in self.payload))
 
     def rank(self, probes: DataFrame, on: str, fragments: int | None = None) -> DataFrame:
         """Each probe with the number of index keys not above it: counts inside its fragment and of all before."""
-        if fragments is None:
-            fragments = max(1, -(-self.df.count() // FRAGMENT_ROWS))
-        frag = locate(F.col("k"), bounds(self.df, self.key, fragments))
         keys = probes.where(F.col(on).isNotNull()).select(F.col(on).alias("k")).distinct().withColumn("p", F.lit(1))
         index = self.df.select(F.col(self.key).alias("k"), F.lit(0).alias("p"))
+        frag, fragments = self._cut(index, keys, fragments)
         rows = index.unionByName(keys).withColumn("f", frag)
         inside = F.sum(1 - F.col("p")).over(Window.partitionBy("f").orderBy("k", "p").rowsBetween(Window.unboundedPreceding, 0))
         held = index.withColumn("f", frag).groupBy("f").count()

@@ -34,10 +34,18 @@ def xfer_stats(log: DataFrame) -> DataFrame:
 
 
 def distribution(requests: DataFrame, rows: DataFrame) -> DataFrame:
-    """Per batch and part its requests and rows, and per batch (part -1) their maxima. requests: batch_id, part, n; rows: part, n_rows."""
-    own = requests.groupBy("batch_id", "part").agg(F.sum("n").alias("queries")).join(F.broadcast(rows.groupBy("part").agg(F.sum("n_rows").alias("kv"))), "part", "left")
-    top = own.groupBy("batch_id").agg(F.max("queries").alias("queries"), F.max("kv").alias("kv")).withColumn("part", F.lit(-1))
-    return own.select("batch_id", "part", "queries", "kv").unionByName(top)
+    """Per batch and part its requests, its rows and those of its largest fragment, and per batch (part -1) their maxima. requests: batch_id, part, n; rows: part, n_rows of each fragment."""
+    held = rows.groupBy("part").agg(F.sum("n_rows").alias("kv"), F.max("n_rows").alias("largest"))
+    own = requests.groupBy("batch_id", "part").agg(F.sum("n").alias("queries")).join(F.broadcast(held), "part", "left")
+    top = own.groupBy("batch_id").agg(*(F.max(c).alias(c) for c in ("queries", "kv", "largest"))).withColumn("part", F.lit(-1))
+    return own.select("batch_id", "part", "queries", "kv", "largest").unionByName(top)
+
+
+def load_matrix(per_fragment: DataFrame, parts: int, seats: int) -> DataFrame:
+    """A row per part 0 .. parts - 1 and a column per seat (seat_0 ..): what the fragment there has, 0 for an empty seat. per_fragment: part, seat, n."""
+    every = per_fragment.sparkSession.range(parts).select(F.col("id").cast("int").alias("part"))
+    sums = per_fragment.groupBy("part").agg(*(F.sum(F.when(F.col("seat") == s, F.col("n"))).alias(f"seat_{s}") for s in range(seats)))
+    return every.join(sums, "part", "left").select("part", *(F.coalesce(f"seat_{s}", F.lit(0)).cast("long").alias(f"seat_{s}") for s in range(seats)))
 
 
 def max_load(per_part: DataFrame) -> DataFrame:

@@ -1,11 +1,13 @@
 """Maintenance plans over the fragment map: split, merge, balance and migrate.
 
 The inputs are metadata, a row per fragment or part. Plans that have a set form
-are DataFrames; the balance plan with skips is greedy on the driver.
+are DataFrames; merging into full parts and balancing are greedy on the driver.
 """
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -54,15 +56,27 @@ def merge_candidates(stats: DataFrame, under: int = MERGE_UNDER) -> DataFrame:
     return pair.withColumn("pair_rows", F.col("n_rows") + F.col("right_rows")).withColumn("mergeable", F.coalesce(F.col("pair_rows") < under, F.lit(False)))
 
 
-def merge_plan(stats: DataFrame, under: int = MERGE_UNDER) -> DataFrame:
-    """src_id, dst_id: left into right, greedily from the lowest key; both are then skipped.
+def merge_plan(stats: DataFrame, under: int = MERGE_UNDER, seats: int = SEATS) -> DataFrame:
+    """src_id, dst_id, pair_rows: left into right, from the lowest key on; both are then passed over.
 
-    In a run of mergeable neighbours the greedy scan takes every other pair.
+    A left fragment of another part needs a free seat there, which it takes and
+    its own part gets back; without one the pair stays apart. So what a pair may
+    do depends on all before it, and the plan is made on the driver over the
+    pairs that are small enough, metadata of a row per fragment at most.
     """
-    c = merge_candidates(stats, under).where("mergeable")
-    run = F.col("pos") - F.row_number().over(Window.orderBy("pos"))
-    nth = F.row_number().over(Window.partitionBy("run").orderBy("pos"))
-    return c.withColumn("run", run).withColumn("nth", nth).where("nth % 2 = 1").select(F.col("frag_id").alias("src_id"), F.col("right_id").alias("dst_id"), "pair_rows")
+    rows = merge_candidates(stats, under).join(stats.select(F.col("frag_id").alias("right_id"), F.col("part").alias("right_part")), "right_id", "left").where("mergeable").orderBy("pos").collect()
+    used = {r.part: r.n for r in stats.groupBy("part").agg(F.count("*").alias("n")).collect()}
+    plan, next_ = [], 0
+    for r in rows:
+        moves = r.part != r.right_part
+        if r.pos < next_ or (moves and used[r.right_part] >= seats):
+            continue
+        if moves:
+            used[r.right_part] += 1
+            used[r.part] -= 1
+        plan.append((r.frag_id, r.right_id, r.pair_rows))
+        next_ = r.pos + 2
+    return stats.sparkSession.createDataFrame(plan, "src_id int, dst_id int, pair_rows long")
 
 
 def merge_apply(fmap: DataFrame, plan: DataFrame) -> DataFrame:
@@ -87,40 +101,41 @@ def memory_plan(fmap: DataFrame, parts: int, soft: int = SOFT_LIMIT, seats: int
     return a.join(b, "r").drop("r")
 
 
-def balance_plan(loads: DataFrame, fmap: DataFrame, moves: int, min_diff: int = MIN_DIFF, soft: int = SOFT_LIMIT, seats: int = SEATS, extra: bool = False) -> DataFrame:
+def balance_plan(loads: DataFrame, fmap: DataFrame, moves: int, min_diff: int = MIN_DIFF, soft: int = SOFT_LIMIT, seats: int = SEATS, extra: bool = False, parts: int | None = None, freeing: DataFrame | None = None) -> DataFrame:
     """Moves from the hottest parts to the coldest, at most `moves`; each part is used once.
 
     loads: frag_id, n; fmap: frag_id, part, seat. The fragment that goes is the
     one whose double load is nearest to the difference, below it; ties go to the
-    lowest seat, and parts of equal load are in order of part. extra: parts that
-    can't give are skipped instead of ending the plan, and no least difference
-    holds. Greedy over collected metadata, a row per fragment.
+    lowest seat, and parts of equal load are in order of part. A hot part without
+    such a fragment gives nothing. parts: parts 0 .. parts - 1 take part, empty
+    ones too; without it those that hold a fragment. freeing: part and seat of
+    seats that a plan before has left and that can't be taken yet. extra: parts
+    that can't give are passed over instead of ending the plan, and no least
+    difference holds. Made on the driver, from a row per fragment.
     """
     spark = fmap.sparkSession
     rows = fmap.join(loads.select("frag_id", "n"), "frag_id", "left").select("part", "seat", F.coalesce("n", F.lit(0)).alias("n")).collect()
-    own: dict[int, dict[int, int]] = {}
+    own: dict[int, dict[int, int]] = {p: {} for p in range(parts or 0)}
     for r in rows:
         own.setdefault(r.part, {})[r.seat] = r.n
-    total = {p: sum(v.values()) for p, v in own.items()}
-    order = sorted(total, key=lambda p: (-total[p], p))
-    plan, hot, cold = [], 0, len(order) - 1
-    while len(plan) < moves and hot < cold:
-        h, c = order[hot], order[cold]
-        diff = total[h] - total[c]
-        if len(own[h]) <= 1:
-            if not extra:
-                break
-            hot += 1
-        elif len(own[c]) >= min(soft, seats):
-            cold -= 1
-        elif not extra and diff < min_diff:
+    left: dict[int, set[int]] = {p: set() for p in own}
+    for r in freeing.collect() if freeing is not None else ():
+        left.setdefault(r.part, set()).add(r.seat)
+    total = {p: sum(held.values()) for p, held in own.items()}
+    rank = {p: i for i, p in enumerate(sorted(total, key=lambda p: (-total[p], p)))}
+    # Whether a part can give or take doesn't change, as each is used once.
+    givers = list(filter(lambda p: len(own[p]) > 1, rank)) if extra else list(itertools.takewhile(lambda p: len(own[p]) > 1, rank))
+    takers = [p for p in reversed(rank) if len(own[p]) < soft and len(own[p]) + len(left[p]) < seats]
+    plan: list[tuple[int, int, int, int]] = []
+    for giver in givers:
+        if len(plan) == min(moves, len(takers)) or rank[giver] >= rank[taker := takers[len(plan)]]:
+            break
+        diff = total[giver] - total[taker]
+        if diff < min_diff and not extra:
             break
-        else:
-            fit = [(abs(2 * n - diff), s) for s, n in own[h].items() if n < diff]
-            if fit:
-                plan.append((h, min(fit)[1], c, min(s for s in range(seats) if s not in own[c])))
-                cold -= 1
-            hot += 1
+        fit = min(((abs(2 * n - diff), seat) for seat, n in own[giver].items() if n < diff), default=None)
+        if fit:
+            plan.append((giver, fit[1], taker, min(set(range(seats)) - own[taker].keys() - left[taker])))
     return spark.createDataFrame(plan, "from_part int, from_seat int, to_part int, to_seat int")
 
 
@@ -164,6 +179,8 @@ def apply_migration(fmap: DataFrame, moves: DataFrame) -> DataFrame:
 
 
 def rebalance(spark: SparkSession, fmap: DataFrame, loads: DataFrame, parts: int, moves: int) -> DataFrame:
-    """Memory balance, then query balance, applied to the map."""
-    fmap = apply_migration(fmap, memory_plan(fmap, parts))
-    return apply_migration(fmap, balance_plan(loads, fmap, moves))
+    """Memory balance, then query balance, applied to the map; seats that the first leaves aren't taken by the second."""
+    plan = memory_plan(fmap, parts)
+    left = plan.select(F.col("from_part").alias("part"), F.col("from_seat").alias("seat"))
+    fmap = apply_migration(fmap, plan)
+    return apply_migration(fmap, balance_plan(loads, fmap, moves, parts=parts, freeing=left))

@@ -7,21 +7,24 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import driver
 from .functions import keys as K
 from .operators import batching, fragments, metrics
 from .operators.index import OrderedIndex, last_wins
 from .plans import maintenance
 from .sources import workload
+from .streaming import runner
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
-#: Parts and fragments a part of the routing map; fragments of the ordered lookups.
-PARTS, TREES, FRAGMENTS = 10, 3, 24
+#: Parts and fragments a part of the routing map.
+PARTS, TREES = 10, 3
 N = PARTS * TREES
 
 
@@ -91,7 +94,7 @@ _SUCC = f"SELECT l_orderkey, l_linenumber, l_partkey, o_orderkey AS succ_o_order
 
 @query("succ_global", _SUCC)
 def _(spark, d):
-    return _orders(spark, d, _SPARSE).succ(_lines(spark, d), "l_orderkey", FRAGMENTS)
+    return _orders(spark, d, _SPARSE).succ(_lines(spark, d), "l_orderkey")
 
 
 @query("succ_small", f"SELECT l_orderkey, l_linenumber, l_partkey, o_orderkey AS succ_o_orderkey FROM lineitem ASOF LEFT JOIN (SELECT * FROM orders WHERE {_SPARSE}) ON l_orderkey < o_orderkey")
@@ -102,15 +105,14 @@ def _(spark, d):
 @query("succ_exact_hit", f"SELECT p.o_orderkey AS k, i.o_orderkey AS succ_o_orderkey, i.o_totalprice AS succ_o_totalprice FROM (SELECT o_orderkey FROM orders WHERE {_SPARSE}) p ASOF LEFT JOIN (SELECT * FROM orders WHERE {_SPARSE}) i ON p.o_orderkey < i.o_orderkey")
 def _(spark, d):
     index = _orders(spark, d, _SPARSE)
-    return index.succ(index.df.select(F.col("o_orderkey").alias("k")), "k", FRAGMENTS)
+    return index.succ(index.df.select(F.col("o_orderkey").alias("k")), "k")
 
 
-@query("succ_past_end", f"SELECT p.k, i.o_orderkey AS succ_o_orderkey, i.o_totalprice AS succ_o_totalprice FROM (SELECT o_orderkey + (SELECT max(o_orderkey) FROM orders) - 500 AS k FROM orders WHERE o_orderkey < 1000) p ASOF LEFT JOIN (SELECT * FROM orders WHERE {_SPARSE}) i ON p.k < i.o_orderkey")
+@query("succ_past_end", "SELECT p.k, i.o_orderkey AS succ_o_orderkey, i.o_totalprice AS succ_o_totalprice FROM (SELECT o_orderkey + (SELECT max(o_orderkey) // 2 FROM orders) AS k FROM orders) p ASOF LEFT JOIN orders i ON p.k < i.o_orderkey")
 def _(spark, d):
     orders = table(spark, d, "orders")
     top = orders.agg(F.max("o_orderkey")).first()[0] or 0
-    probes = orders.where("o_orderkey < 1000").select((F.col("o_orderkey") + (top - 500)).alias("k"))
-    return _orders(spark, d, _SPARSE).succ(probes, "k", FRAGMENTS)
+    return _orders(spark, d).succ(orders.select((F.col("o_orderkey") + top // 2).alias("k")), "k")
 
 
 @query("succ_window", "SELECT o_custkey, o_orderkey AS k, lead(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS succ_o_orderkey, lead(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS succ_o_totalprice FROM orders")
@@ -129,10 +131,12 @@ def _(spark, d):
 
 @query("pred_global", f"SELECT l_orderkey, l_linenumber, l_partkey, o_orderkey AS pred_o_orderkey, o_totalprice AS pred_o_totalprice FROM lineitem ASOF LEFT JOIN (SELECT * FROM orders WHERE {_SPARSE}) ON l_orderkey > o_orderkey")
 def _(spark, d):
-    return _orders(spark, d, _SPARSE).pred(_lines(spark, d), "l_orderkey", FRAGMENTS)
+    return _orders(spark, d, _SPARSE).pred(_lines(spark, d), "l_orderkey")
 
 
-_RANGES = "SELECT s_suppkey * 13 AS k, o_orderkey, o_totalprice, row_number() OVER (PARTITION BY s_suppkey ORDER BY o_orderkey) AS place FROM supplier JOIN orders ON o_orderkey >= s_suppkey * 13 AND o_orderkey < s_suppkey * 13 + 40 WHERE o_orderkey % 7 <> 0"
+_RANGES = "SELECT s_suppkey * 13 AS k, o_orderkey, o_totalprice, row_number() OVER (PARTITION BY s_suppkey ORDER BY o_orderkey) AS place FROM supplier JOIN orders ON o_orderkey >= s_suppkey * 13 AND o_orderkey < s_suppkey * 13 + 40"
+# Every probe twice, once beside an odd and once beside an even number.
+_TWICE = "SELECT l_suppkey * 13 AS k, l_linenumber % 2 AS odd FROM (SELECT DISTINCT l_suppkey, l_linenumber FROM lineitem)"
 
 
 def _suppliers(spark, d):
@@ -141,12 +145,19 @@ def _suppliers(spark, d):
 
 @query("range_scan", f"SELECT k, place, o_orderkey, o_totalprice FROM ({_RANGES}) WHERE place <= 10")
 def _(spark, d):
-    return _orders(spark, d, "o_orderkey % 7 <> 0").range(_suppliers(spark, d), "k", 10, 40)
+    return _orders(spark, d).range(_suppliers(spark, d), "k", 10, 40)
+
+
+@query("range_dup_probes", f"SELECT t.k, odd, place, o_orderkey, o_totalprice FROM ({_TWICE}) t JOIN ({_RANGES}) r ON r.k = t.k WHERE place <= 4")
+def _(spark, d):
+    lines = table(spark, d, "lineitem").select("l_suppkey", "l_linenumber").distinct()
+    probes = lines.select((F.col("l_suppkey") * 13).alias("k"), (F.col("l_linenumber") % 2).alias("odd"))
+    return _orders(spark, d).range(probes, "k", 4, 40)
 
 
 @query("range_count", f"SELECT k, CAST(count(*) AS BIGINT) AS n FROM ({_RANGES}) GROUP BY k")
 def _(spark, d):
-    return _orders(spark, d, "o_orderkey % 7 <> 0").range(_suppliers(spark, d), "k", 40, 40).groupBy("k").agg(F.count("*").alias("n"))
+    return _orders(spark, d).range(_suppliers(spark, d), "k", 40, 40).groupBy("k").agg(F.count("*").alias("n"))
 
 
 @query("tail_scan", "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_orderkey DESC LIMIT 100")
@@ -154,10 +165,10 @@ def _(spark, d):
     return _orders(spark, d).tail(100)
 
 
-@query("key_rank", f"SELECT k, CAST((SELECT count(*) FROM orders WHERE {_SPARSE} AND o_orderkey <= k) AS BIGINT) AS rank FROM (SELECT c_custkey * 9 AS k FROM customer)")
+@query("key_rank", "SELECT k, CAST((SELECT count(*) FROM orders WHERE o_orderkey <= k) AS BIGINT) AS rank FROM (SELECT c_custkey * 9 - 50 AS k FROM customer)")
 def _(spark, d):
-    probes = table(spark, d, "customer").select((F.col("c_custkey") * 9).alias("k"))
-    return _orders(spark, d, _SPARSE).rank(probes, "k", FRAGMENTS)
+    probes = table(spark, d, "customer").select((F.col("c_custkey") * 9 - 50).alias("k"))
+    return _orders(spark, d).rank(probes, "k")
 
 
 @query("ordered_scan", "SELECT o_orderkey, o_totalprice, row_number() OVER (ORDER BY o_orderkey) - 1 AS seq FROM orders WHERE o_orderkey BETWEEN 100 AND 5000")
@@ -193,6 +204,10 @@ def _routed(spark, d, strict=False) -> DataFrame:
     return fragments.route(probes, _map(spark, d), strict=strict)
 
 
+def _loads(spark, d) -> DataFrame:
+    return fragments.requests_per_fragment(_lines(spark, d).withColumnRenamed("l_orderkey", "key"), _map(spark, d))
+
+
 @query("route_get", f"WITH {_MAP} SELECT l_orderkey AS key, l_linenumber, l_partkey, frag_id, part, seat FROM lineitem JOIN fmap ON l_orderkey BETWEEN lb AND ub")
 def _(spark, d):
     return _routed(spark, d)
@@ -203,13 +218,16 @@ def _(spark, d):
     return _routed(spark, d, strict=True)
 
 
-@query("route_equi_depth", "SELECT CAST(count(*) AS BIGINT) AS n, 0 AS unplaced FROM lineitem")
+@query("route_equi_depth", "SELECT l_orderkey AS key, l_linenumber, l_partkey, true AS inside, true AS alone FROM lineitem")
 def _(spark, d):
+    """Every request lies in the fragment it is routed to, and in no other one."""
     orders = table(spark, d, "orders")
     fmap = fragments.equi_depth(orders, "o_orderkey", PARTS, TREES, 2**62)
     routed = fragments.route(_lines(spark, d).withColumnRenamed("l_orderkey", "key"), fmap)
-    held = routed.join(F.broadcast(fmap.select("frag_id", "lb", "ub")), "frag_id").where("key BETWEEN lb AND ub")
-    return held.agg(F.count("*").alias("n")).withColumn("unplaced", F.lit(0))
+    bounds = F.lit([r.lb for r in fmap.orderBy("lb").collect()])
+    own = fmap.select("frag_id", "lb", "ub")
+    placed = routed.join(F.broadcast(own), "frag_id", "left")
+    return placed.select("key", "l_linenumber", "l_partkey", F.coalesce(F.col("key").between(F.col("lb"), F.col("ub")), F.lit(False)).alias("inside"), (F.array_size(F.filter(bounds, lambda b: (b > F.col("lb")) & (b <= F.col("key")))) == 0).alias("alone"))
 
 
 _ROUTED = f"{_MAP}, routed AS (SELECT l_orderkey AS key, frag_id, part, seat FROM lineitem JOIN fmap ON l_orderkey BETWEEN lb AND ub), loads AS (SELECT frag_id, part, seat, CAST(count(*) AS BIGINT) AS n FROM routed GROUP BY ALL), parts AS (SELECT part, CAST(sum(n) AS BIGINT) AS n FROM loads GROUP BY part)"
@@ -217,22 +235,22 @@ _ROUTED = f"{_MAP}, routed AS (SELECT l_orderkey AS key, frag_id, part, seat FRO
 
 @query("requests_per_fragment", f"WITH {_ROUTED} SELECT * FROM loads")
 def _(spark, d):
-    return fragments.requests_per_fragment(_routed(spark, d))
+    return _loads(spark, d)
 
 
 @query("requests_per_part", f"WITH {_ROUTED} SELECT * FROM parts")
 def _(spark, d):
-    return fragments.requests_per_part(_routed(spark, d))
+    return fragments.requests_per_part(_loads(spark, d))
 
 
 @query("max_part_load", f"WITH {_ROUTED} SELECT max(n) AS max_n FROM parts")
 def _(spark, d):
-    return metrics.max_load(fragments.requests_per_part(_routed(spark, d)))
+    return metrics.max_load(fragments.requests_per_part(_loads(spark, d)))
 
 
 @query("hot_parts", f"WITH {_ROUTED} SELECT part, n, row_number() OVER (ORDER BY n DESC, part) AS rank FROM parts")
 def _(spark, d):
-    return fragments.hot_parts(fragments.requests_per_part(_routed(spark, d)))
+    return fragments.hot_parts(fragments.requests_per_part(_loads(spark, d)))
 
 
 @query("frag_stats", f"WITH {_MAP} SELECT frag_id, lb, ub, part, seat, CAST(count(o_orderkey) AS BIGINT) AS n_rows, min(o_orderkey) AS min_key, max(o_orderkey) AS max_key FROM fmap LEFT JOIN (SELECT o_orderkey FROM orders WHERE {_SPARSE}) ON o_orderkey BETWEEN lb AND ub GROUP BY frag_id, lb, ub, part, seat")
@@ -359,12 +377,15 @@ def _(spark, d):
     return maintenance.split_bounds(_buckets(spark, d), _bucket_plan(spark, d))
 
 
-_UNEVEN = "SELECT o_orderkey FROM orders WHERE o_custkey % 11 < 3"
+# Squared keys over the whole table: the upper fragments hold few.
+_UNEVEN = "SELECT o_orderkey * o_orderkey // (SELECT max(o_orderkey) FROM orders) AS o_orderkey FROM orders"
 _STATS = f"{_MAP}, stats AS (SELECT frag_id, lb, ub, part, seat, CAST(count(o_orderkey) AS BIGINT) AS n_rows FROM fmap LEFT JOIN ({_UNEVEN}) ON o_orderkey BETWEEN lb AND ub GROUP BY frag_id, lb, ub, part, seat), lim AS (SELECT 2 * count(*) // {N} AS under FROM ({_UNEVEN})), cand AS (SELECT frag_id, part, seat, ub, n_rows, lead(frag_id) OVER (ORDER BY ub) AS right_id, lead(n_rows) OVER (ORDER BY ub) AS right_rows, row_number() OVER (ORDER BY ub) AS pos FROM stats)"
 
 
 def _uneven(spark, d) -> tuple[DataFrame, int]:
-    rows = table(spark, d, "orders").where("o_custkey % 11 < 3").select("o_orderkey")
+    orders = table(spark, d, "orders")
+    top = orders.agg(F.max("o_orderkey")).first()[0] or 1
+    rows = orders.select(F.expr(f"o_orderkey * o_orderkey div {max(top, 1)}").alias("o_orderkey"))
     return fragments.stats(rows, _map(spark, d), "o_orderkey"), 2 * rows.count() // N
 
 
@@ -397,7 +418,7 @@ def _skewed(spark, d) -> tuple[DataFrame, DataFrame]:
     fmap = _map(spark, d)
     top = fmap.agg(F.max("ub")).first()[0]
     probes = _lines(spark, d).select(F.expr(f"l_orderkey * l_orderkey div {max(top, 1)}").alias("key"))
-    return fragments.requests_per_fragment(fragments.route(probes, fmap)), fmap
+    return fragments.requests_per_fragment(probes, fmap), fmap
 
 
 _BALANCE = f"""WITH {_SKEWED}, per AS (SELECT part, CAST(sum(n) AS BIGINT) AS total, count(*) AS used FROM own GROUP BY part),
@@ -483,11 +504,11 @@ def _(spark, d):
 _ZN, _ZC = 500, 20_000
 
 
-def _zipf_sql(theta: float, seed: int = 0) -> str:
+def _zipf_sql(theta: float, seed: int = 0, count: int = _ZC) -> str:
     c = workload.zipf_constants(_ZN, theta)
-    u = f"((((i * 48271 + {seed * 7919 + 12345}) % 1000003) + 0.5::DOUBLE) / 1000003)"
-    far = f"least(floor({float(_ZN)}::DOUBLE * pow({c['eta']!r}::DOUBLE * {u} - {c['eta']!r}::DOUBLE + 1, {c['alpha']!r}::DOUBLE)), {_ZN - 1})"
-    return f"SELECT i AS seq, CAST(CASE WHEN {u} * {c['zeta']!r}::DOUBLE < 1 THEN 0 WHEN {u} * {c['zeta']!r}::DOUBLE < {c['two']!r}::DOUBLE THEN 1 ELSE {far} END AS BIGINT) AS which_range FROM range({_ZC}) t(i)"
+    far = f"least(floor({float(_ZN)}::DOUBLE * pow({c['eta']!r}::DOUBLE * u - {c['eta']!r}::DOUBLE + 1, {c['alpha']!r}::DOUBLE)), {_ZN - 1})"
+    units = f"SELECT i, (CAST({_FNV} // 4096 AS DOUBLE) + 0.5) / {float(1 << 52)}::DOUBLE AS u FROM (SELECT i, xor(i, {K.seed_bits(seed)}) AS x FROM range({count}) t(i))"
+    return f"SELECT i AS seq, CAST(CASE WHEN u * {c['zeta']!r}::DOUBLE < 1 THEN 0 WHEN u * {c['zeta']!r}::DOUBLE < {c['two']!r}::DOUBLE THEN 1 ELSE {far} END AS BIGINT) AS which_range FROM ({units})"
 
 
 @query("zipf_ranks", " UNION ALL ".join(f"SELECT {t!r}::DOUBLE AS theta, seq, which_range FROM ({_zipf_sql(t)})" for t in (0.2, 0.6, 0.99, 1.2)))
@@ -559,34 +580,75 @@ def _(spark, d):
     return metrics.xfer_stats(log)
 
 
-@query("distribution_report", f"WITH {_UMAP}, rows AS (SELECT part, CAST(count(DISTINCT key) AS BIGINT) AS kv FROM req GROUP BY part), own AS (SELECT seq // 2000 AS batch_id, part, CAST(count(*) AS BIGINT) AS queries, any_value(kv) AS kv FROM req JOIN rows USING (part) GROUP BY seq // 2000, part) SELECT * FROM own UNION ALL SELECT batch_id, -1, max(queries), max(kv) FROM own GROUP BY batch_id")
+@query("distribution_report", f"WITH {_UMAP}, trees AS (SELECT part, seat, CAST(count(DISTINCT key) AS BIGINT) AS n FROM req GROUP BY part, seat), rows AS (SELECT part, CAST(sum(n) AS BIGINT) AS kv, max(n) AS largest FROM trees GROUP BY part), own AS (SELECT seq // 2000 AS batch_id, part, CAST(count(*) AS BIGINT) AS queries, any_value(kv) AS kv, any_value(largest) AS largest FROM req JOIN rows USING (part) GROUP BY seq // 2000, part) SELECT * FROM own UNION ALL SELECT batch_id, -1, max(queries), max(kv), max(largest) FROM own GROUP BY batch_id")
 def _(spark, d):
     routed = batching.batch_slices(_requests(spark, d), batch=2000)
-    rows = routed.groupBy("part").agg(F.count_distinct("key").alias("n_rows"))
+    rows = routed.groupBy("part", "seat").agg(F.count_distinct("key").alias("n_rows"))
     return metrics.distribution(routed.groupBy("batch_id", "part").agg(F.count("*").alias("n")), rows)
 
 
-@query("skew_before_after", f"WITH {_SKEWED}, per AS (SELECT part, CAST(sum(n) AS BIGINT) AS n FROM own GROUP BY part) SELECT max(n) / avg(n) AS skew FROM per")
+# Moves by the oracle of balance_plan, applied to the loads.
+@query("skew_before_after", f"WITH {_SKEWED}, moves AS ({_BALANCE.replace('MIN_DIFF', '40')}), moved AS (SELECT coalesce(to_part, part) AS part, n FROM own LEFT JOIN moves ON from_part = part AND from_seat = seat), a AS (SELECT CAST(sum(n) AS BIGINT) AS n FROM own GROUP BY part), z AS (SELECT CAST(sum(n) AS BIGINT) AS n FROM moved GROUP BY part) SELECT 'before' AS step, max(n) / avg(n) AS skew FROM a UNION ALL SELECT 'after', max(n) / avg(n) FROM z")
+def _(spark, d):
+    loads, fmap = _skewed(spark, d)
+    moved = maintenance.apply_migration(fmap, maintenance.balance_plan(loads, fmap, _MOVES, min_diff=40, parts=PARTS))
+    out = None
+    for step, m in (("before", fmap), ("after", moved)):
+        own = m.select("frag_id", "part").join(loads.select("frag_id", "n"), "frag_id", "left").select("part", F.coalesce("n", F.lit(0)).alias("n"))
+        row = metrics.skew(fragments.requests_per_part(own)).select(F.lit(step).alias("step"), "skew")
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
+@query("load_matrix", f"WITH {_ROUTED} SELECT p.part, {', '.join(f'CAST(coalesce(sum(n) FILTER (seat = {s}), 0) AS BIGINT) AS seat_{s}' for s in range(TREES))} FROM (SELECT CAST(i AS INTEGER) AS part FROM range({PARTS}) t(i)) p LEFT JOIN loads USING (part) GROUP BY p.part")
 def _(spark, d):
-    loads, _ = _skewed(spark, d)
-    return metrics.skew(loads.groupBy("part").agg(F.sum("n").alias("n")))
+    return metrics.load_matrix(_loads(spark, d), PARTS, TREES)
+
+
+@query("tail_share", f"WITH {_ROUTED}, r AS (SELECT n, row_number() OVER (ORDER BY n DESC, part) AS r, count(*) OVER () AS c FROM parts) SELECT sum(n) FILTER (r <= ceil(c * 0.3)) / sum(n) AS share FROM r")
+def _(spark, d):
+    return metrics.tail_share(fragments.requests_per_part(_loads(spark, d)), 0.3)
+
+
+@query("windowed_requests", "SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, user_id, CAST(count(*) AS BIGINT) AS n FROM events GROUP BY ALL")
+def _(spark, d):
+    """The streaming operator over the whole table as a batch: no row is late."""
+    events = table(spark, d, "events")
+    return runner.windowed(events, "ts", "user_id", "1 hour", "1 day").select(F.col("window.start").alias("start"), "user_id", "n")
 
 
 def _scratch(spark: SparkSession) -> str:
+    """A folder of our own under the one that driver and executors share; a local one only where they are one process."""
     import tempfile
 
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="ordix-")
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not base:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = tempfile.mkdtemp(prefix="ordix-")
     return f"{base.rstrip('/')}/ordix-{uuid.uuid4().hex}"
 
 
-@query("src_binary_keys")
+@query("src_binary_keys", f"SELECT {_KEYED} AS key FROM ({_zipf_sql(0.6, count=5000)})")
 def _(spark, d):
     to = _scratch(spark).removeprefix("file://")
     workload.write_keys(workload.zipf_keys(spark, 5000, _ZN, 0.6), "key", to)
-    return workload.read_keys(spark, f"file://{to}").select("seq", F.col("key").cast("string").alias("key"))
+    return workload.read_keys(spark, f"file://{to}").select(F.col("key").cast("string").alias("key"))
 
 
 @query("batch_report")
 def _(spark, d):
     index, probes = _orders(spark, d, _SPARSE), _lines(spark, d)
-    return metrics.batch_report(spark, [("get", lambda: index.get(probes, "l_orderkey").count()), ("succ", lambda: index.succ(probes, "l_orderkey", FRAGMENTS).count())])
+    return metrics.batch_report(spark, [("get", lambda: index.get(probes, "l_orderkey").count()), ("succ", lambda: index.succ(probes, "l_orderkey").count())])
+
+
+@query("driver_get", "SELECT event_id AS seq, user_id AS key, true AS found, user_id * 2 AS value FROM events WHERE event_id < 600")
+def _(spark, d):
+    """The batch driver over the first whole batches, against an index of all users."""
+    events = table(spark, d, "events")
+    users = events.select(F.col("user_id").alias("key")).distinct().withColumn("value", F.col("key") * 2)
+    requests = events.select(F.col("event_id").alias("seq"), F.col("user_id").alias("key"))
+    fmap = fragments.equi_width(spark, PARTS, TREES, users.agg(F.max("key")).first()[0] or 0)
+    out = []
+    driver.run(OrderedIndex(users, "key", ["value"]), requests, fmap, driver.Options("get", batch=200, limit=500, parts=PARTS), lambda df, _: out.append(df))
+    return reduce(DataFrame.unionByName, out)

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import math
-import struct
 from collections.abc import Iterator
 
 import numpy as np
@@ -52,13 +51,12 @@ def write_keys(df: DataFrame, key: str, path: str) -> None:
         n = 0
         with open(f"{to}.{TaskContext.get().attemptNumber()}", "wb") as out:
             for b in batches:
-                for k in b["k"]:
-                    out.write(struct.pack("<Q", int(k)))
+                out.write(b["k"].to_numpy(np.int64).tobytes())
                 n += len(b)
         os.replace(out.name, to)
         yield pd.DataFrame({"n": [n]})
 
-    df.select(F.col(key).cast("decimal(20,0)").alias("k")).mapInPandas(put, "n long").agg(F.sum("n")).collect()
+    df.select(K.signed(F.col(key)).alias("k")).mapInPandas(put, "n long").agg(F.sum("n")).collect()
 
 
 # --- bulk load -----------------------------------------------------------------

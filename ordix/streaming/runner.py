@@ -1,71 +1,108 @@
-"""Micro-batches over a versioned index: each batch's change is one snapshot.
+"""Micro-batches over a versioned index: each batch writes what it changes, and no more.
 
-A snapshot is a Parquet folder `v=<batch id>`; a batch that is run again writes
-the same folder anew, so a restart is harmless. Batch b + 1 sees batch b.
+A version is either a whole index (`whole=<batch id>`) or the changes of a batch,
+a row per key that it touches (`v=<batch id>`). Version b is the last whole one at
+or before b and the changes after it, of which the latest of a key wins. After
+COMPACT changes the next one is made whole. A batch that is run again writes the
+same folder anew, so a restart is harmless. Batch b + 1 sees batch b.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..operators.index import OrderedIndex
+from ..operators.index import OrderedIndex, last_wins
+
+#: Changes that a reader joins with a whole index at most.
+COMPACT = 16
 
 
 class Snapshots:
     """Versions of an index under one path, on any file system Spark reads."""
 
-    def __init__(self, spark: SparkSession, path: str, key: str, payload: list[str]):
-        self.spark, self.path, self.key, self.payload = spark, path.rstrip("/"), key, payload
+    def __init__(self, spark: SparkSession, path: str, key: str, payload: list[str], compact: int = COMPACT):
+        self.spark, self.path, self.key, self.payload, self.compact = spark, path.rstrip("/"), key, payload, compact
 
     def _fs(self):
         jvm = self.spark.sparkContext._jvm
         top = jvm.org.apache.hadoop.fs.Path(self.path)
         return top.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), top
 
-    def versions(self) -> list[int]:
-        """Finished versions, ascending."""
+    def _held(self, kind: str) -> list[int]:
+        """Finished folders of a kind, ascending."""
         fs, top = self._fs()
         if not fs.exists(top):
             return []
         out = []
         for s in fs.listStatus(top):
-            m = re.fullmatch(r"v=(-?\d+)", s.getPath().getName())
+            m = re.fullmatch(kind + r"=(-?\d+)", s.getPath().getName())
             if m and fs.exists(self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(s.getPath(), "_SUCCESS")):
                 out.append(int(m[1]))
         return sorted(out)
 
+    def versions(self) -> list[int]:
+        """Finished versions, ascending; those before the first whole one can't be read and aren't listed."""
+        whole = self._held("whole")
+        return sorted({*whole, *(v for v in self._held("v") if v > whole[0])}) if whole else []
+
     def write(self, df: DataFrame, version: int) -> None:
-        df.select(self.key, *self.payload).write.mode("overwrite").parquet(f"{self.path}/v={version}")
+        """A whole index as a version."""
+        df.select(self.key, *self.payload).write.mode("overwrite").parquet(f"{self.path}/whole={version}")
+
+    def change(self, batch: DataFrame, seq: str, version: int) -> None:
+        """The last arrival of each key of a batch as a version; the first version, and every one after `compact` changes, is whole."""
+        whole = [v for v in self._held("whole") if v < version]
+        changes = [v for v in self._held("v") if whole and whole[-1] < v < version]
+        if whole and len(changes) < self.compact:
+            last = last_wins(batch, self.key, self.payload, seq)
+            last.select(self.key, *(F.col(f"__v.{c}").alias(c) for c in self.payload)).write.mode("overwrite").parquet(f"{self.path}/v={version}")
+            return
+        old = self.before(version) or OrderedIndex(self.spark.createDataFrame([], batch.select(self.key, *self.payload).schema), self.key, self.payload)
+        self.write(old.upsert(batch, seq), version)
 
     def before(self, version: int) -> OrderedIndex | None:
         """The index as the batch `version` finds it."""
-        held = [v for v in self.versions() if v < version]
-        return OrderedIndex(self.spark.read.parquet(f"{self.path}/v={held[-1]}"), self.key, self.payload) if held else None
+        whole = [v for v in self._held("whole") if v < version]
+        if not whole:
+            return None
+        base = self.spark.read.parquet(f"{self.path}/whole={whole[-1]}")
+        changes = [v for v in self._held("v") if whole[-1] < v < version]
+        if changes:
+            each = [self.spark.read.schema(base.schema).parquet(f"{self.path}/v={v}").withColumn("__b", F.lit(v).cast("long")) for v in changes]
+            late = last_wins(reduce(DataFrame.unionByName, each), self.key, self.payload, "__b")
+            late = late.select(self.key, *(F.col(f"__v.{c}").alias(c) for c in self.payload))
+            base = base.join(late.select(self.key), self.key, "left_anti").unionByName(late)
+        return OrderedIndex(base, self.key, self.payload)
 
     def latest(self) -> OrderedIndex | None:
         held = self.versions()
-        return OrderedIndex(self.spark.read.parquet(f"{self.path}/v={held[-1]}"), self.key, self.payload) if held else None
+        return self.before(held[-1] + 1) if held else None
 
     def prune(self, keep: int = 2) -> None:
-        """Drops all but the last versions."""
+        """Drops all but the last versions; the oldest that stays is made whole."""
+        kept = self.versions()[-keep:]
+        if not kept:
+            return
+        if kept[0] not in self._held("whole"):
+            self.write(self.before(kept[0] + 1).df, kept[0])
         fs, _ = self._fs()
-        for v in self.versions()[:-keep]:
-            fs.delete(self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.path}/v={v}"), True)
+        for kind, most in (("v", kept[0]), ("whole", kept[0] - 1)):
+            for v in self._held(kind):
+                if v <= most:
+                    fs.delete(self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{kind}={v}"), True)
 
 
 def upsert_batch(snapshots: Snapshots, seq: str) -> Callable[[DataFrame, int], None]:
     """A foreachBatch function that makes version `batch id` of the index."""
 
     def run(batch: DataFrame, batch_id: int) -> None:
-        old = snapshots.before(batch_id)
-        if old is None:
-            empty = snapshots.spark.createDataFrame([], batch.select(snapshots.key, *snapshots.payload).schema)
-            old = OrderedIndex(empty, snapshots.key, snapshots.payload)
-        snapshots.write(old.upsert(batch, seq), batch_id)
+        snapshots.change(batch, seq, batch_id)
 
     return run
 
@@ -88,6 +125,4 @@ def run_gets(stream: DataFrame, snapshots: Snapshots, on: str, sink: Callable[[D
 
 def windowed(stream: DataFrame, time: str, key: str, width: str, late: str) -> DataFrame:
     """Extension: requests per window of event time and key, with rows later than `late` left out."""
-    from pyspark.sql import functions as F
-
     return stream.withWatermark(time, late).groupBy(F.window(time, width), key).agg(F.count("*").alias("n"))

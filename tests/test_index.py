@@ -128,3 +128,116 @@ def test_streamed_upserts_are_idempotent(spark, tmp_path):
     assert {r.k: r.v for r in snap.latest().df.collect()} == {1: 1, 2: 5, 3: 3}
     snap.prune(1)
     assert snap.versions() == [1]
+
+
+def test_ranges_of_repeated_probes(spark):
+    index = _index(spark, range(0, 40, 2))
+    df = _probes(spark, [5, 5, None, 39, -3]).drop("seq")
+    got = sorted((r.p, r.place, r.k, r.v) for r in index.range(df, "p", 3, 10).collect())
+    assert got == sorted([(5, i + 1, k, 10 * k) for i, k in enumerate((6, 8, 10)) for _ in range(2)] + [(-3, i + 1, k, 10 * k) for i, k in enumerate((0, 2, 4))])
+
+
+def test_small_successor_has_the_same_columns_at_every_size(spark, monkeypatch):
+    from ordix.operators import index as module
+
+    index, df = _index(spark, range(0, 100, 3)), _probes(spark, [1, 50, 99, None])
+    small = index.succ_small(df, "p")
+    monkeypatch.setattr(module, "SMALL_ROWS", 10)
+    large = index.succ_small(df, "p")
+    assert large.columns == small.columns and sorted(map(tuple, large.collect()), key=str) == sorted(map(tuple, small.collect()), key=str)
+
+
+def test_fragments_follow_probes_too(spark, monkeypatch):
+    """A small index with many probes is cut by the probes' keys."""
+    monkeypatch.setattr(fragments, "CELL_ROWS", 100)
+    index, df = _index(spark, [500]), _probes(spark, list(range(1000)))
+    got = {r.p: (r.succ_k, r.f) for r in index.succ(df, "p").withColumn("f", F.lit(0)).collect()}
+    assert got == {p: (500 if p < 500 else None, 0) for p in range(1000)}
+    _, n = index._cut(index.df.select("k"), df.select(F.col("p").alias("k")), None)
+    assert n == 11
+    assert {r.p: r["rank"] for r in index.rank(df, "p").collect()} == {p: int(p >= 500) for p in range(1000)}
+
+
+def test_hot_first_column_is_cut_by_the_next(spark, monkeypatch):
+    monkeypatch.setattr(fragments, "CELL_ROWS", 50)
+    rows = [(7 if i % 10 else i, f"s{i:04d}") for i in range(900)] + [(None, "x"), (3, None)]
+    df = spark.createDataFrame(rows, "a long, b string")
+    cuts = fragments.row_bounds(df, ["a", "b"], len(rows), fragments.cells(len(rows)))
+    assert sum(c[0] == 7 for c in cuts) > 10
+    got = [(r.a, r.b) for r in sorted(batching.numbered(df, ["a", "b"]).collect(), key=lambda r: r.seq)]
+    assert got == [(r.a, r.b) for r in df.orderBy("a", "b").collect()]
+
+
+def test_slots_of_a_hot_seat(spark):
+    routed = spark.createDataFrame([(i, 0 if i % 9 else 1, i % 3 if i % 9 == 0 else 2, 1) for i in range(300)], "seq long, part int, seat int, frag_id int")
+    one, many = ({r.seq: r.slot for r in batching.request_slots(routed, cells=n).collect()} for n in (1, 7))
+    assert one == many and sorted(one[i] for i in range(300) if i % 9) == list(range(300 - 34))
+
+
+def test_streamed_gets_and_windows(spark, tmp_path):
+    from ordix.streaming.runner import run_gets, windowed
+
+    snap = Snapshots(spark, str(tmp_path / "snap"), "k", ["v"], compact=2)
+    for b in range(5):
+        upsert_batch(snap, "seq")(spark.createDataFrame([(b, b, 0), (9, b, 1)], "k long, v long, seq long"), b)
+    assert snap.versions() == [0, 1, 2, 3, 4] and snap._held("whole") == [0, 3]
+    assert {r.k: r.v for r in snap.latest().df.collect()} == {0: 0, 1: 1, 2: 2, 3: 3, 4: 4, 9: 4}
+    assert {r.k: r.v for r in snap.before(2).df.collect()} == {0: 0, 1: 1, 9: 1}
+    snap.prune(2)
+    assert snap.versions() == [3, 4] and snap.latest().df.count() == 6
+    src, got = str(tmp_path / "probes"), []
+    spark.createDataFrame([(9,), (50,)], "p long").write.parquet(src)
+    run_gets(spark.readStream.schema("p long").parquet(src), snap, "p", lambda df, b: got.extend(df.collect()), str(tmp_path / "ck")).awaitTermination()
+    assert {r.p: (r.found, r.v) for r in got} == {9: (True, 4), 50: (False, None)}
+    events = str(tmp_path / "events")
+    rows = [("2024-01-01 00:10:00", 1), ("2024-01-01 00:50:00", 1), ("2024-01-01 01:05:00", 2)]
+    spark.createDataFrame(rows, "t string, u int").select(F.col("t").cast("timestamp").alias("t"), "u").write.parquet(events)
+    stream = windowed(spark.readStream.schema("t timestamp, u int").parquet(events), "t", "u", "1 hour", "10 minutes")
+    q = stream.writeStream.format("memory").queryName("windows").outputMode("complete").option("checkpointLocation", str(tmp_path / "ck2")).trigger(availableNow=True).start()
+    q.awaitTermination()
+    assert sorted((r.u, r.n) for r in spark.table("windows").collect()) == [(1, 2), (2, 1)]
+
+
+def test_units_are_spread_and_differ_by_seed(spark):
+    rows = spark.range(20_000).select(K.unit(F.col("id")).alias("u"), K.unit(F.col("id"), 1).alias("w")).collect()
+    u = sorted(r.u for r in rows)
+    assert 0 < u[0] and u[-1] < 1 and len(set(u)) == len(u) and max(abs(x - (i + 0.5) / len(u)) for i, x in enumerate(u)) < 0.02
+    assert sum(abs(r.u - r.w) < 1e-3 for r in rows) < 200
+    far = spark.range(10**15, 10**15 + 5).select(K.unit(F.col("id"), 3).alias("u")).collect()
+    assert all(0 < r.u < 1 for r in far)
+
+
+def test_report_files(spark, tmp_path):
+    from ordix.operators import metrics
+
+    metrics.write_report(metrics.batch_report(spark, [("get", lambda: 5)]), str(tmp_path / "r"))
+    rows = spark.read.csv(str(tmp_path / "r"), header=True).collect()
+    assert sorted((r.step, r.num_keys) for r in rows) == [("get", "5"), ("total", "5")]
+
+
+def test_batch_driver(spark, tmp_path):
+    from ordix import driver
+
+    keys = [(k, k * 2) for k in range(0, 600, 2)]
+    fmap = fragments.equi_width(spark, 4, 3, 599)
+    index = OrderedIndex(spark.createDataFrame(keys, "key long, value long"), "key", ["value"])
+    rng = random.Random(2)
+    rows = [(i, int(rng.random() ** 3 * 600), i) for i in range(4000)]
+    requests = spark.createDataFrame(rows, "seq long, key long, value long")
+    got, maps = [], []
+    report = driver.run(index, requests.drop("value"), fmap, driver.Options("succ", batch=1500, moves=2, parts=4), lambda df, b: got.extend(df.collect()), lambda loads, m, b: maps.append({(r.part, r.seat) for r in m.collect()}))
+    assert {r.seq: r.succ_key for r in got} == {i: (k // 2 * 2 + 2 if k < 598 else None) for i, k, _ in rows}
+    assert [r.num_keys for r in report.orderBy("batch_num").collect()] == [4000, 1500, 1500, 1000]
+    assert len(maps) == 3 and all(len(m) == 12 for m in maps) and maps[0] != maps[-1]
+    at = {"df": None}
+    driver.run(index, requests, fmap, driver.Options("insert", batch=500, limit=400, parts=4), lambda df, b: at.update(df=df))
+    want = dict(keys) | {k: v for _, k, v in rows[:500]}
+    assert {r.key: r.value for r in at["df"].collect()} == want
+    with pytest.raises(ValueError):
+        driver.Options("scan")
+    spark.createDataFrame(keys, "key long, value long").write.parquet(str(tmp_path / "index"))
+    requests.write.parquet(str(tmp_path / "requests"))
+    driver.main(["--index", str(tmp_path / "index"), "--requests", str(tmp_path / "requests"), "-b", "3000", "--parts", "4", "--trees", "3", "--out", str(tmp_path / "out"), "--report", str(tmp_path / "report"), "-q"])
+    assert spark.read.parquet(str(tmp_path / "out")).count() == 4000 and spark.read.csv(str(tmp_path / "report"), header=True).count() == 3
+    driver.main(["--generate", str(tmp_path / "keys"), "--requests-wanted", "500", "--ranges", "20", "-s"])
+    assert workload.read_keys(spark, str(tmp_path / "keys")).count() == 500

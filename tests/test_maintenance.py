@@ -119,3 +119,48 @@ def test_results_stay_the_same_after_a_rebalance(spark):
     a = {r.key: r.frag_id for r in fragments.route(probes, fmap).collect()}
     b = {r.key: r.frag_id for r in fragments.route(probes, moved).collect()}
     assert a == b and index.get(probes, "key").where("found").count() == len([k for k in range(0, 1000, 3) if k % 7 == 0])
+
+
+def _greedy_merge_seats(rows, under, seats):
+    used = {}
+    for r in rows:
+        used[r[3]] = used.get(r[3], 0) + 1
+    out, i = [], 0
+    while i + 1 < len(rows):
+        a, b = rows[i], rows[i + 1]
+        if a[5] + b[5] < under and (a[3] == b[3] or used[b[3]] < seats):
+            if a[3] != b[3]:
+                used[a[3]] -= 1
+                used[b[3]] += 1
+            out.append((a[0], b[0]))
+            i += 1
+        i += 1
+    return out
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_merge_passes_over_full_parts(spark, seed):
+    rng = random.Random(seed)
+    rows = [(i, i * 10, i * 10 + 9, rng.randrange(6), 0, rng.randrange(0, 80)) for i in range(40)]
+    stats = spark.createDataFrame(rows, MAP + ", n_rows long")
+    got = sorted((r.src_id, r.dst_id) for r in M.merge_plan(stats, 100, seats=7).collect())
+    assert got == _greedy_merge_seats(rows, 100, 7) and got != _greedy_merge_seats(rows, 100, 99)
+
+
+def test_balance_gives_to_empty_parts_first(spark):
+    rows = [(0, 0, 9, 0, 0), (1, 10, 19, 0, 1), (2, 20, 29, 1, 0)]
+    fmap = spark.createDataFrame(rows, MAP)
+    loads = spark.createDataFrame([(0, 5000), (1, 1000), (2, 300)], "frag_id int, n long")
+    assert [tuple(r) for r in M.balance_plan(loads, fmap, 5, parts=4).collect()] == [(0, 0, 3, 0)]
+    freeing = spark.createDataFrame([(3, 0), (3, 2)], "part int, seat int")
+    assert [tuple(r) for r in M.balance_plan(loads, fmap, 5, parts=4, freeing=freeing).collect()] == [(0, 0, 3, 1)]
+    full = spark.createDataFrame([(3, s) for s in range(20)], "part int, seat int")
+    assert [tuple(r) for r in M.balance_plan(loads, fmap, 5, parts=4, freeing=full).collect()] == [(0, 0, 2, 0)]
+
+
+def test_empty_parts_are_reported(spark):
+    fmap = spark.createDataFrame([(0, 0, 9, 1, 0), (1, 10, 19, 1, 1)], MAP)
+    probes = spark.createDataFrame([(3,), (4,), (12,)], "key long")
+    per = fragments.requests_per_fragment(probes, fmap)
+    assert sorted(map(tuple, fragments.requests_per_part(per, 3).collect())) == [(0, 0), (1, 3), (2, 0)]
+    assert sorted(map(tuple, fragments.first_free_seat(fmap, parts=3).collect())) == [(0, 0), (1, 2), (2, 0)]
