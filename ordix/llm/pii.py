@@ -34,7 +34,7 @@ _DOTTED = re.compile(r"[0-9]+(?:\.[0-9]+)*")
 _DIGITS = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _LINK = re.compile(r"[^\s<>\"'`|]+")
-_ACCOUNT = re.compile(r"(?:\s+(?ai:number|no|num|id))?\.?\s*[:=#]?\s*([A-Za-z0-9][A-Za-z0-9-]{4,33})(?![A-Za-z0-9])")
+_ACCOUNT = re.compile(r"(?:\s++(?ai:number|no|num|id))?\.?\s*+[:=#]?\s*+([A-Za-z0-9][A-Za-z0-9-]{4,33})(?![A-Za-z0-9])")
 _SECRET = re.compile(r"\s*[:=]\s*[\"']?([A-Za-z0-9_\-./+]{8,})")
 
 
@@ -108,7 +108,7 @@ def spans(text: str) -> dict[str, list[tuple[int, int]]]:
             parts = m[0].split(".")
             for k in range(0, len(parts) - 3, 4):
                 long = len(".".join(parts[k : k + 4]))
-                if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in parts[k : k + 4]):
+                if all(len(p := x.lstrip("0")) <= 3 and int(p or 0) <= 255 for x in parts[k : k + 4]):
                     out["ip"].append((i, i + long))
                 i += long + 1
         elif kind == "+":
@@ -151,7 +151,8 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", redact
     """Per document: its id, the spans of every kind, counts and a digest of the base kinds.
 
     With redact also the text with its spans replaced. A null or empty text has
-    no spans; repeated rows each get a row; other columns aren't read.
+    no spans; repeated rows each get a row; other columns aren't read. A text is
+    whole in memory; its cost grows in proportion to its length.
     """
     prepare(docs.sparkSession)
     names = ["doc_id", *(f"n_{k}" for k in BASE), "base_sha256", "spans"] + ["text"] * redact
