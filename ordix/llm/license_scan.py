@@ -18,6 +18,7 @@ lambda, as a projection that is inlined into a lambda would run for each element
 from __future__ import annotations
 
 import math
+import re
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -52,6 +53,13 @@ NOTICES = {
     "cc-text": "this work is licensed under a creative commons attribution 4 0 international license",
     "unlicense-text": "this is free and unencumbered software released into the public domain",
     "rights-reserved": "copyright all rights reserved",
+    "apache-header": "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license you may obtain a copy of the license at",
+    "apache-terms": "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied",
+    "gpl-header": "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version",
+    "gpl-warranty": "this program is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose",
+    "mit-rights": "including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so",
+    "bsd-conditions": "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer",
+    "as-is": "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement",
 }
 #: A notice is found where a block holds this share of its distinct words.
 CONTAINMENT = 0.8
@@ -73,7 +81,21 @@ class Template:
 
 
 TEMPLATES = [Template(label, tuple(p.split()), True) for p, label in PHRASES.items()] + [Template(k, tuple(t.split()), False) for k, t in NOTICES.items()]
-VOCABULARY = sorted({w for t in TEMPLATES for w in t.words})
+
+
+def templates_of(notices: dict[str, str]) -> list[Template]:
+    """TEMPLATES and notices of one's own, by label, in any case and punctuation; of at most WIDTH - STRIDE + 1 words each, so that one block holds them whole."""
+    out = list(TEMPLATES)
+    for label, text in notices.items():
+        own = tuple(w for w in re.split(SPLIT, text.translate({c: c + 32 for c in range(0x41, 0x5B)})) if w)
+        if not 0 < len(own) <= WIDTH - STRIDE + 1:
+            raise ValueError(f"notice {label!r} has {len(own)} words; cut it into parts of 1 to {WIDTH - STRIDE + 1}")
+        out.append(Template(label, own, False))
+    return out
+
+
+def _vocabulary(templates: list[Template]) -> list[str]:
+    return sorted({w for t in templates for w in t.words})
 
 
 def _let(value: Column, body) -> Column:
@@ -88,19 +110,19 @@ def words(text: str | Column) -> Column:
     return F.filter(F.split(F.translate(F.coalesce(text, F.lit("")), upper, upper.lower()), SPLIT), lambda w: w != "")
 
 
-def frequencies(docs: DataFrame, text_col: str = "text") -> dict[str, int]:
-    """Occurrences of each template word in all documents: at most len(VOCABULARY) rows."""
-    rows = docs.select(F.explode(words(text_col)).alias("w")).where(F.col("w").isin(VOCABULARY)).groupBy("w").count().collect()
+def frequencies(docs: DataFrame, text_col: str = "text", templates: list[Template] = TEMPLATES) -> dict[str, int]:
+    """Occurrences of each template word in all documents: a row per word of the templates at most."""
+    rows = docs.select(F.explode(words(text_col)).alias("w")).where(F.col("w").isin(_vocabulary(templates))).groupBy("w").count().collect()
     return {r.w: r["count"] for r in rows}
 
 
-def _found(block: Column, order: list[str]) -> Column:
+def _found(block: Column, order: list[str], templates: list[Template]) -> Column:
     """Templates that the block joins: struct(index, share)."""
     rank = {w: i for i, w in enumerate(order)}
-    templates = []
-    for i, t in enumerate(TEMPLATES):
+    sides = []
+    for i, t in enumerate(templates):
         tokens = sorted(t.tokens, key=rank.__getitem__)
-        templates.append(F.struct(F.lit(i).alias("i"), F.lit(t.need).alias("need"), F.lit(len(tokens)).alias("n"), F.lit(tokens).alias("tokens"), F.lit(tokens[: len(tokens) - t.need + 1]).alias("prefix")))
+        sides.append(F.struct(F.lit(i).alias("i"), F.lit(t.need).alias("need"), F.lit(len(tokens)).alias("n"), F.lit(tokens).alias("tokens"), F.lit(tokens[: len(tokens) - t.need + 1]).alias("prefix")))
 
     def joined(own: Column) -> Column:
         def passes(t: Column) -> Column:
@@ -109,13 +131,13 @@ def _found(block: Column, order: list[str]) -> Column:
 
             return (F.size(own) >= t["need"]) & F.exists(t["prefix"], lambda w: F.array_contains(own, w) & (left(w) >= t["need"]))
 
-        counted = F.transform(F.filter(F.array(*templates), passes), lambda t: F.struct(t["i"].alias("i"), F.size(F.array_intersect(t["tokens"], own)).alias("common"), t["need"].alias("need"), t["n"].alias("n")))
+        counted = F.transform(F.filter(F.array(*sides), passes), lambda t: F.struct(t["i"].alias("i"), F.size(F.array_intersect(t["tokens"], own)).alias("common"), t["need"].alias("need"), t["n"].alias("n")))
         return F.transform(F.filter(counted, lambda c: c["common"] >= c["need"]), lambda c: F.struct(c["i"].alias("i"), (c["common"] / c["n"]).alias("share")))
 
     return _let(F.array_intersect(F.lit(order), block), joined)
 
 
-def _places(at: Column, block: Column, found: Column) -> Column:
+def _places(at: Column, block: Column, found: Column, templates: list[Template]) -> Column:
     """Where phrases stand, of those that start in the block's own stride: struct(word, label)."""
     def of(i: int, t: Template) -> Column:
         n, phrase = len(t.words), F.lit(list(t.words))
@@ -124,29 +146,31 @@ def _places(at: Column, block: Column, found: Column) -> Column:
         hits = F.filter(starts, lambda s: F.slice(block, s + 1, n) == phrase)
         return F.transform(hits, lambda s: F.struct((at + s).cast("long").alias("word"), F.lit(t.label).alias("label")))
 
-    return F.concat(*(of(i, t) for i, t in enumerate(TEMPLATES) if t.phrase))
+    return F.concat(*(of(i, t) for i, t in enumerate(templates) if t.phrase))
 
 
-def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates: list[Template] = TEMPLATES) -> DataFrame:
     """Per document: words, places of base phrases, labels, score, and the blocks found.
 
     score is the largest share of a template's words that a block which joins it
     holds; 0 without one. blocks lists (first word, label, share). Null and empty
     texts have no words and no labels; repeated rows each get a row; ties of
-    frequency are broken by the word; other columns aren't read.
+    frequency are broken by the word; other columns aren't read. The texts are
+    read twice, once to count the templates' words. A text's words and blocks are
+    one value in memory, of some 100 bytes a word. templates: see templates_of().
     """
-    count = frequencies(docs, text_col)
-    order = sorted(VOCABULARY, key=lambda w: (count.get(w, 0), w))
+    count = frequencies(docs, text_col, templates)
+    order = sorted(_vocabulary(templates), key=lambda w: (count.get(w, 0), w))
     rank = {w: i for i, w in enumerate(order)}
-    prefixes = sorted({w for t in TEMPLATES for w in sorted(t.tokens, key=rank.__getitem__)[: len(t.tokens) - t.need + 1]})
-    labels = F.lit([t.label for t in TEMPLATES])
-    phrases = F.lit([t.phrase for t in TEMPLATES])
+    prefixes = sorted({w for t in templates for w in sorted(t.tokens, key=rank.__getitem__)[: len(t.tokens) - t.need + 1]})
+    labels = F.lit([t.label for t in templates])
+    phrases = F.lit([t.phrase for t in templates])
 
     def blocks(w: Column) -> Column:
         starts = F.sequence(F.lit(0), F.greatest(F.size(w) - 1, F.lit(0)), F.lit(STRIDE))
         all_ = F.transform(starts, lambda k: F.struct(k.alias("at"), F.slice(w, k + 1, WIDTH).alias("words")))
         held = F.filter(all_, lambda b: F.arrays_overlap(b["words"], F.lit(prefixes)))
-        joined = F.transform(held, lambda b: F.struct(b["at"].alias("at"), b["words"].alias("words"), _found(b["words"], order).alias("found")))
+        joined = F.transform(held, lambda b: F.struct(b["at"].alias("at"), b["words"].alias("words"), _found(b["words"], order, templates).alias("found")))
         return F.filter(joined, lambda b: F.size(b["found"]) > 0)
 
     def digest(w: Column) -> Column:
@@ -154,7 +178,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
             blocks(w),
             lambda bs: F.struct(
                 F.size(w).cast("long").alias("n_words"),
-                F.flatten(F.transform(bs, lambda b: _places(b["at"], b["words"], b["found"]))).alias("places"),
+                F.flatten(F.transform(bs, lambda b: _places(b["at"], b["words"], b["found"], templates))).alias("places"),
                 F.flatten(F.transform(bs, lambda b: F.transform(b["found"], lambda f: F.struct(b["at"].cast("long").alias("word"), F.element_at(labels, f["i"] + 1).alias("label"), f["share"].alias("share"), F.element_at(phrases, f["i"] + 1).alias("phrase"))))).alias("found"),
             ),
         )
@@ -176,11 +200,11 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     )
 
 
-def oracle_sql() -> str:
+def oracle_sql(templates: list[Template] = TEMPLATES) -> str:
     """The scan in DuckDB SQL, by comparing every block with every template."""
-    templates = ", ".join(f"({i}, '{t.label}', {'true' if t.phrase else 'false'}, {list(t.words)}, {t.tokens}, {t.need})" for i, t in enumerate(TEMPLATES))
+    rows = ", ".join(f"({i}, '{t.label}', {'true' if t.phrase else 'false'}, {list(t.words)}, {t.tokens}, {t.need})" for i, t in enumerate(templates))
     return f"""
-WITH templates(i, label, phrase, words, tokens, need) AS (VALUES {templates}),
+WITH templates(i, label, phrase, words, tokens, need) AS (VALUES {rows}),
 docs AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM documents),
 blocks AS (SELECT r, k AS pos, w[k + 1 : k + {WIDTH}] AS b FROM (SELECT r, w, unnest(generate_series(0, greatest(len(w) - 1, 0), {STRIDE})) AS k FROM docs)),
 found AS (SELECT r, pos, label, phrase, len(list_intersect(tokens, b)) / len(tokens) AS share FROM blocks, templates WHERE len(list_intersect(tokens, b)) >= need),

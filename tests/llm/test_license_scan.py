@@ -1,5 +1,7 @@
 import re
 
+import pytest
+
 from ordix.llm import license_scan as L
 from ordix.llm import queries
 
@@ -38,6 +40,16 @@ def test_notice_by_containment(spark):
     assert got == {0: "bsd-text", 1: "", 2: "bsd-text"}
 
 
+def test_own_templates(spark):
+    notice = "You may COPY this corpus, provided that its authors are named."
+    own = L.templates_of({"corpus": notice})
+    df = spark.createDataFrame([(0, "x " * 70 + notice + " y" * 9), (1, "you may copy this corpus"), (2, "mit license")], "doc_id long, text string")
+    assert {r.doc_id: r.labels for r in L.scan(df, templates=own).collect()} == {0: "corpus", 1: "", 2: "mit"}
+    with pytest.raises(ValueError):
+        L.templates_of({"long": "w " * 66})
+    assert all(len(t.words) <= L.WIDTH - L.STRIDE + 1 for t in L.TEMPLATES)
+
+
 def test_messy(messy, empty):
     rows = L.scan(messy).collect()
     assert len(rows) == 9 and all(r.n_base == 0 and r.first_word is None and r.labels == "" and r.score == 0 for r in rows)
