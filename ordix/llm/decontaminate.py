@@ -24,8 +24,9 @@ from ._dist import prepare
 
 #: Words in a window; a shorter item is one window.
 N = 10
-#: Bytes of benchmark text that are broadcast as one block.
+#: Bytes of benchmark text that are broadcast as one block, and blocks that a worker holds; with more of them it holds one at a time.
 BLOCK_BYTES = 16 << 20
+HELD = 4
 
 
 @dataclass
@@ -62,8 +63,8 @@ def build(names: list[str], texts: list[str], n: int = N) -> Index:
 
 
 def blocks(bench: DataFrame, id_col: str = "item_id", text_col: str = "text", n: int = N) -> list[Broadcast]:
-    """The benchmark's blocks; more of them, not larger ones, when it grows. Null texts have no words; a null id is the empty name."""
-    rows = bench.select(F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("i"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
+    """The benchmark's blocks; more of them, not larger ones, when it grows. Null texts have no words; a null id is the empty name; rows that repeat count once."""
+    rows = bench.select(F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("i"), F.coalesce(F.col(text_col), F.lit("")).alias("t")).distinct()
     size = rows.agg(F.sum(F.octet_length("t"))).first()[0] or 0
     parts = -(-size // BLOCK_BYTES)
     out = []
@@ -73,10 +74,10 @@ def blocks(bench: DataFrame, id_col: str = "item_id", text_col: str = "text", n:
     return out
 
 
-def _value(b: Broadcast) -> Index:
-    """A worker holds one block at a time."""
+def _value(b: Broadcast, blocks: int) -> Index:
+    """A worker holds HELD blocks; of more than that it holds one at a time."""
     own = b.value
-    if "_value" in vars(b) and vars(b).get("_path"):
+    if blocks > HELD and "_value" in vars(b) and vars(b).get("_path"):
         del b._value
     return own
 
@@ -93,7 +94,11 @@ class Shard:
         self.at = np.arange(len(ws)) + B.ids(self.n_words)
 
     def search(self, x: Index) -> tuple[np.ndarray, np.ndarray]:
-        """Every occurrence of a window: the word of the shard at which it starts, and the window."""
+        """Every occurrence of a window: the word of the shard at which it starts, and the window.
+
+        A window is what a match of a test suffix needs at least; test suffixes
+        that begin with the same window are looked up once.
+        """
         none = np.zeros(0, np.int64), np.zeros(0, np.int64)
         if not len(x.length):
             return none
@@ -144,73 +149,86 @@ def _bisect(col: np.ndarray, a: np.ndarray, z: np.ndarray, key: np.ndarray, righ
     return a
 
 
-def _judge(t: B.Texts, index: list[Broadcast]) -> tuple[Shard, np.ndarray, list[set[str]]]:
-    """Words hit by document, and the names of the items found in each."""
+def _matches(shard: Shard, x: Index, pos: np.ndarray, window: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Longest verbatim matches from the occurrences of windows: document, item, first word in both, and words.
+
+    An occurrence is one of every test suffix that begins with its window. Those
+    of neighbouring suffixes of an item at neighbouring words of a document make
+    one match, which ends where the next word differs on either side.
+    """
+    many = (x.place_off[1:] - x.place_off[:-1])[window]
+    place = B.ranges(x.place_off[window], many)
+    pos, window = np.repeat(pos, many), np.repeat(window, many)
+    item, at = x.item[place], x.place[place]
+    order = np.lexsort((pos, pos - at, item))
+    pos, item, at, long = pos[order], item[order], at[order], x.length[window][order]
+    new = np.ones(len(pos), bool)
+    new[1:] = (item[1:] != item[:-1]) | ((pos - at)[1:] != (pos - at)[:-1]) | (pos[1:] != pos[:-1] + 1)
+    first = np.flatnonzero(new)
+    last = np.append(first[1:], len(pos)) - 1 if len(first) else first
+    doc = np.searchsorted(shard.off, pos[first], "right") - 1
+    return doc, item[first], pos[first] - shard.off[doc], at[first], pos[last] - pos[first] + long[first]
+
+
+def _judge(t: B.Texts, index: list[Broadcast]) -> tuple[Shard, np.ndarray, list[set[str]], np.ndarray]:
+    """Words hit by document, the names of the items found in each, and the words of its longest match."""
     shard = Shard(t)
     edge = np.zeros(int(shard.off[-1]) + 1, np.int64)
     names: list[set[str]] = [set() for _ in range(t.n)]
+    longest = np.zeros(t.n, np.int64)
     for b in index:
-        x = _value(b)
+        x = _value(b, len(index))
         pos, window = shard.search(x)
+        if not len(pos):
+            continue
+        doc, item, _, _, words = _matches(shard, x, pos, window)
+        # A match covers the words of all its windows.
+        np.maximum.at(longest, doc, words)
         np.add.at(edge, pos, 1)
         np.add.at(edge, pos + x.length[window], -1)
-        doc = np.searchsorted(shard.off, pos, "right") - 1
-        pair = np.unique(doc * max(1, len(x.length)) + window)
-        for d, w in zip((pair // max(1, len(x.length))).tolist(), (pair % max(1, len(x.length))).tolist(), strict=True):
-            names[d].update(x.names[i] for i in x.item[x.place_off[w] : x.place_off[w + 1]].tolist())
-    return shard, B.sums(np.cumsum(edge[:-1]) > 0, shard.off), names
+        pair = np.unique(doc * len(x.names) + item)
+        for d, i in zip((pair // len(x.names)).tolist(), (pair % len(x.names)).tolist(), strict=True):
+            names[d].add(x.names[i])
+    return shard, B.sums(np.cumsum(edge[:-1]) > 0, shard.off), names, longest
 
 
 def report(docs: DataFrame, index: list[Broadcast], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: words, hit words, items with occurring windows, and the verdict.
+    """One row per document: words, hit words, items with occurring windows, the verdict, and the words of its longest match.
 
     Null or empty texts have no words and are clean; repeated rows each get a
-    row; other columns aren't read. With an empty benchmark all are clean.
+    row; other columns aren't read. With an empty benchmark all are clean. A text
+    is whole in a shard, however long.
     """
     prepare(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, t in B.slices(batches, "text"):
-            shard, hit, names = _judge(t, index)
+            shard, hit, names, longest = _judge(t, index)
             found = [sorted(x) for x in names]
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(shard.n_words), pa.array(hit), pa.array([len(x) for x in found], pa.int64()), pa.array([hashlib.sha256(",".join(x).encode()).hexdigest() for x in found]), pa.array(hit > 0)], ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"])
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(shard.n_words), pa.array(hit), pa.array([len(x) for x in found], pa.int64()), pa.array([hashlib.sha256(",".join(x).encode()).hexdigest() for x in found]), pa.array(hit > 0), pa.array(longest)], ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "longest"])
 
     kind = docs.select(id_col).schema[0].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, f"doc_id {kind}, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean")
+    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, f"doc_id {kind}, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, longest long")
 
 
 def matches(docs: DataFrame, index: list[Broadcast], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Longest verbatim matches: doc_id, item_id, first word in the document and in the item, words.
-
-    Windows on one diagonal of a document and an item join into a maximal match.
-    """
+    """Longest verbatim matches: doc_id, item_id, first word in the document and in the item, words."""
     prepare(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, t in B.slices(batches, "text"):
             shard = Shard(t)
             for b in index:
-                x = _value(b)
-                pos, window = shard.search(x)
-                many = (x.place_off[1:] - x.place_off[:-1])[window]
-                place = B.ranges(x.place_off[window], many)
-                pos, window = np.repeat(pos, many), np.repeat(window, many)
-                item, at = x.item[place], x.place[place]
-                order = np.lexsort((pos, pos - at, item))
-                pos, item, at, long = pos[order], item[order], at[order], x.length[window][order]
-                new = np.ones(len(pos), bool)
-                new[1:] = (item[1:] != item[:-1]) | ((pos - at)[1:] != (pos - at)[:-1]) | (pos[1:] != pos[:-1] + 1)
-                first = np.flatnonzero(new)
-                last = np.append(first[1:], len(pos)) - 1 if len(first) else first
-                doc = np.searchsorted(shard.off, pos[first], "right") - 1
-                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(doc)), pa.array([x.names[i] for i in item[first]], pa.string()), pa.array(pos[first] - shard.off[doc]), pa.array(at[first]), pa.array(pos[last] - pos[first] + long[first] if len(first) else first)], ["doc_id", "item_id", "doc_word", "item_word", "n_words"])
+                x = _value(b, len(index))
+                doc, item, doc_word, item_word, words = _matches(shard, x, *shard.search(x))
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(doc)), pa.array([x.names[i] for i in item], pa.string()), pa.array(doc_word), pa.array(item_word), pa.array(words)], ["doc_id", "item_id", "doc_word", "item_word", "n_words"])
 
     kind = docs.select(id_col).schema[0].dataType.simpleString()
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, f"doc_id {kind}, item_id string, doc_word long, item_word long, n_words long")
 
 
 def clean(docs: DataFrame, index: list[Broadcast], text_col: str = "text") -> DataFrame:
-    """The documents without a hit, with all their columns."""
+    """The documents without a match, with all their columns."""
     prepare(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
