@@ -77,21 +77,22 @@ def pack(lengths: DataFrame, id_col: str = "doc_id", column: str = "n_tokens", b
 
     A batch (bucket, slab, batch) holds budget // bucket_len documents, or one
     when a document alone is over the budget: nothing is cut or dropped. Null
-    lengths count as 0. Documents are dealt into slabs by the hash of their id,
-    about SLAB_ROWS of a bucket each, and numbered by id; each slab ends with
-    one batch that may not be full. Repeated rows each get a place.
+    lengths count as 0. Documents are dealt into slabs by the hash of their id
+    and row, about SLAB_ROWS of a bucket each, and numbered by id; each slab ends
+    with one batch that may not be full. Repeated rows, and rows without an id,
+    each get a place, in whichever slab.
     """
-    # Read twice, so that lengths are not counted again.
-    own = Kept(lengths.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(column), F.lit(0)).cast("long").alias("n_tokens"))).df
+    # Read twice, so that lengths are not counted again; the row number is fixed by the written table.
+    own = Kept(lengths.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(column), F.lit(0)).cast("long").alias("n_tokens"), F.monotonically_increasing_id().alias("row"))).df
     values, counts = histogram(own)
     ends = boundaries(values, counts, buckets)
     held = {int(e): int(c) for e, c in zip(ends, np.add.reduceat(counts, np.concatenate(([0], np.searchsorted(values, ends, "right")[:-1]))), strict=True)} if len(ends) else {}
     upper = F.lit([int(e) for e in ends] or [0])
     slabs = F.lit([max(1, -(-c // SLAB_ROWS)) for c in held.values()] or [1])
     bucket = F.array_size(F.filter(upper, lambda e: e < F.col("n_tokens")))
-    dealt = own.withColumn("bucket", F.least(bucket, F.array_size(upper) - 1)).withColumn("bucket_len", F.element_at(upper, F.col("bucket") + 1)).withColumn("slab", F.pmod(F.xxhash64("doc_id", "n_tokens"), F.element_at(slabs, F.col("bucket") + 1)).cast("int"))
+    dealt = own.withColumn("bucket", F.least(bucket, F.array_size(upper) - 1)).withColumn("bucket_len", F.element_at(upper, F.col("bucket") + 1)).withColumn("slab", F.pmod(F.xxhash64("doc_id", "n_tokens", "row"), F.element_at(slabs, F.col("bucket") + 1)).cast("int"))
     room = F.greatest(F.lit(1), F.floor(F.lit(budget) / F.greatest("bucket_len", F.lit(1)))).cast("long")
-    at = F.row_number().over(Window.partitionBy("bucket", "slab").orderBy("doc_id", "n_tokens")) - 1
+    at = F.row_number().over(Window.partitionBy("bucket", "slab").orderBy("doc_id", "n_tokens", "row")) - 1
     return dealt.withColumn("at", at.cast("long")).select(
         "doc_id",
         "n_tokens",
