@@ -36,9 +36,12 @@ BLOCK_IDS = 4096
 SHARD_IDS = 1 << 20
 #: Bytes of text that a part of the output is given, about.
 PART_BYTES = 32 << 20
-#: Fine ranges of document ids among which parts are balanced.
-RANGES = 2000
-REMEMBERED = 200_000
+#: Fine ranges of document ids among which parts are balanced, at least and at most.
+RANGES, MOST_RANGES = 2000, 20_000
+#: Bytes of text encoded together.
+SLICE_BYTES = 1 << 20
+#: Words whose ids a worker remembers, and the bytes of the longest such word.
+REMEMBERED = 400_000
 LONGEST = 64
 #: New words that are encoded as one text.
 JOINED = 64
@@ -105,12 +108,33 @@ class Shard:
 # --- encoding -----------------------------------------------------------------
 
 
+#: White space that a word may not begin with, as up to three bytes; any superset is safe.
+_BLANK = B.table(lambda b: 9 <= b <= 13 or 28 <= b <= 31)
+#: Bytes of ASCII letters and of two-byte letters from U+00C0 to U+023F, of which the two signs among them are told by their second byte.
+_LETTER = B.table(lambda b: 0x41 <= b <= 0x5A or 0x61 <= b <= 0x7A or 0x80 <= b <= 0xBF or 0xC3 <= b <= 0xC8)
+_STOPS = b".,"
+#: A second random value for each byte, for the other half of a word's fingerprint.
+_T2 = np.random.Generator(np.random.PCG64(50)).integers(0, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_AFTER = re.compile(r" (?=\S)")
+
+
+def _blank(data: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """Which runs begin with white space of any kind."""
+    at = np.concatenate([data, np.zeros(3, np.uint8)])
+    a, b, c = at[start], at[start + 1], at[start + 2]
+    return _BLANK[a] | ((a == 0xC2) & ((b == 0x85) | (b == 0xA0))) | ((a == 0xE1) & (b == 0x9A)) | ((a == 0xE2) & (b == 0x80) & ((c <= 0x8A) | (c == 0xA8) | (c == 0xA9) | (c == 0xAF))) | ((a == 0xE2) & (b == 0x81)) | ((a == 0xE3) & (b == 0x80))
+
+
 class _Encoder:
-    """Ids as uint32 bytes; words that come again are encoded once.
+    """Ids of texts; words that come again are encoded once.
 
     A byte-level vocabulary whose split rule lets a space begin a word never
-    joins anything over a space that a non-space follows, so new words are
-    encoded many at a time as one text and told apart by their spaces. Texts that hold a special string go whole.
+    joins anything over a space that a non-space follows. So words are told by
+    128-bit fingerprints, new ones are encoded many at a time as one text and
+    told apart by their spaces, and a text's ids are gathered from those of its
+    words. A stop after letters is a word of its own. Texts with spaces in a row
+    or before other white space are split where it is sure; those that hold a
+    special string go whole.
     """
 
     def __init__(self, path: str):
@@ -123,69 +147,124 @@ class _Encoder:
         spec = json.loads(self.model.to_str())
         rule = spec.get("pre_tokenizer") or {}
         self.safe = spec.get("normalizer") is None and rule.get("type") == "ByteLevel" and rule.get("use_regex", True) and not rule.get("add_prefix_space")
-        self.special = [x["content"] for x in spec.get("added_tokens", [])]
+        self.special = [x["content"].encode() for x in spec.get("added_tokens", [])]
         self.vocabulary = max(self.model.get_vocab(with_added_tokens=True).values()) + 1
         # In joined words, the ids that hold a space begin the words.
         self.begins = np.zeros(self.vocabulary, bool)
         for token, i in self.model.get_vocab(with_added_tokens=False).items():
             self.begins[i] = "Ġ" in token
-        self.stops = dict(zip(".,", self.encode([".", ","]), strict=True))
-        self.seen: dict[str, bytes | None] = {}
-        self.before: dict[str, bytes | None] = {}
-
-    def encode(self, parts: list[str]) -> list[bytes]:
-        return [np.array(x.ids, np.uint32).tobytes() for x in self.model.encode_batch(parts, add_special_tokens=False)]
-
-    def learn(self, words: set[str]) -> dict[str, bytes | None]:
-        """Ids of each word after a space; None where the split there isn't sure."""
-        if len(self.seen) > REMEMBERED:  # words that come again outlive the others
-            self.before, self.seen = self.seen, {}
-        new = words.difference(self.seen)
-        again = new.intersection(self.before)
-        found: dict[str, bytes | None] = {w: self.before[w] for w in again}
-        new -= again
-        unsure = {w for w in new if not w or w[0].isspace()}
-        found.update(dict.fromkeys(unsure))
-        # A stop after letters is always apart: such words are those without it, and the stop.
-        stopped = {w for w in new if w[-1:] in self.stops and w[:-1].isalpha()}
-        cores = {w[:-1] for w in stopped}
-        found.update((w, self.seen[w]) for w in cores.intersection(self.seen))
-        new = list((new | cores).difference(unsure, stopped, found))
-        joined = [new[at : at + JOINED] for at in range(0, len(new), JOINED)]
-        for part, got in zip(joined, self.model.encode_batch_fast([" " + " ".join(p) for p in joined], add_special_tokens=False), strict=True):
-            ids = np.array(got.ids, np.uint32)
-            start = np.append(np.flatnonzero(self.begins[ids]), len(ids)) * 4
-            if len(start) != len(part) + 1:
+        self.stops = self.encode(list(_STOPS.decode()))
+        self._forget(np.zeros(0, np.int64), first=True)
+
+    def encode(self, parts: list[str]) -> list[np.ndarray]:
+        return [np.array(x.ids, np.uint32) for x in self.model.encode_batch_fast(parts, add_special_tokens=False)]
+
+    # Remembered words: fingerprints in ascending order, and where and how many their ids are.
+
+    def _forget(self, keep: np.ndarray, first: bool = False) -> None:
+        """Keeps only the chosen words."""
+        if first:
+            self.flat, self.name, self.check = np.zeros(0, np.uint32), np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+            self.at = self.n = np.zeros(0, np.int64)
+        else:
+            self.flat, self.name, self.check = self.flat[B.ranges(self.at[keep], self.n[keep])], self.name[keep], self.check[keep]
+            self.n = self.n[keep]
+            self.at = np.cumsum(self.n) - self.n
+        self.used = np.zeros(len(self.name), bool)
+
+    def _remember(self, name: np.ndarray, check: np.ndarray, at: np.ndarray, n: np.ndarray) -> None:
+        """Adds words in ascending order, whose ids are in flat already; beyond REMEMBERED those that came again outlive the others."""
+        to = np.searchsorted(self.name, name)
+        self.name, self.check, self.at, self.n, self.used = (np.insert(x, to, y) for x, y in ((self.name, name), (self.check, check), (self.at, at), (self.n, n), (self.used, False)))
+        if len(self.name) > REMEMBERED:
+            keep = np.flatnonzero(self.used)
+            self._forget(keep if len(keep) <= REMEMBERED // 2 else keep[:0])
+
+    def learn(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of words after a space each, one after the other, and their numbers."""
+        joined = [words[at : at + JOINED] for at in range(0, len(words), JOINED)]
+        ids, starts, base = [], [], 0
+        for part, got in zip(joined, self.encode([" " + " ".join(p) for p in joined]), strict=True):
+            start = np.flatnonzero(self.begins[got])
+            if len(start) != len(part):
                 raise ValueError("the vocabulary joins words over a space")
-            blob, start = ids.tobytes(), start.tolist()
-            found.update(zip(part, map(blob.__getitem__, map(slice, start[:-1], start[1:])), strict=True))
-        found.update((w, found[w[:-1]] + self.stops[w[-1]]) for w in stopped)
-        if any(map(LONGEST.__lt__, map(len, new))):
-            known = self.seen | found
-            self.seen.update((w, x) for w, x in found.items() if len(w) <= LONGEST)
-            return known
-        self.seen.update(found)
-        return self.seen
-
-    def ids(self, texts: list[str]) -> list[bytes]:
-        whole = [not self.safe or any(s in t for s in self.special) for t in texts]
-        split = [[t] if w else t.split(" ") for t, w in zip(texts, whole, strict=True)]
-        heads = self.encode([s.pop(0) for s in split])
-        known = self.learn(set().union(*split))
-        out, slow = [], []
-        for i, (s, head) in enumerate(zip(split, heads, strict=True)):
-            try:
-                out.append(head + b"".join(map(known.__getitem__, s)))
-            except TypeError:  # spaces in a row
-                out.append(b"")
-                slow.append(i)
-        for i in slow:
-            parts = _AFTER.split(texts[i])
-            out[i] = b"".join(self.encode([parts[0], *(" " + p for p in parts[1:])]))
-        return out
-
-
-_AFTER = re.compile(r" (?=\S)")
+            ids.append(got)
+            starts.append(start + base)
+            base += len(got)
+        return np.concatenate(ids), np.diff(np.append(np.concatenate(starts), base))
+
+    def ids(self, t: B.Texts) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the texts, one after the other, and their offsets."""
+        blob = t.data.tobytes()
+        start, end, off = B.runs(t.data != 0x20, t.off)
+        plain = (np.diff(off) == B.sums(t.data == 0x20, t.off) + 1) & (B.sums(_blank(t.data, start), off) == 0) & self.safe
+        whole = np.full(t.n, not self.safe)
+        for s in self.special:
+            at = blob.find(s)
+            while at >= 0:
+                whole[t.doc_of(np.array([at]))] = True
+                at = blob.find(s, at + 1)
+        plain &= ~whole
+        heads = off[:-1][plain]
+        texts = [blob[a:z].decode() for a, z in zip(t.off[:-1][~plain].tolist(), t.off[1:][~plain].tolist(), strict=True)]
+        parts, of = [blob[a:z].decode() for a, z in zip(start[heads].tolist(), end[heads].tolist(), strict=True)], [np.flatnonzero(plain)]
+        for d, text in zip(np.flatnonzero(~plain).tolist(), texts, strict=True):
+            if text:
+                first, *rest = [text] if whole[d] else _AFTER.split(text)
+                parts += [first, *(" " + p for p in rest)]
+                of.append(np.full(1 + len(rest), d))
+        apart = self.encode(parts) if parts else []
+
+        # The words after the first of plain texts, and the stops that are taken off them.
+        doc = B.ids(np.diff(off))
+        rest = plain[doc]
+        rest[heads] = False
+        start, end, doc = start[rest], end[rest], doc[rest]
+        letters = np.zeros(len(t.data) + 1, np.int32)
+        sign = np.zeros(len(t.data), bool)
+        sign[1:] = (t.data[:-1] == 0xC3) & ((t.data[1:] == 0x97) | (t.data[1:] == 0xB7))
+        np.cumsum(_LETTER[t.data] & ~sign, out=letters[1:])
+        last = t.data[end - 1]
+        stopped = np.isin(last, list(_STOPS)) & (end - start > 1) & (letters[end - 1] - letters[start] == end - 1 - start)
+        end = end - stopped
+        prefix = t.prefix()
+        name = B.span_hash(prefix, start, end)
+        np.cumsum(_T2[t.data] * B._powers(len(t.data))[0], out=prefix[1:])
+        check = B.span_hash(prefix, start, end)
+        distinct, first, which = np.unique(name, return_index=True, return_inverse=True)
+        own = check[first]
+        if (own[which] != check).any():
+            raise ValueError("two words of one fingerprint in a slice")
+        place = np.minimum(np.searchsorted(self.name, distinct), max(0, len(self.name) - 1))
+        held = (self.name[place] == distinct) & (self.check[place] == own) if len(self.name) else np.zeros(len(distinct), bool)
+        self.used[place[held]] = True
+        at, n = np.zeros(len(distinct), np.int64), np.zeros(len(distinct), np.int64)
+        at[held], n[held] = self.at[place[held]], self.n[place[held]]
+        new = np.flatnonzero(~held)
+        flat = self.flat
+        if len(new):
+            long = (end - start)[first[new]]
+            ids, n[new] = self.learn([blob[a:z].decode() for a, z in zip(start[first[new]].tolist(), end[first[new]].tolist(), strict=True)])
+            at[new] = np.cumsum(n[new]) - n[new] + len(flat)
+            flat = np.concatenate([flat, ids])
+
+        # Pieces in order: what is encoded apart, words and stops.
+        base = np.cumsum([len(flat), *(len(x) for x in (*self.stops, *apart))])
+        pool = np.concatenate([flat, *self.stops, *apart])
+        sized = np.array([len(x) for x in (*self.stops, *apart)], np.int64)
+        stop = np.searchsorted(np.sort(list(_STOPS)), last[stopped])
+        stop = np.argsort(list(_STOPS))[stop]
+        order = np.concatenate([np.repeat(np.int64(-1), len(apart)), np.arange(len(start)) * 2, np.flatnonzero(stopped) * 2 + 1])
+        docs = np.concatenate([*of, doc, doc[stopped]]).astype(np.int64)
+        begin = np.concatenate([base[len(self.stops) : -1], at[which], base[stop]])
+        many = np.concatenate([sized[len(self.stops) :], n[which], sized[stop]])
+        order = np.lexsort((order, docs))
+        out = pool[B.ranges(begin[order], many[order])]
+        if len(new):
+            short = new[long <= LONGEST]
+            self.flat = flat
+            self._remember(distinct[short], own[short], at[short], n[short])
+        return out, np.concatenate(([0], np.cumsum(np.bincount(docs, many, t.n).astype(np.int64))))
 
 
 @cache
@@ -193,32 +272,45 @@ def _encoder(path: str) -> _Encoder:
     return _Encoder(path)
 
 
-def _bounds(docs: DataFrame, id_col: str, text_col: str) -> np.ndarray:
-    """Ids that begin the parts: fine ranges of ids, joined to about PART_BYTES of text each."""
-    ids = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("i"), F.octet_length(text_col).alias("b"))
-    edges = ids.agg(F.percentile_approx("i", [k / RANGES for k in range(1, RANGES)], 10 * RANGES).alias("e")).first().e
-    edges = np.unique(np.array(edges or [], np.int64))
-    if not len(edges):
-        return edges
-    # The sizes of RANGES ranges come to the driver.
+def _bounds(docs: DataFrame, id_col: str, text_col: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Ids that begin the ranges of ids, the first part of each range (that of null ids first), and how many parts each has.
+
+    Fine ranges are joined to about PART_BYTES of text each. An id on very many
+    rows is a range of its own, which has parts by the hash of the text.
+    """
+    ids = docs.select(F.col(id_col).cast("long").alias("i"), F.octet_length(text_col).alias("b"))
+    total = ids.agg(F.sum("b")).first()[0] or 0
+    ranges = min(MOST_RANGES, max(RANGES, 4 * total // PART_BYTES))
+    most = max(PART_BYTES, total // MOST_RANGES)
+    edges = ids.where("i IS NOT NULL").agg(F.percentile_approx("i", [k / ranges for k in range(1, ranges)], 10 * ranges).alias("e")).first().e
+    edges, often = np.unique(np.array(edges or [], np.int64), return_counts=True)
+    hot = edges[often > 1]
+    edges = np.unique(np.concatenate([edges, hot + 1]))
+    # The sizes of the ranges come to the driver: MOST_RANGES at most, and as many for hot ids.
     sizes = {r.r: r.b or 0 for r in ids.mapInArrow(_ranged(edges), "r long, b long").groupBy("r").agg(F.sum("b").alias("b")).collect()}
-    bounds, held = [], 0
-    for k in range(len(edges)):
-        held += sizes.get(k, 0)
-        if held >= PART_BYTES:
-            bounds.append(edges[k])
-            held = 0
-    return np.array(bounds, np.int64)
+    bounds, subs, held = [], [max(1, -(-sizes.get(-1, 0) // most))], 0
+    open_ = True  # whether the range at the end may be gone on with
+    subs.append(1)
+    held = sizes.get(0, 0)
+    for k, e in enumerate(edges):
+        size, alone = sizes.get(k + 1, 0), bool(np.isin(e, hot)) and sizes.get(k + 1, 0) > most
+        if alone or not open_ or held >= most:
+            bounds.append(e)
+            subs.append(max(1, -(-size // most)) if alone else 1)
+            held, open_ = 0, not alone
+        held += size
+    subs = np.array(subs, np.int64)
+    return np.array(bounds, np.int64), np.cumsum(subs) - subs, subs
 
 
 def _ranged(edges: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = len(edges) + 2
         for b in batches:
             size = b.column(1).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
-            r = np.searchsorted(edges, b.column(0).to_numpy(zero_copy_only=False), "right")
-            n = len(edges) + 1
-            got = np.bincount(r, size, n).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(n)), pa.array(got)], ["r", "b"])
+            known = b.column(0).is_valid().to_numpy(zero_copy_only=False)
+            r = np.where(known, np.searchsorted(edges, b.column(0).fill_null(0).to_numpy(zero_copy_only=False), "right"), -1)
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(n) - 1), pa.array(np.bincount(r + 1, size, n).astype(np.int64))], ["r", "b"])
 
     return run
 
@@ -226,24 +318,35 @@ def _ranged(edges: np.ndarray):
 def write(docs: DataFrame, path: str, tokenizer: str, end_id: int | None = 2, id_col: str = "doc_id", text_col: str = "text") -> None:
     """Encodes every whole text and writes the dataset to `path`.
 
-    tokenizer: path of a tokenizers file that every executor has. Documents come
-    in ascending id order, null ids first; rows of the same id by their ids'
-    bytes. A null or empty text has the end id only. The one shuffle carries
-    packed ids, dealt into ranges of about PART_BYTES of text.
+    tokenizer: path of a tokenizers file that every executor has. Document ids
+    are integers. Documents come in ascending id order, null ids first; rows of
+    the same id by their part of the text's hash, if they are too many for one
+    task, and then by their number of ids and these. A null or empty text has the
+    end id only. A text is whole in memory; rows that repeat each have a place.
+    The one shuffle carries packed ids, dealt into parts of about PART_BYTES of text.
     """
     prepare(docs.sparkSession)
-    bounds = _bounds(docs, id_col, text_col)
+    bounds, firsts, subs = _bounds(docs, id_col, text_col)
     own = _encoder(tokenizer)
     bits = width(max(own.vocabulary, (end_id or 0) + 1))
     end = b"" if end_id is None else np.uint32(end_id).tobytes()
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = _encoder(tokenizer)
-        for part, _ in B.slices(batches, "text", 1 << 20):
-            got = [np.frombuffer(x + end, np.uint32) for x in model.ids([x or "" for x in part.column(1).to_pylist()])]
-            ids = part.column(0)
-            to = np.where(ids.is_valid().to_numpy(zero_copy_only=False), np.searchsorted(bounds, ids.fill_null(0).to_numpy(), "right"), 0)
-            yield pa.RecordBatch.from_arrays([pa.array(to.astype(np.int32)), ids, pa.array([len(x) for x in got], pa.int64()), pa.array([pack(x, bits) for x in got], pa.binary())], ["part", "doc_id", "n", "ids"])
+        for part, t in B.slices(batches, "text", SLICE_BYTES):
+            ids, off = model.ids(t)
+            if end_id is not None:
+                ids, off = np.insert(ids, off[1:], np.uint32(end_id)), off + np.arange(len(off))
+            key = part.column(0)
+            r = np.where(key.is_valid().to_numpy(zero_copy_only=False), np.searchsorted(bounds, key.fill_null(0).to_numpy(zero_copy_only=False), "right") + 1, 0)
+            # The upper half of the hash as a share of the range's parts.
+            to = firsts[r] + ((part.column(2).to_numpy().view(np.uint64) >> np.uint64(32)).astype(np.int64) * subs[r] >> 32)
+            if bits in (8, 16, 32):
+                size = bits // 8
+                data = pa.Array.from_buffers(pa.large_binary(), part.num_rows, [None, pa.py_buffer((off * size).astype(np.int64)), pa.py_buffer(pack(ids, bits))]).cast(pa.binary())
+            else:
+                data = pa.array([pack(ids[a:z], bits) for a, z in zip(off[:-1], off[1:], strict=True)], pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(to.astype(np.int32)), key, pa.array(np.diff(off)), data], ["part", "doc_id", "n", "ids"])
 
     def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, shard, first, held, docs_, keys = None, 0, 0, 0, [], []
@@ -269,9 +372,9 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int | None = 2, id
         yield from close()
 
     (
-        docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+        docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("hash"))
         .mapInArrow(encode, "part int, doc_id long, n long, ids binary")
-        .repartitionById(len(bounds) + 1, "part")
+        .repartitionById(int(subs.sum()), "part")
         .sortWithinPartitions(F.col("part"), F.col("doc_id").asc_nulls_first(), "n", "ids")
         .mapInArrow(shards, "part int, shard long, first long, n_ids long, doc_ids array<long>, data binary")
         .write.mode("overwrite")

@@ -3,8 +3,10 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
+from ordix.llm import _bytes as B
 from ordix.llm import packed_ids, packing, queries, token_counts
 
 tokenizers = pytest.importorskip("public_tokenizers")
@@ -22,10 +24,18 @@ def test_split_counts_equal_the_librarys():
     assert own.safe and own.count(texts) == own.encode(texts)
 
 
-def test_split_ids_equal_the_librarys():
-    own = packed_ids._encoder(BYTES)
-    texts = _noise("ab é\n\t <1\xa0\x1c　.'s") + ["a <|endoftext|>  <|endoftext|>b", "", " ", "a \n b  c"]
-    assert own.ids(texts) == own.encode(texts)
+def test_split_ids_equal_the_librarys(monkeypatch):
+    monkeypatch.setattr(packed_ids, "REMEMBERED", 300)
+    own = packed_ids._Encoder(BYTES)
+    pieces = ["a", "Word", " ", "  ", "\n", "\t", ".", ",", "it's", "x.", "é.", "×.", "÷,", "ß,", "\u3000", "\xa0", "\x85", "\x1c", "12.", "…", "“q”", "漢字", "\U0001f600", "ȿ.", "ɀ.", "''", "\r\n", "\u2009", "ª.", "w" * 90]
+    rng = random.Random(4)
+    texts = _noise("ab é\n\t <1\xa0\x1c\u3000.'s,") + ["".join(rng.choice(pieces) for _ in range(rng.randrange(0, 14))) for _ in range(4000)] + ["a <|endoftext|>  <|endoftext|>b", "", " ", "a \n b  c"]
+    for at in range(0, len(texts), 700):
+        part = texts[at : at + 700]
+        ids, off = own.ids(B.texts_of(pa.array(part)))
+        for t, a, z in zip(part, off[:-1], off[1:], strict=True):
+            assert ids[a:z].tolist() == own.model.encode(t, add_special_tokens=False).ids, t
+    assert len(own.name) <= 300
 
 
 @pytest.mark.parametrize("bits", [1, 3, 8, 9, 15, 16, 17, 20, 32])
@@ -66,6 +76,21 @@ def test_dataset_messy(spark, messy, empty, tmp_path):
     assert _written(spark, empty, tmp_path / "e") == []
 
 
+def test_hot_ids_have_parts(spark, tmp_path, monkeypatch):
+    """Very many rows of one id, and of none, are dealt into parts; ids still ascend and every row has its place."""
+    monkeypatch.setattr(packed_ids, "PART_BYTES", 2_000)
+    rows = [(7 if i % 3 else (None if i % 2 else i), f"text {i} " * 5) for i in range(900)] + [(7, "same")] * 30
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    bounds, firsts, subs = packed_ids._bounds(df, "doc_id", "text")
+    assert subs[0] > 3 and subs.max() > 8 and 7 in bounds and 8 in bounds
+    got = sorted(_written(spark, df, tmp_path), key=lambda r: r.start)
+    assert sorted(str(r.doc_id) for r in got) == sorted(str(i) for i, _ in rows)
+    assert all(a.start + a.n_tokens == b.start for a, b in itertools.pairwise(got)) and got[0].start == 0
+    known = [r.doc_id for r in got if r.doc_id is not None]
+    assert known == sorted(known) and all(r.doc_id is None for r in got[: len(got) - len(known)])
+    assert spark.read.parquet(str(tmp_path / "ids")).groupBy("part").agg({"n_ids": "sum"}).where("`sum(n_ids)` > 3000").count() == 0
+
+
 def test_counts_messy(messy, empty):
     rows = token_counts.counts(messy, PIECES).collect()
     assert len(rows) == 9 and {r.n_tokens for r in rows if r.doc_id in (1, 2)} == {0}
@@ -96,6 +121,39 @@ def test_boundaries_are_optimal():
         assert len(ends) <= k and _padding(lengths, counts, ends) == best
 
 
+def test_query_packs_the_whole_table(spark, sf_dir, texts):
+    """The registered query: counts by the library, the least padding in all, every document in one place."""
+    own = token_counts._lengths(PIECES)
+    want = dict(zip(texts, own.encode(list(texts.values())), strict=True))
+    out = queries.QUERIES["op8_packing"](spark, sf_dir).collect()
+    assert {r.doc_id: r.n_tokens for r in out} == want and len(out) == len(want)
+    lengths, counts = np.unique(list(want.values()), return_counts=True)
+    ends = packing.boundaries(lengths, counts, packing.BUCKETS)
+    assert {r.bucket_len for r in out} == set(ends.tolist())
+    assert sum(r.padding for r in out) == _padding(lengths, counts, ends.tolist())
+    # Against the plain program over all pairs of cuts.
+    best = np.full((packing.BUCKETS + 1, len(lengths) + 1), 1 << 60)
+    best[0, 0] = 0
+    many, total = np.concatenate(([0], np.cumsum(counts))), np.concatenate(([0], np.cumsum(lengths * counts)))
+    for k in range(1, packing.BUCKETS + 1):
+        for j in range(1, len(lengths) + 1):
+            best[k, j] = (best[k - 1, :j] + lengths[j - 1] * (many[j] - many[:j]) - (total[j] - total[:j])).min()
+    assert sum(r.padding for r in out) == best[1:, -1].min()
+    places = {(r.bucket, r.slab, r.batch, r.place) for r in out}
+    assert len(places) == len(out)
+
+
+def test_rows_that_repeat_share_slabs(spark, monkeypatch):
+    monkeypatch.setattr(packing, "SLAB_ROWS", 50)
+    rows = [(7, 10)] * 600 + [(None, 10)] * 300
+    out = packing.pack(spark.createDataFrame(rows, "doc_id long, n_tokens long").repartition(3), budget=100).collect()
+    assert len(out) == 900 and len({(r.slab, r.batch, r.place) for r in out}) == 900
+    slabs = {}
+    for r in out:
+        slabs[r.slab] = slabs.get(r.slab, 0) + 1
+    assert len(slabs) == 18 and max(slabs.values()) < 120
+
+
 def test_batches(spark, monkeypatch):
     monkeypatch.setattr(packing, "SLAB_ROWS", 50)
     rng = random.Random(2)
