@@ -100,6 +100,21 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = SLICE_BYT
     trim()
 
 
+def chunks(batches: Iterator[pa.RecordBatch], column: str, most: int) -> Iterator[tuple[pa.RecordBatch, Texts]]:
+    """Joins rows across batches to runs of about `most` bytes of text; one longer text makes a run of its own."""
+    held, size = [], 0
+    for part, t in slices(batches, column, most):
+        if held and size + len(t.data) > most:
+            whole = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            yield whole, texts_of(whole.column(whole.schema.get_field_index(column)))
+            held, size = [], 0
+        held.append(part)
+        size += len(t.data)
+    if held:
+        whole = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+        yield whole, texts_of(whole.column(whole.schema.get_field_index(column)))
+
+
 def runs(mask: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts and ends of maximal true runs that don't cross texts, and the runs' offsets by text."""
     if not len(mask):
@@ -170,12 +185,27 @@ def ranges(start: np.ndarray, count: np.ndarray) -> np.ndarray:
     return np.arange(ends[-1]) - np.repeat(ends - count, count) + np.repeat(start, count)
 
 
+#: Bytes of text whose shingles are made at once; the working memory is some 100 times as large.
+SHINGLE_BYTES = 512 << 10
+
+
 def shingles(t: Texts, k: int, kind: np.ndarray = SPACED) -> tuple[np.ndarray, np.ndarray]:
     """Sorted distinct k-word shingles of each text and their offsets.
 
     With fewer words the whole sequence is the one shingle; without words the
     set is empty.
     """
+    keys, sizes, at = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], 0
+    while at < t.n:
+        to = max(at + 1, int(np.searchsorted(t.off, t.off[at] + SHINGLE_BYTES, "right")) - 1)
+        key, off = _shingles(Texts(t.data[t.off[at] : t.off[to]], t.off[at : to + 1] - t.off[at]), k, kind)
+        keys.append(key)
+        sizes.append(np.diff(off))
+        at = to
+    return np.concatenate(keys), np.concatenate(([0], np.cumsum(np.concatenate(sizes))))
+
+
+def _shingles(t: Texts, k: int, kind: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     ws, we, woff = words(t, kind)
     h = span_hash(t.prefix(), ws, we)
     n = np.diff(woff)

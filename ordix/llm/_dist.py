@@ -44,23 +44,40 @@ def prepare(spark: SparkSession) -> None:
         spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """A column name made of `name` that df doesn't have."""
+    held = {c.lower() for c in df.columns}
+    while name.lower() in held:
+        name = f"_{name}"
+    return name
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share; one of our own only where none is set."""
+    """The folder that all executors share; one of our own only where none is set and driver and executors are one process."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="ordix-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
 class Kept:
-    """A table written to the shared folder: it cuts lineage and survives lost executors."""
+    """A table written to the shared folder: it cuts lineage and survives lost executors.
+
+    Tables that back a returned DataFrame stay until clear(), as only the caller
+    knows when it has been read.
+    """
+
+    held: dict[str, Kept] = {}
 
     def __init__(self, df: DataFrame):
         self.spark = df.sparkSession
         self.path = f"{shared_dir(self.spark)}/ordix-{uuid.uuid4().hex}"
         self.schema = df.schema
         df.write.parquet(self.path)
+        Kept.held[self.path] = self
 
     @property
     def df(self) -> DataFrame:
@@ -70,6 +87,13 @@ class Kept:
         jvm = self.spark.sparkContext._jvm
         path = jvm.org.apache.hadoop.fs.Path(self.path)
         path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        Kept.held.pop(self.path, None)
+
+
+def clear() -> None:
+    """Drops every table that is still kept: DataFrames that the operators returned can't be read any more."""
+    for x in list(Kept.held.values()):
+        x.drop()
 
 
 def release(spark: SparkSession) -> None:
@@ -78,6 +102,17 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+def sized(total: int, least: int, most: int) -> int:
+    """Keys of a chunk that a task sends, or of a bucket that one judges, of an exchange of `total` keys.
+
+    A chunk sends each bucket one row of its keys. With both sizes in proportion
+    to the root of the total, the number of rows grows like that of keys, not
+    like its square; beyond `most` rows hold fewer keys, and never are there more
+    rows than keys.
+    """
+    return min(max(least, 32 * math.isqrt(max(0, int(total)))), most)
+
+
 def summed(vectors: DataFrame, length: int, op: np.ufunc = np.add) -> np.ndarray:
     """Adds (or joins by op, to which 0 is neutral) int64 vectors (one binary column `v` of `length` numbers) in two levels.
 

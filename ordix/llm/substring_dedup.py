@@ -14,22 +14,22 @@ Whole strings are equal when a second, independent fingerprint agrees as well.
    suffixes in the exchange, sorted in tasks of about BUCKET_KEYS.
 
 Texts take part once however often they are copied. Chunks of texts send each
-rank once, with a mark if they hold it twice, and get back one bit a rank.
+rank once, with a mark if they hold it twice, and get back one bit a rank. Chunks
+and buckets grow with the root of the corpus (see sized).
 """
 
 from __future__ import annotations
 
-import gc
 import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _bytes as B
-from ._dist import Kept, prepare, summed
+from ._dist import Kept, prepare, release, sized, summed
 from .candidates import FILTER_WORDS, binary, codes, names
 
 #: Bytes of a string that may not come twice.
@@ -38,9 +38,9 @@ LENGTH = 200
 PERIOD = 91
 COVER = (0, 1, 3, 9, 27, 49, 56, 61, 77, 81)
 ROUNDS = 4
-BUCKET_KEYS = 1_000_000
-#: Bytes of text in a chunk.
-CHUNK_BYTES = 2 << 20
+#: Keys of a bucket, about, and bytes of text in a chunk, at least and at most.
+BUCKET_KEYS = 1_000_000, 16_000_000
+CHUNK_BYTES = 2 << 20, 8 << 20
 
 _EMPTY = hashlib.sha256(b"").hexdigest()
 _SAMPLED = np.isin(np.arange(PERIOD), COVER)
@@ -48,12 +48,6 @@ _SAMPLED = np.isin(np.arange(PERIOD), COVER)
 _T2 = np.random.Generator(np.random.PCG64(91)).integers(0, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-def _release(spark: SparkSession) -> None:
-    """Lets Spark clean the shuffles of what is written already; it does so when the driver collects garbage."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def _names(t: B.Texts) -> np.ndarray:
     """First 128 bits of each text's SHA-256."""
     data = t.data.tobytes()
@@ -120,9 +114,9 @@ def _samples(t: B.Texts) -> np.ndarray:
 _SENT = "bucket long, chunk binary, keys binary, twice binary, places binary, names binary, off binary"
 
 
-def _send_samples(buckets: int):
+def _send_samples(buckets: int, chunk_bytes: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, t in B.slices(batches, "text", CHUNK_BYTES):
+        for _, t in B.chunks(batches, "text", chunk_bytes):
             pos = _samples(t)
             if not len(pos):
                 continue
@@ -210,9 +204,9 @@ def _suffixes(t: B.Texts, samples: np.ndarray) -> np.ndarray:
     return at[open_[at]]
 
 
-def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _pack(batches: Iterator[pa.RecordBatch], chunk_bytes: int = CHUNK_BYTES[0]) -> Iterator[pa.RecordBatch]:
     """Texts with their repeated samples, packed into chunks."""
-    for part, t in B.slices(batches, "text", CHUNK_BYTES):
+    for part, t in B.chunks(batches, "text", chunk_bytes):
         own = [np.frombuffer(x, np.int32).astype(np.int64) for x in part.column(2).to_pylist()]
         samples = np.concatenate([x + o for x, o in zip(own, t.off, strict=False)])
         name = b"".join(part.column(0).to_pylist())
@@ -295,7 +289,8 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     the same document or another; spans lists the starts and ends of maximal
     removed runs, in bytes. Repeated rows are documents: each makes the other
     go. A null or empty text has no bytes; shorter texts lose none. Other
-    columns aren't read.
+    columns aren't read. A text is whole in a chunk, with some 60 bytes of memory
+    for each of its own; texts are told by 128 bits of their SHA-256.
     """
     spark = docs.sparkSession
     prepare(spark)
@@ -304,17 +299,18 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     own = Kept(docs.select(F.col(id_col).alias("doc_id"), F.octet_length(text).cast("long").alias("n_bytes"), F.unhex(sha).alias("sha")).select("doc_id", "n_bytes", F.substring("sha", 1, 16).alias("name"), "sha"))
     texts = docs.select(text.alias("text"))
     total = own.df.agg(F.sum("n_bytes")).first()[0] or 0
-    buckets = max(1, -(-int(total * len(COVER) / PERIOD) // BUCKET_KEYS))
+    samples, chunk_bytes = int(total * len(COVER) / PERIOD), sized(4 * int(total), *CHUNK_BYTES)
+    buckets = max(1, -(-samples // sized(samples, *BUCKET_KEYS)))
 
-    sampled = texts.mapInArrow(_send_samples(buckets), _SENT).groupBy("bucket").applyInArrow(_judge_samples, "chunk binary, pos binary, names binary, off binary")
+    sampled = texts.mapInArrow(_send_samples(buckets, chunk_bytes), _SENT).groupBy("bucket").applyInArrow(_judge_samples, "chunk binary, pos binary, names binary, off binary")
     found = Kept(sampled.groupBy("chunk").applyInArrow(_by_text, "name binary, samples binary").dropDuplicates(["name"]))
-    _release(spark)
+    release(spark)
 
     bits = spark.sparkContext.broadcast(_filter(found.df.select("name")))
 
     def held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ok = bits.value
-        for part, t in B.slices(batches, "text", CHUNK_BYTES):
+        for part, t in B.slices(batches, "text", CHUNK_BYTES[0]):
             name = _names(t)
             first, _ = codes(name)
             go = np.ones(len(first), bool)
@@ -325,17 +321,17 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
                 yield pa.RecordBatch.from_arrays([binary(name[first[go]]), part.column(0).take(pa.array(first[go]))], ["name", "text"])
 
     joined = texts.mapInArrow(held, "name binary, text string").join(found.df, "name").dropDuplicates(["name"])
-    chunks = Kept(joined.select("name", "text", "samples").mapInArrow(_pack, _CHUNK))
+    chunks = Kept(joined.select("name", "text", "samples").mapInArrow(lambda batches: _pack(batches, chunk_bytes), _CHUNK))
     found.drop()
-    _release(spark)
+    release(spark)
 
     windows = chunks.df.agg(F.sum("windows")).first()[0] or 0
-    per_round = max(1, -(-int(windows) // (ROUNDS * BUCKET_KEYS)))
+    per_round = max(1, -(-int(windows) // (ROUNDS * sized(windows, *BUCKET_KEYS))))
     hits = []
     for r in range(ROUNDS):
         ranked = chunks.df.mapInArrow(_send_ranks(r, per_round), _RANKS).groupBy("bucket").applyInArrow(_judge_ranks, "chunk long, bucket long, hit binary")
         hits.append(Kept(ranked))
-        _release(spark)
+        release(spark)
     all_ = hits[0].df
     for h in hits[1:]:
         all_ = all_.union(h.df)
@@ -343,12 +339,14 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     result = Kept(chunks.df.join(by_chunk, "chunk", "left").mapInArrow(_spans(per_round), _RESULT))
     for x in (chunks, *hits):
         x.drop()
-    _release(spark)
+    release(spark)
 
+    # Written, so that both sides of the join by name are plain exchanges and Spark can split a text's many copies.
     many = own.df.groupBy("name").agg(F.count("*").alias("copies"))
-    facts = many.join(result.df, "name", "left").where("copies > 1 OR n_removed > 0")
+    facts = Kept(many.join(result.df, "name", "left").where("copies > 1 OR n_removed > 0"))
+    result.drop()
     whole = (F.col("copies") > 1) & (F.col("n_bytes") >= LENGTH)
-    return own.df.join(facts, "name", "left").select(
+    return own.df.join(facts.df, "name", "left").select(
         "doc_id",
         "n_bytes",
         F.when(whole, F.col("n_bytes")).otherwise(F.coalesce("n_removed", F.lit(0))).cast("long").alias("n_removed"),
