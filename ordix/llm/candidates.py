@@ -6,30 +6,38 @@ stars, never by pairs. A task first joins the items that share a key among its
 own, so that a key however frequent leaves each task as one row per run of sizes.
 Only then are the sets of clusters of two or more items gathered, and linked by
 signature trees inside bounded groups.
+
+A cluster of more than TILE_TOKENS is dealt in slices that hold each set once,
+and its hubs, a few sets, in every slice. Most sets of a family link with a hub,
+so after that one component holds nearly all; only the sets outside the largest
+component meet the other slices.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import _bytes as B
-from ._dist import Kept, prepare, release, summed
+from ._dist import Kept, prepare, release, sized, summed
 from .components import components, local
-from .signature_tree import link
+from .signature_tree import SMALL, link, link_groups
 
-#: Rows of keys that a task gathers before it joins and sends them.
-CHUNK = 300_000
-#: Rows of keys in a bucket of the exchange, about.
-BUCKET_ROWS = 400_000
-#: Tokens of a cluster that one task links; larger clusters are dealt in tiles of half as many.
+#: Rows of keys that a task gathers before it joins and sends them, at least and at most.
+CHUNK = 300_000, 8_000_000
+#: Rows of keys in a bucket of the exchange, about, at least and at most.
+BUCKET_ROWS = 400_000, 8_000_000
+#: Tokens of a cluster that one task links; larger clusters are dealt in slices of half as many.
 TILE_TOKENS = 1_500_000
+#: Sets of a larger cluster that are in all its slices.
+HUBS = 8
+#: Bytes of the texts of small groups that are linked together.
+BATCH_BYTES = 400_000
 #: Bytes of a cluster's texts that are made sets at once.
 EXPAND_BYTES = 256 << 10
 #: Tokens that a partition of clusters holds, about.
@@ -40,13 +48,18 @@ FILTER_WORDS = 1 << 17
 
 @dataclass
 class Items:
-    """Items of a slice; keys of item `of`, or a way to the texts of chosen items."""
+    """Items of a slice, and the keys of item `of`."""
 
     name: np.ndarray  # (n, 2) uint64
     size: np.ndarray
-    key: np.ndarray | None = None
-    of: np.ndarray | None = None
-    texts: Callable[[np.ndarray], list[bytes]] | None = None
+    key: np.ndarray
+    of: np.ndarray
+
+
+Batches = Iterator[pa.RecordBatch]
+#: What a task makes of its rows: items with keys, or names and a way to the texts of chosen ones.
+Emit = Callable[[Batches], Iterator[Items]]
+Texts = Callable[[Batches], Iterator[tuple[np.ndarray, Callable[[np.ndarray], list[bytes]]]]]
 
 
 def codes(name: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -118,13 +131,13 @@ def _rows(held: list[Items], buckets: int, percent: int) -> Iterator[tuple]:
             yield (k, key[a:z].astype(np.uint32).tobytes(), node[own].tobytes(), lo[a:z].astype(np.uint32).tobytes(), hi[a:z].astype(np.uint32).tobytes(), node[c].tobytes(), node[p[c]].tobytes())
 
 
-def clusters(docs: DataFrame, emit: Callable[[pa.RecordBatch, B.Texts], Items], rows: int, percent: int, slice_bytes: int = B.SLICE_BYTES) -> DataFrame:
+def clusters(source: DataFrame, emit: Emit, rows: int, percent: int) -> DataFrame:
     """node, root (short names) for every item that shares a key with another one of a size that may link.
 
-    docs: one column is `text`. rows: about how many keys there are.
+    rows: about how many keys there are.
     """
-    prepare(docs.sparkSession)
-    buckets = max(1, -(-rows // BUCKET_ROWS))
+    prepare(source.sparkSession)
+    buckets, chunk = max(1, -(-rows // sized(rows, *BUCKET_ROWS))), sized(rows, *CHUNK)
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n = [], 0
@@ -135,12 +148,11 @@ def clusters(docs: DataFrame, emit: Callable[[pa.RecordBatch, B.Texts], Items],
                 cols = list(zip(*out, strict=True))
                 yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), *(pa.array(c, pa.binary()) for c in cols[1:])], [x.split()[0] for x in _EXCHANGE.split(", ")])
 
-        for part, t in B.slices(batches, "text", slice_bytes):
-            x = emit(part, t)
+        for x in emit(batches):
             if len(x.key):
                 held.append(x)
                 n += len(x.key)
-            if n >= CHUNK:
+            if n >= chunk:
                 yield from flush()
                 held, n = [], 0
         yield from flush()
@@ -156,7 +168,7 @@ def clusters(docs: DataFrame, emit: Callable[[pa.RecordBatch, B.Texts], Items],
         child = np.flatnonzero(p != np.arange(len(p)))
         return pa.table({"a": name[child], "b": name[p[child]]})
 
-    edges = docs.mapInArrow(send, _EXCHANGE).groupBy("bucket").applyInArrow(join, "a long, b long")
+    edges = source.mapInArrow(send, _EXCHANGE).groupBy("bucket").applyInArrow(join, "a long, b long")
     return components(edges)
 
 
@@ -178,61 +190,98 @@ def _filter(nodes: DataFrame) -> np.ndarray:
     return summed(nodes.mapInArrow(fill, "v binary"), FILTER_WORDS, np.bitwise_or).view(np.uint64)
 
 
-def links(docs: DataFrame, emit: Callable[[pa.RecordBatch, B.Texts], Items], expand: Callable[[B.Texts], tuple[np.ndarray, np.ndarray]], found: DataFrame, sizes: DataFrame, percent: int, slice_bytes: int = B.SLICE_BYTES, banded: bool = True) -> DataFrame:
+def links(source: DataFrame, texts: Texts, expand: Callable[[B.Texts], tuple[np.ndarray, np.ndarray]], found: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
     """node, root by verified links 100 * common >= percent * union among the items of each cluster.
 
     found: node, root of clusters(). sizes: node, short and size of each distinct
-    item. emit gives items with texts, which are smaller than their sets and
-    travel in their place; expand makes the sets of texts. banded: sizes are
-    those of the sets, so tiles of sizes too far apart needn't meet. Items
-    without a link are left out.
+    item. texts gives the texts of items, which are smaller than their sets and
+    travel in their place; expand makes the sets of texts. Items without a link
+    are left out.
     """
-    spark = docs.sparkSession
-    found = Kept(found.withColumnRenamed("node", "short").join(sizes, "short").drop("short"))
+    spark = source.sparkSession
+    kept = Kept(found.withColumnRenamed("node", "short").join(sizes, "short").drop("short"))
     release(spark)
-    weight = found.df.groupBy("root").agg(F.sum("size").alias("weight"))
-    weighed = Kept(found.df.join(weight, "root"))
-    total = weighed.df.agg(F.sum("size")).first()[0] or 0
+    # Written, as the other tables that are joined by a key of very many rows: Spark splits such a key between plain exchanges only.
+    weight = Kept(kept.df.groupBy("root").agg(F.sum("size").alias("weight"), F.array(*(F.min_by("node", F.xxhash64("node", F.lit(i))) for i in range(HUBS))).alias("hubs")))
+    tiles = F.when(F.col("weight") <= TILE_TOKENS, 0).otherwise(F.ceil(F.col("weight") / (TILE_TOKENS / 2))).cast("int")
+    weighed = Kept(kept.df.join(weight.df.withColumn("tiles", tiles), "root").select("root", "node", "size", "tiles", F.when(F.col("tiles") > 0, F.array_contains("hubs", F.col("node"))).otherwise(False).alias("hub")))
+    kept.drop()
+    weight.drop()
+    total, large = weighed.df.agg(F.sum("size"), F.max("tiles")).first()
+    if not total:
+        return components(_edges(weighed.df.limit(0).select("root", F.lit("").alias("group"), F.lit(0).alias("side"), "node", F.lit(b"").alias("item")), expand, percent, 0))
     bits = spark.sparkContext.broadcast(_filter(weighed.df.select("node")))
 
-    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def send(batches: Batches) -> Batches:
         own = bits.value
-        for part, t in B.slices(batches, "text", slice_bytes):
-            x = emit(part, t)
-            first, _ = codes(x.name)
+        for name, take in texts(batches):
+            first, _ = codes(name)
             held = np.ones(len(first), bool)
-            for p in _probes(x.name[first]):
+            for p in _probes(name[first]):
                 held &= (own[(p >> np.uint64(6)).astype(np.int64)] >> (p & np.uint64(63))) & np.uint64(1) == 1
             first = first[held]
             if len(first):
-                yield pa.RecordBatch.from_arrays([binary(x.name[first]), pa.array(x.texts(first), pa.binary())], ["node", "item"])
-
-    sets = docs.mapInArrow(send, "node binary, item binary").join(weighed.df, "node").dropDuplicates(["node"])
-    tiles = F.when(F.col("weight") <= TILE_TOKENS, 0).otherwise(F.ceil(F.col("weight") / (TILE_TOKENS / 2)).cast("int"))
-    band = F.floor(F.log(F.greatest("size", F.lit(1))) / math.log(100 / percent)).cast("int") if banded else F.lit(0)
-    own = F.struct(F.col("band").alias("band"), F.col("tile").alias("tile"))
-    # A tile meets the tiles of its own band of sizes and of the next ones; further sizes can't link.
-    groups = F.flatten(F.transform(F.array(*(F.lit(d) for d in ((-1, 0, 1) if banded else (0,)))), lambda d: F.transform(F.sequence(F.lit(0), F.col("tiles") - 1), lambda k: F.struct((F.col("band") + d).alias("band"), k.cast("int").alias("tile")))))
-    one = F.array(F.struct(F.lit("").alias("group"), F.lit(0).alias("side")))
-    named = F.transform(groups, lambda g: F.struct(F.concat_ws(":", F.least(g, own).cast("string"), F.greatest(g, own).cast("string")).alias("group"), (g < own).cast("int").alias("side")))
-    dealt = (
-        sets.withColumn("tiles", tiles)
-        .withColumn("band", band)
-        .withColumn("tile", F.when(F.col("tiles") > 0, F.pmod(F.xxhash64("node"), F.greatest("tiles", F.lit(1)))).otherwise(0).cast("int"))
-        .select("root", "node", "item", F.explode(F.when(F.col("tiles") > 0, named).otherwise(one)).alias("g"))
-        .select("root", F.col("g.group").alias("group"), F.col("g.side").alias("side"), "node", "item")
-    )
-
-    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.Table] = []
-
-        def close() -> Iterator[pa.RecordBatch]:
-            t = pa.concat_tables(held)
-            if t.num_rows < 2:
-                return
+                yield pa.RecordBatch.from_arrays([binary(name[first]), pa.array(take(first), pa.binary())], ["node", "item"])
+
+    def gathered(which: DataFrame) -> DataFrame:
+        return source.mapInArrow(send, "node binary, item binary").join(which, "node").dropDuplicates(["node"])
+
+    def group(*parts: Column) -> Column:
+        return F.concat_ws(":", *(p.cast("string") for p in parts))
+
+    tile = F.pmod(F.xxhash64("node"), F.greatest("tiles", F.lit(1))).cast("int")
+    own = F.when(F.col("hub"), F.sequence(F.lit(0), F.greatest(F.col("tiles") - 1, F.lit(0)))).otherwise(F.array(tile))
+    dealt = gathered(weighed.df).select("root", F.explode(own).alias("k"), "node", "item").select("root", F.col("k").cast("string").alias("group"), F.lit(0).alias("side"), "node", "item")
+    edges = Kept(_edges(dealt, expand, percent, total))
+    release(spark)
+    out = components(edges.df)
+    if large:
+        # Sets of large clusters outside the largest component so far meet all its other sets.
+        joined = Kept(out)
+        label = weighed.df.where("tiles > 0").join(joined.df.select("node", F.col("root").alias("label")), "node", "left").withColumn("label", F.coalesce("label", "node"))
+        held = label.groupBy("root", "label").agg(F.sum("size").alias("w"))
+        top = Kept(held.groupBy("root").agg(F.max_by("label", F.struct("w", "label")).alias("top"), (F.sum("w") - F.max("w")).alias("rest")).where("rest > 0"))
+        rests = F.ceil(F.col("rest") / (TILE_TOKENS / 2)).cast("int")
+        open_ = Kept(label.join(top.df.withColumn("rests", rests), "root").select("root", "node", "size", "tiles", "rests", (F.col("label") != F.col("top")).alias("out")))
+        r = F.pmod(F.xxhash64("node"), F.greatest("rests", F.lit(1))).cast("int")
+        every, rest = (F.sequence(F.lit(0), F.col(c) - 1) for c in ("tiles", "rests"))
+        meets = F.when(~F.col("out"), F.transform(rest, lambda j: F.struct(group(tile, j).alias("group"), F.lit(0).alias("side")))).otherwise(
+            F.concat(
+                F.transform(every, lambda k: F.struct(group(k, r).alias("group"), F.lit(1).alias("side"))),
+                F.transform(rest, lambda j: F.struct(group(F.lit("r"), F.least(j, r), F.greatest(j, r)).alias("group"), (r > j).cast("int").alias("side"))),
+            )
+        )
+        dealt = gathered(open_.df).select("root", F.explode(meets).alias("g"), "node", "item").select("root", F.col("g.group").alias("group"), F.col("g.side").alias("side"), "node", "item")
+        more = open_.df.agg(F.sum(F.col("size") * F.when(F.col("out"), F.col("tiles") + F.col("rests")).otherwise(F.col("rests")))).first()[0] or 0
+        if more:
+            edges2 = Kept(joined.df.select(F.col("node").alias("a"), F.col("root").alias("b")).union(_edges(dealt, expand, percent, more)))
+            out = components(edges2.df)
+            edges2.drop()
+        open_.drop()
+        top.drop()
+        if more:
+            joined.drop()
+    edges.drop()
+    weighed.drop()
+    release(spark)
+    return out
+
+
+def _edges(dealt: DataFrame, expand: Callable[[B.Texts], tuple[np.ndarray, np.ndarray]], percent: int, tokens: int) -> DataFrame:
+    """Links (a, b) inside each (root, group) of root, group, side, node, item; about so many tokens in all."""
+
+    def join(batches: Batches) -> Batches:
+        held: list[pa.Table] = []  # the open group
+        few: list[pa.Table] = []  # closed small groups, linked together
+        size = 0
+
+        def linked(tables: list[pa.Table]) -> Batches:
+            t = pa.concat_tables(tables)
             sets = [expand(x) for _, x in B.slices(t.select([4]).cast(pa.schema([("item", pa.large_string())])).combine_chunks().to_batches(), "item", EXPAND_BYTES)]
             off = np.concatenate(([0], np.cumsum(np.concatenate([np.diff(o) for _, o in sets]))))
-            p = link(np.concatenate([k for k, _ in sets]), off, percent, t.column(2).to_numpy())
+            tokens = np.concatenate([k for k, _ in sets])
+            side = t.column(2).to_numpy()
+            p = link_groups(tokens, off, percent, B.ids(np.array([x.num_rows for x in tables])), side) if t.num_rows <= len(tables) * SMALL else link(tokens, off, percent, side)
             child = np.flatnonzero(p != np.arange(len(p)))
             node = t.column(3).combine_chunks()
             if t.num_rows > 1000:
@@ -240,6 +289,19 @@ def links(docs: DataFrame, emit: Callable[[pa.RecordBatch, B.Texts], Items], exp
             if len(child):
                 yield pa.RecordBatch.from_arrays([node.take(pa.array(child)), node.take(pa.array(p[child]))], ["a", "b"])
 
+        def close() -> Batches:
+            nonlocal held, few, size
+            n = sum(x.num_rows for x in held)
+            if n > SMALL:
+                yield from linked([pa.concat_tables(held)])
+            elif n > 1:
+                few.append(pa.concat_tables(held))
+                size += few[-1].column(4).nbytes
+                if size >= BATCH_BYTES:
+                    yield from linked(few)
+                    few, size = [], 0
+            held = []
+
         last = None
         for b in batches:
             keys = list(zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True))
@@ -250,16 +312,13 @@ def links(docs: DataFrame, emit: Callable[[pa.RecordBatch, B.Texts], Items], exp
                         held.append(pa.Table.from_batches([b.slice(at, i - at)]))
                     if held:
                         yield from close()
-                    held, at, last = [], i, k
+                    at, last = i, k
             held.append(pa.Table.from_batches([b.slice(at)]))
         if held:
             yield from close()
+        if few:
+            yield from linked(few)
         B.trim()
 
-    parts = max(spark.sparkContext.defaultParallelism, -(-int(total) // PART_TOKENS))
-    edges = dealt.repartition(parts, "root", "group").sortWithinPartitions("root", "group", "node").mapInArrow(join, "a binary, b binary")
-    out = components(edges)
-    found.drop()
-    weighed.drop()
-    release(spark)
-    return out
+    parts = max(dealt.sparkSession.sparkContext.defaultParallelism, -(-int(tokens) // PART_TOKENS))
+    return dealt.repartition(parts, "root", "group").sortWithinPartitions("root", "group", "node").mapInArrow(join, "a binary, b binary")

@@ -1,8 +1,10 @@
 """Connected components, in a task and across tasks.
 
 Across tasks: alternating large-star and small-star steps over DataFrames. Each
-step takes its minima with partial aggregation and joins them back, so a star of
-any size is never in one task, and is written to the shared folder.
+step takes its minima with partial aggregation, writes them to the shared folder
+and joins them back; both sides of that join are plain exchanges, so Spark's
+adaptive skew join splits the rows of a large star's centre. Once the edges left
+are few enough for one task, one task joins them.
 """
 
 from __future__ import annotations
@@ -19,6 +21,8 @@ from ._dist import Kept, prepare
 
 #: Edges that a task joins at once before the first step.
 CHUNK = 400_000
+#: Edges that one task may finish: of at most two binary names each, about 100 MB.
+FINISH = 1_000_000
 
 
 def local(n: int, a: np.ndarray, b: np.ndarray, label: np.ndarray | None = None) -> np.ndarray:
@@ -36,7 +40,7 @@ def local(n: int, a: np.ndarray, b: np.ndarray, label: np.ndarray | None = None)
     return p
 
 
-def _fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _fold(batches: Iterator[pa.RecordBatch], chunk: int = CHUNK) -> Iterator[pa.RecordBatch]:
     """Edges of a task as stars around the smallest node of each of its components."""
 
     def star(held: list[pa.RecordBatch]) -> pa.RecordBatch:
@@ -56,7 +60,7 @@ def _fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         held.append(b)
         n += b.num_rows
-        if n >= CHUNK:
+        if n >= chunk:
             yield star(held)
             held, n = [], 0
     if held:
@@ -79,16 +83,22 @@ def components(edges: DataFrame) -> DataFrame:
         if now == mark or not now[0]:
             break
         mark = now
+        if now[0] <= FINISH:
+            after = Kept(e.coalesce(1).mapInArrow(lambda batches: _fold(batches, FINISH + 1), f"u {kind}, v {kind}"))
+            kept.drop()
+            kept = after
+            break
         # Large star: larger neighbours of a node go to the smallest of the node and its neighbours.
         both = e.select(F.col("u").alias("x"), F.col("v").alias("y")).union(e.select(F.col("v").alias("x"), F.col("u").alias("y")))
-        least = both.groupBy("x").agg(F.min("y").alias("m")).select("x", F.least("x", "m").alias("m"))
-        large = both.where("y > x").join(least, "x").select(F.col("y").alias("u"), F.col("m").alias("v")).distinct()
+        first = Kept(both.groupBy("x").agg(F.min("y").alias("m")).select("x", F.least("x", "m").alias("m")))
+        large = Kept(both.where("y > x").join(first.df, "x").select(F.col("y").alias("u"), F.col("m").alias("v")).distinct())
         # Small star: a node and its smaller neighbours go to the smallest of these.
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        joined = large.join(least, "u")
-        small = joined.where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v"))).distinct()
+        second = Kept(large.df.groupBy("u").agg(F.min("v").alias("m")))
+        joined = large.df.join(second.df, "u")
+        small = joined.where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(second.df.select("u", F.col("m").alias("v"))).distinct()
         after = Kept(small)
-        kept.drop()
+        for x in (kept, first, large, second):
+            x.drop()
         kept = after
     e = kept.df
     return e.select(F.col("u").alias("node"), F.col("v").alias("root")).union(e.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _bytes as B
-from ._dist import Kept, prepare, release
+from ._dist import Kept, prepare, release, unused
 from .candidates import Items, binary, clusters, codes, links, short
 
 #: Characters in a shingle; a shorter line is one shingle.
@@ -31,8 +31,9 @@ BANDS, ROWS = 24, 6
 CACHE_BYTES = 128 << 10
 
 _rng = np.random.Generator(np.random.PCG64(77))
-_A = _rng.integers(0, 2**15, BANDS * ROWS, dtype=np.uint16) * np.uint16(2) + np.uint16(1)
-_C = _rng.integers(0, 2**16, BANDS * ROWS, dtype=np.uint16)
+#: Of 32 bits: minima of shorter values would be alike in all very long lines.
+_A = _rng.integers(0, 2**31, BANDS * ROWS, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
+_C = _rng.integers(0, 2**32, BANDS * ROWS, dtype=np.uint32)
 #: A second random value for each byte, for the other half of the names.
 _T2 = _rng.integers(0, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 #: Bytes that alone don't make a line.
@@ -89,10 +90,11 @@ class Lines:
         if not len(which):
             return np.zeros((0, BANDS), np.uint64)
         key, off = self.shingles(which)
-        low = (key >> np.uint64(48)).astype(np.uint16)
-        sig = np.empty((BANDS * ROWS, len(which)), np.uint16)
+        low = (key >> np.uint64(32)).astype(np.uint32)
+        sig, own = np.empty((BANDS * ROWS, len(which)), np.uint32), np.empty_like(low)
         for j in range(BANDS * ROWS):
-            sig[j] = np.minimum.reduceat((low ^ _C[j]) * _A[j], off[:-1])
+            np.multiply(np.bitwise_xor(low, _C[j], out=own), _A[j], out=own)
+            np.minimum.reduceat(own, off[:-1], out=sig[j])
         sig = sig.astype(np.uint64).reshape(BANDS, ROWS, -1)
         out = np.full((BANDS, len(which)), 0, np.uint64)
         for r in range(ROWS):
@@ -107,14 +109,16 @@ def drops(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     kind = docs.select(id_col).schema[0].dataType.simpleString()
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(id_col, text_col).alias("doc_key"))
 
-    def keys(part: pa.RecordBatch, t: B.Texts) -> Items:
-        x = Lines(t)
-        first, _ = codes(x.name)
-        return Items(x.name[first], np.ones(len(first), np.int64), x.bands(first).ravel(), np.repeat(np.arange(len(first)), BANDS))
+    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[Items]:
+        for _, t in B.slices(batches, "text", CACHE_BYTES):
+            x = Lines(t)
+            first, _ = codes(x.name)
+            yield Items(x.name[first], np.ones(len(first), np.int64), x.bands(first).ravel(), np.repeat(np.arange(len(first)), BANDS))
 
-    def sets(part: pa.RecordBatch, t: B.Texts) -> Items:
-        x = Lines(t)
-        return Items(x.name, x.size, texts=lambda at: [t.data[x.start[i] : x.end[i]].tobytes() for i in at])
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        for _, t in B.slices(batches, "text", CACHE_BYTES):
+            x = Lines(t)
+            yield x.name, lambda at, t=t, x=x: [t.data[x.start[i] : x.end[i]].tobytes() for i in at]
 
     def expand(t: B.Texts) -> tuple[np.ndarray, np.ndarray]:
         return Lines(t).sets(np.arange(t.n))
@@ -124,23 +128,27 @@ def drops(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
             x = Lines(t)
             yield pa.RecordBatch.from_arrays([binary(x.name), pa.array(short(x.name)), pa.array(x.size), part.column(0).take(pa.array(x.doc)), part.column(2).take(pa.array(x.doc)), pa.array(x.number)], ["node", "short", "size", "doc_id", "doc_key", "line"])
 
-    lines = texts.mapInArrow(describe, f"node binary, short long, size long, doc_id {kind}, doc_key long, line long")
+    lines = Kept(texts.mapInArrow(describe, f"node binary, short long, size long, doc_id {kind}, doc_key long, line long"))
     place = F.struct("doc_id", "doc_key", "line")
-    classes = Kept(lines.groupBy("node", "short").agg(F.max("size").alias("size"), F.min(place).alias("keeper"), F.count("*").alias("n")))
+    classes = Kept(lines.df.groupBy("node", "short").agg(F.max("size").alias("size"), F.min(place).alias("keeper"), F.count("*").alias("n")))
     rows = classes.df.count() * BANDS
-    found = Kept(clusters(texts, keys, rows, PERCENT, CACHE_BYTES))
+    found = Kept(clusters(texts.select("text"), keys, rows, PERCENT))
     release(spark)
-    roots = Kept(links(texts, sets, expand, found.df, classes.df.select("node", "short", "size"), PERCENT, CACHE_BYTES, banded=False))
+    roots = Kept(links(texts.select("text"), sets, expand, found.df, classes.df.select("node", "short", "size"), PERCENT))
     found.drop()
     release(spark)
     # A component's keeper is the least of its classes'.
-    joined = classes.df.join(roots.df, "node")
-    best = joined.groupBy("root").agg(F.min("keeper").alias("keeper"))
-    near = joined.select("node", "root").join(best, "root").select("node", "keeper")
+    joined = Kept(classes.df.join(roots.df, "node").select("node", "root", "keeper"))
+    best = Kept(joined.df.groupBy("root").agg(F.min("keeper").alias("keeper")))
+    near = joined.df.select("node", "root").join(best.df, "root").select("node", "keeper")
     equal = classes.df.where("n > 1").join(roots.df, "node", "left_anti").select("node", "keeper")
     verdict = Kept(near.union(equal))
-    gone = lines.join(verdict.df, "node").where(~place.eqNullSafe(F.col("keeper")))
-    return gone.groupBy("doc_id", "doc_key").agg(F.collect_set("line").alias("lines"))
+    gone = lines.df.select("node", "doc_id", "doc_key", "line").join(verdict.df, "node").where(~place.eqNullSafe(F.col("keeper")))
+    out = Kept(gone.groupBy("doc_id", "doc_key").agg(F.collect_set("line").alias("lines")))
+    for x in (lines, classes, roots, joined, best, verdict):
+        x.drop()
+    release(spark)
+    return out.df
 
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest: bool = False) -> DataFrame:
@@ -148,11 +156,13 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", diges
 
     Lines without a character but white space stay. A document may lose all its
     lines and stays with an empty text; a null text stays null. Rows that repeat
-    another's id and text count as one document and lose the same lines. With
+    another's id and text count as one document and lose the same lines. One line
+    is whole in memory, however long, and its cost grows with its length. With
     digest: doc_id, n_lines, n_removed and kept_sha256 of each document instead.
     """
-    gone = drops(docs, id_col, text_col).select(F.col("doc_id").alias("__id"), F.col("doc_key").alias("__key"), F.array_sort("lines").alias("__lines"))
-    both = docs.join(gone, F.col(id_col).eqNullSafe(F.col("__id")) & (F.xxhash64(id_col, text_col) == F.col("__key")), "left").drop("__id", "__key")
+    own, key, lines_ = (unused(docs, x) for x in ("id", "key", "lines"))
+    gone = drops(docs, id_col, text_col).select(F.col("doc_id").alias(own), F.col("doc_key").alias(key), F.array_sort("lines").alias(lines_))
+    both = docs.join(gone, F.col(id_col).eqNullSafe(F.col(own)) & (F.xxhash64(id_col, text_col) == F.col(key)), "left").drop(own, key)
     kind = docs.select(id_col).schema[0].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -19,6 +19,8 @@ LEAF, FAN = 16, 8
 CHUNK, TOKENS = 1 << 15, 1 << 20
 #: Sets from which on a few hubs are compared with all others before the traversal.
 HUBS_FROM, HUBS = 48, 16
+#: A group of at most so many sets is two leaves: its pairs are looked at without a tree, many groups at a time.
+SMALL = 2 * LEAF
 
 
 class Sets:
@@ -171,3 +173,38 @@ def link(tokens: np.ndarray, off: np.ndarray, percent: int, side: np.ndarray | N
     x = Tree(s, left, words)
     _traverse(s, x, x if len(left) == n else Tree(s, np.flatnonzero(side == 1), words))
     return s.label
+
+
+def link_groups(tokens: np.ndarray, off: np.ndarray, percent: int, group: np.ndarray, side: np.ndarray | None = None) -> np.ndarray:
+    """link() of small groups, in which alone sets are compared; group: ascending.
+
+    In each round the first open set of every group is compared with the open
+    ones after it that aren't in its component yet.
+    """
+    n = len(off) - 1
+    size, label = np.diff(off), np.arange(n)
+    names, code = np.unique(tokens, return_inverse=True)
+    span = len(names)
+    held = np.repeat(np.arange(n), size) * span + code  # ascending, as each set is
+    any_side = np.zeros(n, bool) if side is None else np.maximum.reduceat(side, np.flatnonzero(np.diff(group, prepend=-1)))[np.cumsum(np.diff(group, prepend=-1) != 0) - 1] > 0
+    open_ = np.arange(n)
+    while len(open_):
+        head = np.diff(group[open_], prepend=-1) != 0
+        hub = open_[head][np.cumsum(head) - 1]
+        i, j = hub[~head], open_[~head]
+        open_ = j
+        go = (label[i] != label[j]) & (np.minimum(size[i], size[j]) * 100 >= percent * np.maximum(size[i], size[j]))
+        if side is not None:
+            go &= ~any_side[i] | (side[i] != side[j])
+        i, j = i[go], j[go]
+        step = max(1, int(TOKENS // max(1, size[i].max()))) if len(i) else 1
+        for at in range(0, len(i), step):
+            a, b = i[at : at + step], j[at : at + step]
+            m = size[a]
+            own = held[np.repeat(off[a] - np.concatenate(([0], np.cumsum(m)[:-1])), m) + np.arange(m.sum())] + np.repeat((b - a) * span, m)
+            place = np.minimum(np.searchsorted(held, own), len(held) - 1)
+            common = np.add.reduceat((held[place] == own).astype(np.int64), np.concatenate(([0], np.cumsum(m)[:-1]))) if len(own) else np.zeros(len(a), np.int64)
+            ok = common * (100 + percent) >= percent * (m + size[b])
+            if ok.any():
+                label = local(n, a[ok], b[ok], label)
+    return label

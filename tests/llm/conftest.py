@@ -19,7 +19,7 @@ def messy(spark):
         (7, "ONE two\x00three\x85four\xa0five " * 30, "fr", "b", 5),
     ]
     df = spark.createDataFrame(rows, SCHEMA)
-    for extra in ("id", "node", "root", "size", "line", "lines", "name", "w", "words", "n_words", "k", "at", "x", "spans", "bucket", "part", "v"):
+    for extra in ("id", "node", "root", "size", "line", "lines", "name", "w", "words", "n_words", "k", "at", "x", "spans", "bucket", "part", "v", "__id", "__key", "__lines", "_id", "key", "gone", "nth", "__gone", "row"):
         df = df.withColumn(extra, df.lang)
     return df
 

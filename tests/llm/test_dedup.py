@@ -6,9 +6,10 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
+from ordix.llm import _bytes as B
 from ordix.llm import jaccard_join, line_dedup, queries, substring_dedup
 from ordix.llm.components import components, local
-from ordix.llm.signature_tree import link
+from ordix.llm.signature_tree import link, link_groups
 
 from .. import oracle
 
@@ -47,6 +48,10 @@ def test_substrings_against_brute_force(spark):
     assert [got[i] for i in range(len(texts))] == _repeats(texts)
 
 
+def test_substrings_oracle(spark, sf_dir):
+    oracle.check(spark, sf_dir, queries.QUERIES["op2_substring_dedup"], queries.ORACLES["op2_substring_dedup"])
+
+
 def test_substrings_of_the_tables(docs, texts):
     got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in substring_dedup.repeats(docs).collect()}
     assert [got[i] for i in texts] == _repeats(texts.values())
@@ -109,6 +114,43 @@ def test_lines_of_the_tables(docs, texts):
     assert {i: r.text for i, r in got.items()} == want and all(r.n_chars == len(r.text) for r in got.values())
 
 
+def test_line_query_over_the_table(spark, sf_dir, texts):
+    """The registered query: its digest is that of what brute force keeps."""
+    want = _line_dedup(sorted(texts.items()))
+    rows = queries.QUERIES["op7_line_dedup"](spark, sf_dir).collect()
+    assert len(rows) == len(texts)
+    for r in rows:
+        text, kept = texts[r.doc_id], want[r.doc_id]
+        assert (r.n_lines, r.kept_sha256) == (text.count("\n") + 1, hashlib.sha256(kept.encode()).hexdigest())
+        assert r.n_removed == text.count("\n") + 1 - (kept.count("\n") + 1 if kept or r.n_removed < r.n_lines else 0)
+
+
+def test_bands_recall_and_long_lines():
+    """Pairs at similarity 0.8 share a band; unrelated lines don't, however long they are."""
+    rng, k = random.Random(6), line_dedup.K
+    alphabet = "abcdefghijklmnopqrstuvwxyz      "
+    found = tried = 0
+    for size in (60, 200, 1000, 5000):
+        for _ in range(60):
+            a = [rng.choice(alphabet) for _ in range(size)]
+            b, s = list(a), {tuple(a[i : i + k]) for i in range(size - k + 1)}
+            while True:
+                c = list(b)
+                c[rng.randrange(size)] = rng.choice(alphabet)
+                u = {tuple(c[i : i + k]) for i in range(size - k + 1)}
+                if 100 * len(s & u) < line_dedup.PERCENT * len(s | u):
+                    break
+                b = c
+            t = "x" + "".join(a), "x" + "".join(b)
+            x = line_dedup.Lines(B.texts_of(pa.array(t)))
+            one, two = x.bands(np.arange(2))
+            tried, found = tried + 1, found + bool((one == two).any())
+    assert found >= 0.99 * tried
+    long = ["".join(rng.choice(alphabet) for _ in range(150_000)) for _ in range(4)]
+    keys = line_dedup.Lines(B.texts_of(pa.array(long))).bands(np.arange(4))
+    assert not any((keys[i] == keys[j]).any() for i in range(4) for j in range(i))
+
+
 def test_near_lines(spark):
     base = "a line of some length that comes again with one word changed, and more " * 3
     rows = [(1, f"first\n{base}"), (2, base.replace("word", "term", 1) + "\nsecond"), (3, "first\n\n \nthird"), (4, None), (5, base)]
@@ -170,20 +212,41 @@ def test_jaccard_against_brute_force(spark, k, percent):
 
 @pytest.mark.parametrize("percent", [80, 85])
 def test_keys_meet_for_every_link(percent):
+    """Whatever the order of the shingles is, as long as it is the same for all sets."""
     rng = np.random.default_rng(percent)
     met = 0
     for _ in range(300):
         a = np.unique(rng.integers(0, 2**63, int(rng.integers(1, 300))).astype(np.uint64))
         d = int(rng.integers(0, len(a) // 5 + 2))
         b = np.unique(np.concatenate([rng.permutation(a)[int(rng.integers(0, d + 1)) :], rng.integers(0, 2**63, int(rng.integers(0, d + 1))).astype(np.uint64)]))
-        c = len(np.intersect1d(a, b))
-        if len(b) and 100 * c >= percent * (len(a) + len(b) - c) and not len(a) == len(b) == c:
-            key, of = jaccard_join._keys(np.concatenate([a, b]), np.array([0, len(a), len(a) + len(b)]), percent)
-            assert len(np.intersect1d(key[of == 0], key[of == 1]))
+        c = np.intersect1d(a, b)
+        if len(b) and 100 * len(c) >= percent * (len(a) + len(b) - len(c)):
+            key = np.concatenate([a, b])
+            common = np.where(np.isin(key, c), key % np.uint64(5) + np.uint64(1), key % np.uint64(2) * np.uint64(3)).astype(np.uint8)
+            found, of = jaccard_join.rare_first(key, np.array([0, len(a), len(a) + len(b)]), common, percent)
+            assert len(np.intersect1d(found[of == 0], found[of == 1]))
+            assert all((of == i).sum() <= len(x) - -(-percent * len(x) // 100) + 1 for i, x in enumerate((a, b)))
             met += 1
     assert met > 50
 
 
+def test_how_common_shingles_are():
+    """Counts of every chunk add up, and a shingle of one set only has 0."""
+    rng = np.random.default_rng(3)
+    chunks = [np.unique(rng.integers(0, 400, 200).astype(np.uint64)) << np.uint64(3) for _ in range(4)]
+    many = [rng.integers(1, 4, len(x)).astype(np.uint8) for x in chunks]
+    t = pa.table({"bucket": [0] * 4, "chunk": [bytes([i]) for i in range(4)], "keys": [x.astype(np.uint32).tobytes() for x in chunks], "many": [jaccard_join._counts(x) for x in many]})
+    total = collections.Counter()
+    for x, n in zip(chunks, many, strict=True):
+        for k, m in zip(x.tolist(), n.tolist(), strict=True):
+            total[k] += m
+    for x, blob in zip(chunks, jaccard_join._judge(t).column("common").to_pylist(), strict=True):
+        bits = np.unpackbits(np.frombuffer(blob, np.uint8, -(-len(x) // 8)), count=len(x)).astype(bool)
+        got = np.zeros(len(x), int)
+        got[bits] = np.frombuffer(blob, np.uint8, offset=-(-len(x) // 8))
+        assert got.tolist() == [int(8 * np.log2(total[k])) if total[k] > 1 else 0 for k in x.tolist()]
+
+
 def test_jaccard_messy(messy, empty):
     rows = jaccard_join.components_of(messy).collect()
     assert len(rows) == 9 and sorted(r.component_id for r in rows if r.doc_id is not None) == [1, 2, 3, 4, 4, 5, 6, 7]
@@ -217,7 +280,26 @@ def test_tree_links_like_all_pairs():
         assert (link(np.concatenate(sets), off, 85) == want).all()
 
 
-def test_tiles_of_a_large_cluster(spark, monkeypatch):
+def test_small_groups_link_like_all_pairs():
+    rng = np.random.default_rng(5)
+    sets, group = [], []
+    for g in range(40):
+        base = rng.choice(300, int(rng.integers(1, 40)), replace=False)
+        for _ in range(int(rng.integers(1, 12))):
+            s = set(rng.permutation(base)[int(rng.integers(0, len(base) // 6 + 1)) :].tolist()) | set(rng.integers(0, 300, int(rng.integers(0, 4))).tolist()) | {1}
+            sets.append(np.array(sorted(s), np.uint64))
+            group.append(g)
+    off, group = np.concatenate(([0], np.cumsum([len(s) for s in sets]))), np.array(group)
+    side = rng.integers(0, 2, len(sets)) * (group % 3 == 0)
+    apart = np.zeros(len(sets), bool)
+    for g in np.unique(group[side > 0]):
+        apart |= group == g
+    pairs = [(i, j) for i in range(len(sets)) for j in range(i) if group[i] == group[j] and (not apart[i] or side[i] != side[j]) and 100 * (c := len(np.intersect1d(sets[i], sets[j]))) >= 85 * (len(sets[i]) + len(sets[j]) - c)]
+    want = local(len(sets), *(np.array(x, int) for x in zip(*pairs, strict=True)))
+    assert (link_groups(np.concatenate(sets), off, 85, group, side) == want).all()
+
+
+def test_slices_of_a_large_cluster(spark, monkeypatch):
     from ordix.llm import candidates
 
     monkeypatch.setattr(candidates, "TILE_TOKENS", 300)
@@ -234,7 +316,23 @@ def test_tiles_of_a_large_cluster(spark, monkeypatch):
     assert got == _jaccard(rows, 4, 70)
 
 
-def test_components_of_chains_and_stars(spark):
+def test_large_cluster_without_a_centre(spark, monkeypatch):
+    """A chain that no hub holds together, dealt in ten slices; a set meets each slice at most once more than it has to."""
+    from ordix.llm import candidates
+
+    monkeypatch.setattr(candidates, "TILE_TOKENS", 400)
+    rows = [(i, " ".join(f"w{j}" for j in range(3 * i, 3 * i + 40))) for i in range(60)]
+    rows += [(100 + i, " ".join(f"v{j}" for j in range(40)) + " " + f"x{i} " * 2) for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.components_of(df, 2, 80).collect()}
+    assert got == _jaccard(rows, 2, 80)
+
+
+@pytest.mark.parametrize("finish", [1_000_000, 20])
+def test_components_of_chains_and_stars(spark, monkeypatch, finish):
+    from ordix.llm import components as c
+
+    monkeypatch.setattr(c, "FINISH", finish)
     edges = [(i, i + 1) for i in range(60)] + [(100, x) for x in range(101, 140)] + [(7, 7), (None, 3), (500, 501), (501, 500)]
     df = spark.createDataFrame(edges, "a long, b long")
     got = {r.node: r.root for r in components(df).collect()}

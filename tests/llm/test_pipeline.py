@@ -41,3 +41,15 @@ def test_stages_one_by_one(spark, sf_dir, docs):
 def test_run_gives_the_stages_result(spark, sf_dir):
     out = corpus_pipeline.run(spark, sf_dir)
     assert {"doc_id", "bucket", "batch"} <= set(out.columns) and out.count() > 0
+
+
+def test_stages_on_an_empty_table_and_on_messy_rows(spark, sf_dir, docs, messy):
+    """Every stage takes an empty table, and nulls, empty and very long texts and repeated rows."""
+    from ordix.llm._dist import Kept
+
+    for start, some in ((docs.limit(0), False), (messy.select(docs.columns), True)):
+        at = start
+        for name, stage in corpus_pipeline.STAGES:
+            at = Kept(stage(spark, at, sf_dir)).df
+            assert name == "packing" or at.columns == docs.columns
+        assert (at.count() > 0) == some
