@@ -79,6 +79,8 @@ def spans(text: str) -> dict[str, list[tuple[int, int]]]:
     """Spans by kind, in code points, end exclusive, by start."""
     out: dict[str, list[tuple[int, int]]] = {k: [] for k in BASE + OWN}
     mail_end = dots_end = card_end = link_end = account_end = secret_end = 0
+    run_end = stop = 0  # of the run of a link's characters, with and without marks at its end
+    sign = -1  # the next at-sign, once looked for
     lower = _lowered(text)
     for last, (kind, back) in _automaton().iter(lower):
         at = last - back
@@ -116,12 +118,19 @@ def spans(text: str) -> dict[str, list[tuple[int, int]]]:
             if m and 8 <= sum("0" <= c <= "9" for c in m[0]) <= 15:
                 out["phone"].append(m.span())
         elif kind == ":":
-            if at < link_end or (at and text[at - 1].isalnum()):
+            mail = lower[at:last] == "mailto"
+            if at < link_end or (at and text[at - 1].isalnum()) or not (mail or text.startswith("//", last + 1)):
                 continue
-            m = _LINK.match(text, last + 1)
-            body = m[0].rstrip(".,;:!?)]}") if m else ""
-            if (body.startswith("//") and len(body) > 4) or (lower[at:last] == "mailto" and "@" in body):
-                link_end = last + 1 + len(body)
+            if last + 1 >= run_end:  # else still inside the same run
+                m = _LINK.match(text, last + 1)
+                run_end = stop = m.end() if m else last + 1
+                while stop > last + 1 and text[stop - 1] in ".,;:!?)]}":
+                    stop -= 1
+            if mail and sign <= last:
+                sign = text.find("@", last + 1)
+                sign = len(text) if sign < 0 else sign
+            if sign < stop if mail else stop - last > 5:
+                link_end = stop
                 out["url"].append((at, link_end))
         elif kind == "a":
             if at >= account_end and not (at and text[at - 1].isalnum()) and (m := _ACCOUNT.match(text, last + 1)) and sum("0" <= c <= "9" for c in m[1]) >= 4:

@@ -47,7 +47,7 @@ def test_stages_on_an_empty_table_and_on_messy_rows(spark, sf_dir, docs, messy):
     """Every stage takes an empty table, and nulls, empty and very long texts and repeated rows."""
     from ordix.llm._dist import Kept
 
-    for start, some in ((docs.limit(0), False), (messy.select(docs.columns), True)):
+    for start, some in ((docs.limit(0), False), (messy.select(docs.columns).unionByName(docs.limit(40)), True)):
         at = start
         for name, stage in corpus_pipeline.STAGES:
             at = Kept(stage(spark, at, sf_dir)).df
