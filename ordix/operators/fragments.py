@@ -78,6 +78,8 @@ def locate(key: Column, cuts: list) -> Column:
     """Number of cuts not above the key, in two levels so that 1000s of cuts cost tens of comparisons."""
     if not cuts:
         return F.lit(0)
+    if any(isinstance(c, int) and c >= 2**63 for c in cuts):  # unsigned keys
+        cuts = [F.lit(str(c)).cast("decimal(20,0)") for c in cuts]
     step = max(1, math.isqrt(len(cuts)))
     rows = [cuts[i : i + step] for i in range(0, len(cuts), step)]
     heads = F.array(*(F.lit(r[0]) for r in rows))

@@ -86,6 +86,15 @@ def test_routing_agrees_with_the_driver(spark):
         assert got == {k: fragments.place([r.ub for r in rows], k, strict) for k in keys}
 
 
+def test_routing_over_the_unsigned_domain(spark):
+    fmap = fragments.equi_width(spark, 4, 2)
+    rows = sorted(fmap.collect(), key=lambda r: r.ub)
+    keys = [0, 1, 2**63 - 1, 2**63, 2**64 - 1] + [int(r.ub) for r in rows] + [int(r.lb) for r in rows]
+    df = spark.createDataFrame([(str(k),) for k in keys], "k string").select(F.col("k").cast("decimal(20,0)").alias("key"))
+    got = {int(r.key): r.frag_id for r in fragments.route(df, fmap).collect()}
+    assert got == {k: next(r.frag_id for r in rows if k <= int(r.ub)) for k in keys}
+
+
 def test_many_cuts(spark):
     cuts = list(range(5, 5000, 13))
     keys = [0, 4, 5, 6, 17, 18, 4990, 4991, 4992, 4993, 9999]
