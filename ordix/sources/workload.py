@@ -14,27 +14,62 @@ from ..functions import keys as K
 
 #: Keys preloaded by default.
 INIT_KEYS = 60_000_000
+#: Bytes of a raw key file that one row of work reads.
+SPLIT_BYTES = 64 << 20
 
 
 # --- raw key files: little-endian uint64, no header ------------------------------
 
 
-def read_keys(spark: SparkSession, path: str) -> DataFrame:
+def _open(path: str):
+    """A file of a Hadoop path, opened by Arrow; an error where Arrow has no such file system."""
+    from pyarrow import fs
+
+    scheme, _, rest = path.partition(":")
+    system, at = fs.FileSystem.from_uri(f"{scheme}://{rest}" if scheme == "file" and not rest.startswith("//") else path)
+    return system.open_input_file(at)
+
+
+def read_keys(spark: SparkSession, path: str, split_bytes: int = SPLIT_BYTES) -> DataFrame:
     """file, seq (from 0 in each file) and key DECIMAL(20,0) of raw key files.
 
-    A short rest at the end of a file is left out. Each file is one task, as the
-    format can't be told apart from its middle; write_keys() makes many files.
+    A short rest at the end of a file is left out. Files are read in splits of
+    about split_bytes by Arrow's file systems; on others (of the first file's
+    scheme) each file is one row and one task.
     """
+    split = max(8, split_bytes // 8 * 8)
+    schema = "file string, seq long, bits long"
+
+    def keys(name: str, first: int, data: bytes) -> Iterator[pd.DataFrame]:
+        k = np.frombuffer(data, "<u8", len(data) // 8)
+        for at in range(0, len(k), 1 << 16):
+            part = k[at : at + (1 << 16)]
+            yield pd.DataFrame({"file": name, "seq": np.arange(first + at, first + at + len(part)), "bits": part.view(np.int64)})
 
-    def decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def ranges(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            for name, data in zip(b["path"], b["content"], strict=True):
-                k = np.frombuffer(data, "<u8", len(data) // 8)
-                for at in range(0, len(k), 1 << 16):
-                    part = k[at : at + (1 << 16)]
-                    yield pd.DataFrame({"file": name, "seq": np.arange(at, at + len(part)), "bits": part.view(np.int64)})
+            for name, at, n in zip(b["path"], b["at"], b["n"], strict=True):
+                with _open(name) as f:
+                    f.seek(int(at))
+                    yield from keys(name, int(at) // 8, f.read(int(n)))
 
-    raw = spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(decode, "file string, seq long, bits long")
+    def whole(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for name, data in zip(b["path"], b["content"], strict=True):
+                yield from keys(name, 0, data)
+
+    files = spark.read.format("binaryFile").load(path)
+    known = files.select("path").first()
+    try:
+        if known:
+            _open(known.path).close()
+    except (OSError, ValueError):
+        raw = files.select("path", "content").mapInPandas(whole, schema)
+    else:
+        # Names and lengths only: contents aren't read here.
+        at = F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.col("length") - 1, F.lit(0)), F.lit(split).cast("long")))
+        splits = files.select("path", "length", at.alias("at")).select("path", "at", F.least(F.col("length") - F.col("at"), F.lit(split)).alias("n")).where("n >= 8")
+        raw = splits.repartition(F.col("path"), F.col("at")).mapInPandas(ranges, schema)
     return raw.select("file", "seq", K.unsigned(F.col("bits")).alias("key"))
 
 

@@ -109,6 +109,17 @@ def test_raw_key_files(spark, tmp_path):
     assert sorted(int(r.key) for r in workload.read_keys(spark, str(tmp_path / "keys")).collect()) == sorted(values)
 
 
+def test_raw_key_files_in_splits(spark, tmp_path):
+    import numpy as np
+
+    keys = np.arange(1000, dtype="<u8") * 3
+    (tmp_path / "a.bin").write_bytes(keys.tobytes() + b"rest")
+    (tmp_path / "b.bin").write_bytes(b"")
+    for split in (64, 1000, 1 << 20):
+        rows = workload.read_keys(spark, str(tmp_path), split).collect()
+        assert sorted((r.seq, int(r.key)) for r in rows) == [(i, 3 * i) for i in range(1000)] and {r.file.rsplit("/", 1)[1] for r in rows} == {"a.bin"}
+
+
 def test_parse_cell(spark):
     df = spark.createDataFrame([("3",), ("-1,2",), ("9,99",), ("x",), ("",)], "s string")
     got = [tuple(r.c) for r in df.select(K.parse_cell(F.col("s"), 5, 10).alias("c")).collect()]
