@@ -29,7 +29,7 @@ _ip = np.ones(1, np.uint64)
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     global _pw, _ip
     if len(_pw) < n:
-        size = max(n, SLICE_BYTES + 1)
+        size = max(1 << 16, 1 << (n - 1).bit_length())
         out = []
         for base in (_R, _RI):
             a = np.full(size, base, np.uint64)

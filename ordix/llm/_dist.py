@@ -14,9 +14,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-#: Rows of an Arrow batch; slices by bytes are cut from these.
+#: Rows and bytes of an Arrow batch; slices by bytes are cut from these. A row may be larger than a batch.
 BATCH_ROWS = 1000
-BATCH_BYTES = 16 << 20
+BATCH_BYTES = 4 << 20
 
 
 _shipped: set[str] = set()

@@ -28,8 +28,9 @@ from ._dist import Kept, prepare, release, sized, unused
 from .candidates import Items, binary, clusters, codes, links, names, short
 
 #: Bytes of text in a chunk and shingles in a bucket, at least and at most: both grow with the
-#: root of the corpus, so that a chunk's part of a bucket stays a run of keys.
-CHUNK_BYTES = 2 << 20, 32 << 20
+#: root of the corpus, so that a chunk's part of a bucket stays a run of keys. A chunk is one row,
+#: so small ones spare the heap.
+CHUNK_BYTES = 256 << 10, 32 << 20
 BUCKET_KEYS = 1 << 20, 16 << 20
 
 
@@ -58,7 +59,7 @@ def _name(key: np.ndarray, off: np.ndarray) -> np.ndarray:
 def _chunked(docs: DataFrame, k: int, kind: str) -> DataFrame:
     """A row per chunk: ids, set sizes and names of its documents, and the texts of its distinct sets that aren't empty."""
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    most = sized(4 * total, *CHUNK_BYTES)
+    most = sized(total // 8, *CHUNK_BYTES)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, t in B.chunks(batches, "text", most):
@@ -225,9 +226,11 @@ def components_of(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str =
 
     total = int(chunks.df.agg(F.sum("n")).first()[0] or 0)
     buckets = max(1, -(-total // sized(total, *BUCKET_KEYS)))
-    common = chunks.df.select("chunk", "text", "off").mapInArrow(_send(k, buckets), _SENT).groupBy("bucket").applyInArrow(_judge, "bucket long, chunk binary, common binary")
-    hits = common.groupBy("chunk").agg(F.collect_list(F.struct("bucket", "common")).alias("hits"))
+    common = Kept(chunks.df.select("chunk", "text", "off").mapInArrow(_send(k, buckets), _SENT).groupBy("bucket").applyInArrow(_judge, "bucket long, chunk binary, common binary"))
+    release(spark)
+    hits = common.df.groupBy("chunk").agg(F.collect_list(F.struct("bucket", "common")).alias("hits"))
     keyed = Kept(chunks.df.select("chunk", "names", "own", "text", "off").join(hits, "chunk").mapInArrow(_keyed(k, percent, buckets), "names binary, sizes binary, keys binary, of binary, n long"))
+    common.drop()
     release(spark)
     found = Kept(clusters(keyed.df.select("names", "sizes", "keys", "of"), _items, int(keyed.df.agg(F.sum("n")).first()[0] or 0), percent))
     keyed.drop()
