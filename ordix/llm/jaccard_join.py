@@ -31,7 +31,7 @@ from .candidates import Items, binary, clusters, codes, links, names, short
 #: root of the corpus, so that a chunk's part of a bucket stays a run of keys. A chunk is one row,
 #: so small ones spare the heap.
 CHUNK_BYTES = 256 << 10, 32 << 20
-BUCKET_KEYS = 1 << 20, 16 << 20
+BUCKET_KEYS = 1 << 19, 16 << 20
 
 
 def _blob(x: np.ndarray, kind: str) -> bytes:
@@ -117,6 +117,7 @@ def _send(k: int, buckets: int):
                 a, z = ends[held].tolist(), ends[held + 1].tolist()
                 chunk = b.column(b.schema.get_field_index("chunk"))[i].as_py()
                 yield pa.RecordBatch.from_arrays([pa.array(held), pa.array([chunk] * len(held), pa.binary()), pa.array([low[x:y].tobytes() for x, y in zip(a, z, strict=True)], pa.binary()), pa.array([_counts(count[x:y]) for x, y in zip(a, z, strict=True)], pa.binary())], ["bucket", "chunk", "keys", "many"])
+        B.trim()
 
     return run
 
@@ -136,6 +137,7 @@ def _counted(blob: bytes, n: int) -> np.ndarray:
 
 def _judge(t: pa.Table) -> pa.Table:
     """How common each shingle sent is: 0 for those of one set, else steps of the logarithm of the number of sets, from 1 on."""
+    B.trim()  # what the bucket before has left
     keys = [np.frombuffer(x, np.uint32) for x in t.column("keys").to_pylist()]
     count = np.concatenate([_counted(x, len(k)) for x, k in zip(t.column("many").to_pylist(), keys, strict=True)])
     every = np.sort(np.concatenate(keys).astype(np.uint64) << np.uint64(32) | np.arange(len(count), dtype=np.uint64))
@@ -189,6 +191,7 @@ def _keyed(k: int, percent: int, buckets: int):
                     name = names(b.column(b.schema.get_field_index("names")).slice(i, 1))[_column(b, "own", i, "<i8")[held]]
                     cells = _blob(name, ">u8"), _blob(np.diff(off)[held], "<i8"), _blob(found, "<u8"), _blob(of, "<i8")
                     yield pa.RecordBatch.from_arrays([*(pa.array([x], pa.binary()) for x in cells), pa.array([len(found)], pa.int64())], ["names", "sizes", "keys", "of", "n"])
+        B.trim()
 
     return run
 
