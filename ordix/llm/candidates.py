@@ -42,7 +42,7 @@ BATCH_BYTES = 400_000
 EXPAND_BYTES = 256 << 10
 #: Tokens that a partition of clusters holds, about.
 PART_TOKENS = 1_500_000
-#: Words of the filter that says which items are in clusters: its size is bound, a full one only lets more rows by.
+#: Words of the filter that says which items are in clusters, or ids are asked for: its size is bound, a full one only lets more rows by.
 FILTER_WORDS = 1 << 17
 
 
@@ -172,22 +172,31 @@ def clusters(source: DataFrame, emit: Emit, rows: int, percent: int) -> DataFram
     return components(edges)
 
 
-def _probes(name: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    bits = np.uint64(FILTER_WORDS * 64 - 1)
+def _probes(name: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray]:
+    bits = np.uint64(words * 64 - 1)
     return (name[:, 0] & bits), (name[:, 1] & bits)
 
 
-def _filter(nodes: DataFrame) -> np.ndarray:
+def name_filter(nodes: DataFrame) -> np.ndarray:
     """A Bloom filter of the nodes' names, of a fixed size."""
+    words = FILTER_WORDS
 
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.zeros(FILTER_WORDS, np.uint64)
+        bits = np.zeros(words, np.uint64)
         for b in batches:
-            for p in _probes(names(b.column(0))):
+            for p in _probes(names(b.column(0)), words):
                 np.bitwise_or.at(bits, (p >> np.uint64(6)).astype(np.int64), np.uint64(1) << (p & np.uint64(63)))
         yield pa.RecordBatch.from_arrays([pa.array([bits.tobytes()], pa.binary())], ["v"])
 
-    return summed(nodes.mapInArrow(fill, "v binary"), FILTER_WORDS, np.bitwise_or).view(np.uint64)
+    return summed(nodes.mapInArrow(fill, "v binary"), words, np.bitwise_or).view(np.uint64)
+
+
+def lets_by(bits: np.ndarray, name: np.ndarray) -> np.ndarray:
+    """Which names may be in the filter; those that were put in always are."""
+    held = np.ones(len(name), bool)
+    for p in _probes(name, len(bits)):
+        held &= (bits[(p >> np.uint64(6)).astype(np.int64)] >> (p & np.uint64(63))) & np.uint64(1) == 1
+    return held
 
 
 def links(source: DataFrame, texts: Texts, expand: Callable[[B.Texts], tuple[np.ndarray, np.ndarray]], found: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
@@ -210,16 +219,12 @@ def links(source: DataFrame, texts: Texts, expand: Callable[[B.Texts], tuple[np.
     total, large = weighed.df.agg(F.sum("size"), F.max("tiles")).first()
     if not total:
         return components(_edges(weighed.df.limit(0).select("root", F.lit("").alias("group"), F.lit(0).alias("side"), "node", F.lit(b"").alias("item")), expand, percent, 0))
-    bits = spark.sparkContext.broadcast(_filter(weighed.df.select("node")))
+    bits = spark.sparkContext.broadcast(name_filter(weighed.df.select("node")))
 
     def send(batches: Batches) -> Batches:
-        own = bits.value
         for name, take in texts(batches):
             first, _ = codes(name)
-            held = np.ones(len(first), bool)
-            for p in _probes(name[first]):
-                held &= (own[(p >> np.uint64(6)).astype(np.int64)] >> (p & np.uint64(63))) & np.uint64(1) == 1
-            first = first[held]
+            first = first[lets_by(bits.value, name[first])]
             if len(first):
                 yield pa.RecordBatch.from_arrays([binary(name[first]), pa.array(take(first), pa.binary())], ["node", "item"])
 

@@ -9,6 +9,7 @@ are held as fixed-point integers, so a score doesn't depend on how rows are deal
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,7 +18,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import _bytes as B
-from ._dist import prepare, summed
+from ._dist import Kept, prepare, summed
+from .candidates import lets_by, name_filter, names
 
 #: Buckets of the hashed n-grams: 2 ** BITS.
 BITS = 16
@@ -25,8 +27,6 @@ BITS = 16
 N = 4
 #: Documents whose mean log ratio is lower go.
 THRESHOLD = -0.25
-#: At most so many trusted labelled documents are the target; by the smallest hash of their id.
-MOST_TRUSTED = 100_000
 #: Fixed-point scale of the log ratios.
 SCALE = 1 << 20
 
@@ -51,31 +51,48 @@ def _counts(t: B.Texts, keep: np.ndarray | None = None) -> np.ndarray:
     return np.bincount(key[at], minlength=1 << BITS)
 
 
-def fit(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: str = "text", most_trusted: int = MOST_TRUSTED) -> np.ndarray:
+def fit(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> np.ndarray:
     """log p_target - log p_raw by bucket, in fixed point; add-one smoothing.
 
-    trusted: one column of ids, of any type that has a string form; they are told
-    by 64-bit hashes of it. With no trusted text the ratio is 0 everywhere. Null
-    ids are never trusted; repeated rows each count.
+    trusted: one column of ids, of any type that has a string form, and of any
+    number; all of them are the target. With no trusted text the ratio is 0
+    everywhere. Null ids are never trusted; repeated rows each count.
+
+    One pass counts all documents. Those that a filter of fixed size lets by are
+    joined with the ids, by shuffles, and counted again as far as they are trusted.
     """
     prepare(docs.sparkSession)
-
-    def sign(name: str) -> Column:
-        return F.when(F.col(name).isNotNull(), F.xxhash64(F.col(name).cast("string")))
-
-    ids = trusted.select(sign(trusted.columns[0]).alias("i")).where("i IS NOT NULL").distinct().orderBy("i").limit(most_trusted)
-    chosen = np.sort(np.array([r.i for r in ids.collect()], np.int64))
+    # Written, as Spark splits an id of very many rows between plain exchanges only.
+    known = Kept(trusted.select(F.col(trusted.columns[0]).cast("string").alias("known")).where("known IS NOT NULL").distinct())
+    bits = docs.sparkSession.sparkContext.broadcast(name_filter(known.df.select(F.unhex(F.md5("known")))))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(1 << BITS, np.int64)
+        for part, t in B.slices(batches, "text"):
+            total += _counts(t)
+            has = np.flatnonzero(part.column(0).is_valid())
+            at = pa.array(has[lets_by(bits.value, names(part.column(1).drop_null()))])
+            if len(at):
+                yield pa.RecordBatch.from_arrays([part.column(0).take(at), part.column(2).take(at).cast(pa.string()), pa.nulls(len(at), pa.binary())], ["id", "text", "v"])
+        # A name of its own, as rows without one would all meet in one task.
+        yield pa.RecordBatch.from_arrays([pa.array([uuid.uuid4().hex]), pa.nulls(1, pa.string()), pa.array([total.tobytes()], pa.binary())], ["id", "text", "v"])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(2 << BITS, np.int64)
         for part, t in B.slices(batches, "text"):
-            total[: 1 << BITS] += _counts(t)
-            own = np.isin(part.column(0).fill_null(-1).to_numpy(), chosen) & part.column(0).is_valid().to_numpy(zero_copy_only=False)
+            for v in part.column(2).drop_null():
+                total[: 1 << BITS] += np.frombuffer(v.as_buffer(), np.int64)
+            own = part.column(0).is_valid().to_numpy(zero_copy_only=False)
             if own.any():
                 total[1 << BITS :] += _counts(t, own)
         yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["v"])
 
-    total = summed(docs.select(sign(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(count, "v binary"), 2 << BITS)
+    own = F.col(id_col).cast("string")
+    rows = docs.select(own.alias("id"), F.unhex(F.md5(own)).alias("name"), F.col(text_col).alias("text")).mapInArrow(count, "id string, text string, v binary")
+    joined = rows.join(known.df.hint("merge"), F.col("id") == F.col("known"), "left")
+    total = summed(joined.select(F.when(F.col("v").isNull(), F.col("known")).alias("known"), "text", "v").mapInArrow(add, "v binary"), 2 << BITS)
+    bits.destroy()
+    known.drop()
     raw, target = total[: 1 << BITS] + 1.0, total[1 << BITS :] + 1.0
     if not (target > 1).any():
         return np.zeros(1 << BITS, np.int64)

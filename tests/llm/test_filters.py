@@ -2,8 +2,11 @@ import collections
 import hashlib
 import re
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
+from ordix.llm import _bytes as B
 from ordix.llm import decontaminate, pii, quality, queries
 
 from .. import oracle
@@ -76,6 +79,24 @@ def test_ids_of_any_type(spark, docs, sf_dir):
     assert quality.score(named, b).where("doc_id LIKE 'd%'").count() == docs.count()
 
 
+@pytest.mark.parametrize("words", [1 << 17, 1])
+def test_every_trusted_id_is_in_the_target(spark, docs, monkeypatch, words):
+    """However many there are, and whatever a full filter lets by."""
+    from ordix.llm import candidates
+
+    monkeypatch.setattr(candidates, "FILTER_WORDS", words)
+    own = docs.where("doc_id % 2 = 0").select("doc_id")
+    many = quality.fit(docs, own.union(spark.range(10_000_000, 10_300_000)))
+    assert many.any() and (many == quality.fit(docs, own)).all()
+    raw, target = np.zeros(1 << quality.BITS), np.zeros(1 << quality.BITS)
+    for r in docs.collect():
+        n = quality._counts(B.texts_of(pa.array([r.text or ""])))
+        raw += n
+        target += n * (r.doc_id % 2 == 0)
+    raw, target = raw + 1, target + 1
+    assert (many == np.rint((np.log(target / target.sum()) - np.log(raw / raw.sum())) * quality.SCALE)).all()
+
+
 def test_quality_messy(spark, messy, empty):
     trusted = spark.createDataFrame([(1,), (None,), (3,), (3,)], "doc_id long")
     ratio = quality.fit(messy, trusted)
