@@ -41,9 +41,13 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 def mix(x: np.ndarray) -> np.ndarray:
     """Finaliser: a bijection of 64-bit words that spreads every bit."""
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
+    y = x >> np.uint64(30)
+    y ^= x
+    y *= np.uint64(0xBF58476D1CE4E5B9)
+    y ^= y >> np.uint64(27)
+    y *= np.uint64(0x94D049BB133111EB)
+    y ^= y >> np.uint64(31)
+    return y
 
 
 def trim() -> None:
@@ -53,6 +57,14 @@ def trim() -> None:
         ctypes.CDLL(None).malloc_trim(0)
 
 
+def steady() -> None:
+    """Lets the process keep up to 24 MB of freed memory, so that the arrays of a slice aren't mapped anew for each; those above 4 MB go back at once."""
+    with contextlib.suppress(OSError, AttributeError):  # as above
+        libc = ctypes.CDLL(None)
+        libc.mallopt(-3, 4 << 20)  # M_MMAP_THRESHOLD
+        libc.mallopt(-1, 24 << 20)  # M_TRIM_THRESHOLD
+
+
 class Texts:
     """A run of texts: their bytes back to back and their offsets."""
 

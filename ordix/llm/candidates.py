@@ -91,10 +91,14 @@ def names(arr: pa.Array) -> np.ndarray:
 
 def _chain(key: np.ndarray, lo: np.ndarray, hi: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
     """An order by (key, lo), and which row of it goes on with the run of sizes before it."""
-    order = np.lexsort((lo, key))
-    k, l = key[order], lo[order]
+    alike = not len(lo) or lo.min() == lo.max() == hi.min() == hi.max()
+    order = np.argsort(key) if alike else np.lexsort((lo, key))
+    k = key[order]
     new = np.ones(len(k), bool)
     new[1:] = k[1:] != k[:-1]
+    if alike:
+        return order, ~new
+    l = lo[order]
     rank = np.cumsum(new) << 32
     top = np.maximum.accumulate(rank + hi[order]) - rank
     on = ~new

@@ -44,42 +44,69 @@ class Lines:
     """The lines of a slice that hold more than white space. Offsets are in bytes, shingles in characters."""
 
     def __init__(self, t: B.Texts):
-        data = t.data
+        self.data = data = t.data
         breaks = np.flatnonzero(data == 10)
-        s, e, loff = B.runs(data != 10, t.off)
-        solid = np.zeros(len(data) + 1, np.int32)
-        np.cumsum(_SOLID[data], out=solid[1:])
-        has = solid[e] > solid[s]
-        self.start, self.end, self.doc = s[has], e[has], B.ids(np.diff(loff))[has]
-        self.number = np.searchsorted(breaks, self.start) - np.searchsorted(breaks, t.off[self.doc])
-        self.prefix = t.prefix()
+        # All pieces between breaks and ends of texts, empty and white ones too: starts and ends come in the same order.
+        start = np.sort(np.concatenate([t.off[:-1], breaks + 1]), kind="stable")
+        end = np.sort(np.concatenate([breaks, t.off[1:]]), kind="stable")
+        many = np.diff(np.searchsorted(breaks, t.off)) + 1
+        at = np.flatnonzero(end > start)
+        solid = _SOLID[data[start[at]]]
+        if len(white := at[~solid]):  # at their start: these are read whole
+            n = end[white] - start[white]
+            solid[~solid] = np.logical_or.reduceat(_SOLID[data[B.ranges(start[white], n)]], np.cumsum(n) - n)
+        held = at[solid]
+        self.start, self.end, self.doc = start[held], end[held], B.ids(many)[held]
+        self.number = held - (np.cumsum(many) - many)[self.doc]
         pw, self.ip = B._powers(len(data) + 1)
-        other = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum(_T2[data] * pw[: len(data)], out=other[1:])
         long = (self.end - self.start).astype(np.uint64)
-        self.name = np.stack([B.mix((x[self.end] - x[self.start]) * self.ip[self.start] + long) for x in (self.prefix, other)], axis=1)
-        self.data = data
+
+        def name(values: np.ndarray) -> np.ndarray:
+            # Breaks are 0, so all that lies between the starts of two pieces is the first one's.
+            own = np.add.reduceat(values, start[at])[solid] if len(at) else values[:0]
+            return B.mix(own * self.ip[self.start] + long)
+
+        self.values = self._values(B._T, pw, breaks)
+        self.name = np.stack([name(self.values), name(self._values(_T2, pw, breaks))], axis=1)
         self.size = np.maximum(self.end - self.start - K + 1, 1)  # at most, in bytes
 
+    def _values(self, table: np.ndarray, pw: np.ndarray, breaks: np.ndarray) -> np.ndarray:
+        """What each byte adds to a fingerprint; breaks add nothing."""
+        out = np.take(table, self.data, mode="clip")
+        out *= pw[: len(out)]
+        out[breaks] = 0
+        return out
+
     def shingles(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Shingles of the given lines, with repeats, and their offsets."""
-        starts = np.flatnonzero((self.data & 0xC0) != 0x80)  # of characters
-        a, z = np.searchsorted(starts, self.start[which]), np.searchsorted(starts, self.end[which])
-        starts = np.append(starts, len(self.data))
+        """Shingles of the given lines, in ascending order, with repeats, and their offsets."""
+        prefix = np.zeros(len(self.data) + 1, np.uint64)
+        np.cumsum(self.values, out=prefix[1:])
+        first = self.data.view(np.int8) >= -64  # bytes of characters
+        first[self.start] = True  # whatever bytes a line is made of
+        chars = np.flatnonzero(first)
+        a, z, inverse = self.start[which], self.end[which], self.ip
+        if len(chars) < len(self.data):
+            a, z = np.searchsorted(chars, a), np.searchsorted(chars, z)
+            prefix, inverse = prefix[np.append(chars, len(self.data))], inverse[chars]
+        # The shingle at every character, then those that don't cross the end of a line.
+        key = np.zeros(len(chars), np.uint64)
+        full = max(0, len(key) - K + 1)
+        np.subtract(prefix[K:], prefix[:full], out=key[:full])
+        key[:full] *= inverse[:full]
+        low = np.flatnonzero(z - a < K)
+        key[a[low]] = (prefix[z[low]] - prefix[a[low]]) * inverse[a[low]]
         n = np.maximum(z - a - K + 1, 1)
-        first = B.ranges(a, n)
-        lo = starts[first]
-        hi = starts[np.minimum(first + K, len(starts) - 1)]
-        off = np.concatenate(([0], np.cumsum(n)))
-        short_ = np.flatnonzero(z - a < K)
-        hi[off[short_]] = self.end[which[short_]]
-        return B.mix((self.prefix[hi] - self.prefix[lo]) * self.ip[lo]), off
+        gaps = np.diff(np.concatenate(([0], np.stack([a, a + n], axis=1).ravel(), [len(key)])))
+        own = np.repeat(np.arange(len(gaps)) % 2 == 1, gaps)
+        return B.mix(key[own]), np.concatenate(([0], np.cumsum(n)))
 
     def sets(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Sorted distinct shingles of the given lines and their offsets."""
         key, off = self.shingles(which)
         doc = B.ids(np.diff(off))
-        order = np.lexsort((key, doc))
+        order = np.argsort(key)
+        # Few lines are told by 16 bits, which numpy sorts in linear time.
+        order = order[np.argsort(doc[order].astype(np.uint16 if len(which) <= 1 << 16 else np.int64), kind="stable")]
         key, doc = key[order], doc[order]
         new = np.ones(len(key), bool)
         new[1:] = (key[1:] != key[:-1]) | (doc[1:] != doc[:-1])
@@ -110,12 +137,14 @@ def drops(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(id_col, text_col).alias("doc_key"))
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[Items]:
+        B.steady()
         for _, t in B.slices(batches, "text", CACHE_BYTES):
             x = Lines(t)
-            first, _ = codes(x.name)
+            first = np.sort(codes(x.name)[0])
             yield Items(x.name[first], np.ones(len(first), np.int64), x.bands(first).ravel(), np.repeat(np.arange(len(first)), BANDS))
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        B.steady()
         for _, t in B.slices(batches, "text", CACHE_BYTES):
             x = Lines(t)
             yield x.name, lambda at, t=t, x=x: [t.data[x.start[i] : x.end[i]].tobytes() for i in at]
@@ -124,6 +153,7 @@ def drops(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
         return Lines(t).sets(np.arange(t.n))
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        B.steady()
         for part, t in B.slices(batches, "text", CACHE_BYTES):
             x = Lines(t)
             yield pa.RecordBatch.from_arrays([binary(x.name), pa.array(short(x.name)), pa.array(x.size), part.column(0).take(pa.array(x.doc)), part.column(2).take(pa.array(x.doc)), pa.array(x.number)], ["node", "short", "size", "doc_id", "doc_key", "line"])

@@ -151,6 +151,46 @@ def test_bands_recall_and_long_lines():
     assert not any((keys[i] == keys[j]).any() for i in range(4) for j in range(i))
 
 
+def test_lines_and_their_shingles_against_brute_force():
+    rng = random.Random(4)
+    for _ in range(300):
+        texts = [rng.choice([None, "".join(rng.choice("ab \t\n\n\r\x0b\x85é漢😀xyz") for _ in range(rng.randrange(0, 70)))]) for _ in range(rng.randrange(0, 6))]
+        want = [(d, i, x) for d, t in enumerate(texts) for i, x in enumerate((t or "").split("\n")) if x.strip(" \t\r\x0b")]
+        x = line_dedup.Lines(B.texts_of(pa.array(texts, pa.string())))
+        got = [(d, i, x.data[a:z].tobytes().decode()) for d, i, a, z in zip(x.doc.tolist(), x.number.tolist(), x.start, x.end, strict=True)]
+        assert got == want
+        which = np.arange(len(want))[:: rng.choice([1, 2])]
+        key, off = x.sets(which)
+        of = {}
+        for j, i in enumerate(which):
+            line = want[i][2]
+            own = key[off[j] : off[j + 1]]
+            grams = {line[k : k + line_dedup.K] for k in range(max(1, len(line) - line_dedup.K + 1))}
+            assert len(own) == len(grams) and (np.diff(own) > 0).all() if len(own) > 1 else len(own) == 1
+            for g in grams:
+                of.setdefault(g, []).append(set(own.tolist()))
+        assert all(set.intersection(*sets) for sets in of.values())
+
+
+def test_lines_cost_little_more_than_a_fingerprint(texts):
+    """CPU seconds, against prefix sums of the same bytes on the same machine."""
+    import time
+
+    parts = [p for _, p in B.slices(pa.table({"text": pa.array(list(texts.values()), pa.large_string())}).to_batches(), "text", line_dedup.CACHE_BYTES)]
+
+    def cost(f):
+        took = []
+        for _ in range(7):
+            at = time.thread_time()
+            for p in parts:
+                f(p)
+            took.append(time.thread_time() - at)
+        return min(took)
+
+    assert sum(len(p.data) for p in parts) > 100_000
+    assert cost(line_dedup.Lines) < 3 * cost(B.Texts.prefix)
+
+
 def test_near_lines(spark):
     base = "a line of some length that comes again with one word changed, and more " * 3
     rows = [(1, f"first\n{base}"), (2, base.replace("word", "term", 1) + "\nsecond"), (3, "first\n\n \nthird"), (4, None), (5, base)]
